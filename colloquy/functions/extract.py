@@ -27,26 +27,26 @@ def last_boxed_start(x: Column) -> Column:
     return F.when(at > 0, F.length(x) - at - len(BOX) + 2).otherwise(F.lit(0))
 
 
-def _boxed(x: Column, start: Column) -> Column:
-    rest = F.substring(x, start + len(BOX), F.length(x))
-    # Only braces move the depth, so fold over the pieces between them.
-    pieces = F.regexp_extract_all(rest, F.lit(r"[^{}]*[{}]"), F.lit(0))
+def _boxed(rest: Column) -> Column:
+    """Text up to the brace that closes depth one; null if there is none."""
+    braces = F.regexp_extract_all(rest, F.lit("[{}]"), F.lit(0))
 
-    def step(acc: Column, piece: Column) -> Column:
-        depth = acc["depth"] + F.when(F.endswith(piece, F.lit("{")), 1).otherwise(-1)
-        return F.struct(
-            F.when(acc["depth"] > 0, depth).otherwise(F.lit(0)).cast("int").alias("depth"),
-            F.when(acc["depth"] > 0, acc["used"] + F.length(piece)).otherwise(
-                acc["used"]).cast("int").alias("used"))
+    def step(acc: Column, brace: Column) -> Column:
+        moved = acc["depth"] + F.when(brace == "{", 1).otherwise(-1)
+        return F.when(acc["depth"] == 0, acc).otherwise(F.struct(
+            moved.alias("depth"), (acc["used"] + 1).alias("used")))
 
-    end = F.aggregate(pieces, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("used")), step)
-    return let(end, lambda e: F.when((start > 0) & (e["depth"] == 0),
-                                     F.substring(rest, F.lit(1), e["used"] - 1)))
+    end = F.aggregate(braces, F.struct(F.lit(1).alias("depth"), F.lit(0).alias("used")), step)
+    # The text before the used-th brace is the first `used` pieces with their braces.
+    pieces = F.split(rest, "[{}]", -1)
+    return let(end, lambda e: F.when(e["depth"] == 0, F.substring(rest, F.lit(1), F.aggregate(
+        F.slice(pieces, F.lit(1), e["used"]), e["used"] - 1, lambda n, p: n + F.length(p)))))
 
 
 def last_boxed(x: Column) -> Column:
     """Content of the last box with balanced braces; null if unbalanced or absent."""
-    return let(x, lambda t: let(last_boxed_start(t), lambda at: _boxed(t, at)))
+    return let(x, lambda t: F.when(F.contains(t, F.lit(BOX)), let(
+        F.substring_index(t, BOX, -1), _boxed)))
 
 
 def _last_mark(x: Column, group: int) -> Column:
@@ -148,10 +148,14 @@ def numeric_equal(gold: Column, answer: Column) -> Column:
 
 def trim_reply(x: Column) -> Column:
     """First sentence, and the second if the first has at most 100 characters."""
+    # Anchored and without backtracking, so a long text without a stop costs one pass.
+    one = rf"[.!?]*+({V.SENTENCE_ONCE})"
+
     def shorten(text: Column) -> Column:
-        found = F.transform(F.regexp_extract_all(text, F.lit(V.SENTENCE), F.lit(0)), strip)
-        return let(found, lambda f: F.when(F.size(f) == 0, text).otherwise(F.array_join(
-            F.slice(f, F.lit(1), F.when(F.length(F.get(f, 0)) <= 100, 2).otherwise(1)), " ")))
+        first = strip(F.regexp_extract(text, f"^{one}", 1))
+        second = strip(F.regexp_extract(text, f"^{one}{one}", 2))
+        return let(first, lambda f: F.when(~text.rlike(f"^{one}"), text).when(
+            F.length(f) > 100, f).otherwise(strip(F.concat(f, F.lit(" "), second))))
     return let(x, shorten)
 
 
@@ -165,7 +169,9 @@ def named_files(x: Column) -> Column:
     def names(text: Column) -> Column:
         quoted = F.transform(F.regexp_extract_all(text, F.lit(r"'[^']+'|\"[^\"]+\""), F.lit(0)),
                              lambda q: F.substring(q, F.lit(2), F.length(q) - 2))
-        bare = F.transform(F.split(squeeze(text), " "), lambda t: F.regexp_replace(
+        # Only words with a dot can be files.
+        words = F.filter(F.split(squeeze(text), " "), lambda w: F.contains(w, F.lit(".")))
+        bare = F.transform(words, lambda t: F.regexp_replace(
             F.regexp_replace(t, "^['\"]+|['\"]+$", ""), r"[?!.,]+$", ""))
         return F.concat(quoted, bare)
     return let(x, names)

@@ -53,6 +53,8 @@ ANSWER_MARK = (r"(?:the\s+(?:final\s+)?answer\s+is\s*:?|final\s+answer\s*:?"
 TRAILING_VALUE = r"([-+]?\$?\d[\d,]*(?:\.\d+)?\s*%?|\\boxed\{[^{}]*\})\s*[.!]?$"
 CHOICES = r"(?i)\b(?:answer\s+choices|options)\b\s*:?"
 SENTENCE = r"[^.!?]+[.!?]+(?:['\")\]]+)?"
+# The same sentence in possessive form, for anchored use.
+SENTENCE_ONCE = r"[^.!?]++[.!?]++(?:['\")\]]++)?"
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 TASK_LEAD = r"(?i)^\s*write a (python )?(function|program|script)\s+(to|that|which)\s+"
 DOC_NOISE = r"(?i):param|@param|>>>|--|\.\.\.|http|\bTODO\b|[`<>|\\]|\+\S+\+"
