@@ -250,3 +250,55 @@ MAX_SIDE = 16
 GLYPHS = ".:+#"
 HUES = "rygcbm"
 CHROMA_MIN = 48.0
+
+# ---- hand-written probe messages --------------------------------------------
+PROBE = [
+    ("hey, how's your day going", "chat"),
+    ("i just got back from the gym and i'm wrecked", "chat"),
+    ("do you like pineapple on pizza", "chat"),
+    ("that's hilarious lol", "chat"),
+    ("i'm so tired today", "chat"),
+    ("what's your name again", "chat"),
+    ("tell me something interesting", "chat"),
+    ("good morning!", "chat"),
+    ("ok cool, talk to you later", "chat"),
+    ("my sister is getting married in june", "chat"),
+    ("do you ever get bored", "chat"),
+    ("nah i don't think so", "chat"),
+    ("what kind of music do you like", "chat"),
+    ("it's been raining all week here", "chat"),
+    ("if a train leaves at 3pm doing 60 mph, how far has it gone by 5:30", "reason"),
+    ("i bought 3 shirts at $12 each and paid with a fifty, what's my change", "reason"),
+    ("there are 24 kids and 4 buses, how many kids per bus", "reason"),
+    ("work out how many minutes there are in a fortnight", "reason"),
+    ("a pizza is cut into 8 slices and i ate 3, what fraction is left", "reason"),
+    ("solve this: 4x + 7 = 31", "reason"),
+    ("if it takes 5 machines 5 minutes to make 5 widgets, how long for 100", "reason"),
+    ("figure out the average of 12, 19 and 44", "reason"),
+    ("write me a python function to reverse a linked list", "codegen"),
+    ("can you code up a debounce helper in js", "codegen"),
+    ("i need a script that renames files by their date", "codegen"),
+    ("show me a go function that reads a csv", "codegen"),
+    ("quick python snippet to flatten a nested list", "codegen"),
+    ("build me a class that wraps an http client with retries", "codegen"),
+    ("write something in ruby to strip html tags", "codegen"),
+    ("how would you implement binary search in java", "codegen"),
+    ("what language was that file", "code"),
+    ("so what is it written in", "code"),
+    ("you sure that's ruby", "code"),
+    ("which language did you say it was", "code"),
+    ("was the thing i just sent you go or rust", "code"),
+    ("remind me what you decided about my script", "code"),
+    ("what was in that picture again", "vision"),
+    ("so what did you see", "vision"),
+    ("how confident were you about that photo", "vision"),
+    ("was it a cat or a dog in the pic", "vision"),
+    ("did you get the digit right", "vision"),
+    ("tell me again what the image showed", "vision"),
+    ("what's the score at", "game"),
+    ("how long is my snake now", "game"),
+    ("which way should i go for the food", "game"),
+    ("are we done yet", "game"),
+    ("am i winning", "game"),
+    ("is the round finished", "game"),
+]

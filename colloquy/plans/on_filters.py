@@ -102,8 +102,8 @@ _SRC_SQL = (f"CASE WHEN {u32_sql('code', 'doc_id')} % 7 = 5 THEN 'tiny' ELSE "
 _FINGER_SQL = "(" + " OR ".join(has_sql("x", p) for p in V.MACHINE_FINGERPRINTS) + ")"
 _KEYWORDS = "[" + ", ".join(quote(k) for k in V.CODE_KEYWORDS) + "]"
 # A name is a whole word, accented letters counted, that is written in ASCII.
-_NAMES = (r"list_filter(regexp_extract_all(x, '[\p{L}\p{N}_$]+'), lambda n: "
-          f"regexp_matches(n, '^[A-Za-z_$][A-Za-z0-9_$]*$') AND NOT list_contains({_KEYWORDS}, n))")
+_NAMES = (r"list_filter(regexp_extract_all(x, '[\p{L}\p{N}_]+(?:\$+[\p{L}\p{N}_]+)*'), lambda n: "
+          f"regexp_matches(n, '^[A-Za-z_][A-Za-z0-9_$]*$') AND NOT list_contains({_KEYWORDS}, n))")
 _SHORT_SQL = f"coalesce(len(list_filter({_NAMES}, lambda n: length(n) <= 2)) / nullif(len({_NAMES}), 0), 0)"
 CODE_ROWS_SQL = f"SELECT doc_id, {_EXT_SQL} AS ext, {_SRC_SQL} AS x FROM documents"
 VERDICT_SQL = f"""
