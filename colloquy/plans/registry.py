@@ -11,6 +11,19 @@ SQL: dict[str, str] = {}
 WHERE: dict[str, str] = {}
 
 
+# Tables of texts, with the columns that spread their rows.
+TEXT_KEYS = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"], "pages": ["page_id"]}
+
+
+def spread(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows over all cores where the files alone would keep most of them idle.
+
+    Work on texts costs far more than moving them. A table of many files is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, *keys)
+
+
 class Tables:
     """The tables of one folder, read on first use as `t.documents`, `t.events`, .."""
 
@@ -20,7 +33,8 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
 
 
 def query(name: str, sql: str | None = None):
