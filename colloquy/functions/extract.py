@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
+from .once import let
 from .text import WS, normalize_ws, squeeze, strip
 
 MARK = V.ANSWER_MARK
-
-
-def let(x: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is computed once however often the body names it."""
-    return F.get(F.transform(F.array(x), body), 0)
-
-
 BOX = "\\boxed{"
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import fixed_values as V
+from .once import let
 
 WS = V.WS
 
@@ -55,7 +56,7 @@ def clean_snippet(x: Column) -> Column:
     """Stripped snippet, or '' when it is too short or too long to keep."""
     low, high = V.SNIPPET_CHARS
     s = strip(strip_lines_right(unix_newlines(F.coalesce(x, F.lit("")))))
-    return F.when(F.length(s).between(low, high), s).otherwise(F.lit(""))
+    return let(s, lambda t: F.when(F.length(t).between(low, high), t).otherwise(F.lit("")))
 
 
 def expand_tabs(line: Column, width: int = 4) -> Column:
@@ -87,11 +88,14 @@ def first_sentence(x: Column) -> Column:
 def clean_task_description(x: Column) -> Column:
     """A one-line task description, or null."""
     low, high = V.DESC_CHARS
-    first = F.regexp_replace(strip(first_sentence(normalize_ws(x))), r"\.+$", "")
-    usable = (F.length(first).between(low, high) & first.contains(" ")
-              & ~first.rlike(V.DOC_NOISE) & first.rlike(r"^\p{ASCII}*$"))
-    return F.when(usable, F.concat(F.lower(F.substring(first, 1, 1)),
-                                   F.substring(first, 2, 2_000_000)))
+
+    def described(first: Column) -> Column:
+        usable = (F.length(first).between(low, high) & first.contains(" ")
+                  & first.rlike(r"^\p{ASCII}*$") & ~first.rlike(V.DOC_NOISE))
+        return F.when(usable, F.concat(F.lower(F.substring(first, 1, 1)),
+                                       F.substring(first, 2, 2_000_000)))
+
+    return let(F.regexp_replace(strip(first_sentence(normalize_ws(x))), r"\.+$", ""), described)
 
 
 def drop_task_lead(x: Column) -> Column:

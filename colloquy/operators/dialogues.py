@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scan import sliding
+from ..functions import fixed_values as V
+from ..functions.render import speaker
+from .scan import ranked, sliding
 
 
 def dialogues(turns: DataFrame) -> DataFrame:
@@ -24,6 +26,40 @@ def history_before(turns: DataFrame, line: Column, n: int) -> DataFrame:
         "history": lambda frame: F.collect_list("_line").over(frame(-n, -1))}).drop("_line")
 
 
+def two_speaker_turns(turns: DataFrame, limit: int) -> DataFrame:
+    """Turn rows of dialogues that `two_speakers` keeps, without collecting any dialogue.
+
+    Every test is a partial aggregate per conversation; the speaker before each turn
+    comes from a window that cuts long conversations.
+    """
+    rows = sliding(turns, ["turn"], ["conv_id"], 1,
+                   {"_before": lambda frame: F.first("role").over(frame(-1, -1))})
+    size = F.length("text")
+    good = rows.groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("n"), F.min(size).alias("short"), F.max(size).alias("long"),
+        F.bool_or(F.coalesce(F.col("role") == F.col("_before"), F.lit(False))).alias("repeats"))
+    # At most two names: none lies between the first and the last.
+    roles = turns.select("conv_id", "role").distinct().groupBy("conv_id").agg(
+        F.count(F.lit(1)).alias("roles"))
+    kept = (good.join(roles, "conv_id").where(
+        (F.col("n") >= 2) & (F.col("roles") == 2) & ~F.col("repeats")
+        & (F.col("short") >= 1) & (F.col("long") <= limit)).select("conv_id"))
+    return turns.join(kept, "conv_id", "left_semi")
+
+
+def rendered_lines(turns: DataFrame) -> DataFrame:
+    """Each turn as its line of the training text; the last one carries the separator.
+
+    The lines of a conversation in order are what `render_dialogue` gives as one value,
+    but a conversation of any length needs no row of its own.
+    """
+    placed = ranked(turns, ["turn"], ["conv_id"], "_at")
+    last = turns.groupBy("conv_id").agg(F.max("turn").alias("_last"))
+    line = F.concat(speaker(F.col("_at") - 1), F.lit(": "), "text", F.lit("\n"))
+    end = F.when(F.col("turn") == F.col("_last"), F.lit(f"{V.DIALOG_SEP}\n")).otherwise(F.lit(""))
+    return placed.join(last, "conv_id").withColumn("line", F.concat(line, end)).drop("_at", "_last")
+
+
 def drop_long_turns(dialogue: DataFrame, limit: int) -> DataFrame:
     """Drop empty or long turns; a dialogue stays if two turns remain."""
     kept = F.filter("turns", lambda u: (F.length(u["text"]) > 0) & (F.length(u["text"]) <= limit))

@@ -25,16 +25,24 @@ def small_or_not(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def spread_join(big: DataFrame, side: DataFrame, keys: Sequence[str], row_key: Column,
-                how: str = "left", salts: int = 16, share: int = 1000) -> DataFrame:
+                how: str = "left", salts: int = 16, share: int = 1000,
+                side_rows: int | None = None) -> DataFrame:
     """Join to a side with few rows per key where some keys fill much of `big`.
 
     A side small enough by count is broadcast. Otherwise rows of frequent keys are spread
     over `salts` copies of the side's rows; fewer than `share` keys can hold more than
     1/share of the rows, so only those are copied.
     """
-    checked = small_or_not(side)
+    checked = small_or_not(side) if side_rows is None else (
+        F.broadcast(side) if side_rows <= BROADCAST_ROWS else side)
     if checked is not side:
         return big.join(checked, list(keys), how)
+    return salted_join(big, side, keys, row_key, how, salts, share)
+
+
+def salted_join(big: DataFrame, side: DataFrame, keys: Sequence[str], row_key: Column,
+                how: str = "left", salts: int = 16, share: int = 1000) -> DataFrame:
+    """The shuffled form of `spread_join`."""
     sizes = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     total = sizes.agg(F.sum("_n")).first()[0] or 0
     hot = F.broadcast(sizes.where(F.col("_n") * share > total).select(

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
+from ..session import shared_dir
 from .joins import spread_join
 
 
@@ -42,13 +43,16 @@ def naive_bayes_scores(train: DataFrame, rows: DataFrame, key: str, label: str,
                 .agg(F.count(F.lit(1)).alias("n")))
     counts = [F.sum(F.when(F.col(label) == c, F.col("n")).otherwise(0)).alias(f"c{i}")
               for i, c in enumerate(labels)]
-    model = by_label.groupBy("w").agg(*counts)
+    # The learned table is read several times and far smaller than the texts.
+    shared_dir(train.sparkSession)
+    model = by_label.groupBy("w").agg(*counts).checkpoint()
     # A handful of numbers: words per label, distinct words, documents per label.
     sums = model.agg(F.count(F.lit(1)).alias("v"), *[F.sum(f"c{i}").alias(f"c{i}")
                                                      for i in range(len(labels))]).first()
     docs = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
     all_docs = sum(docs.get(c, 0) for c in labels)
-    joined = spread_join(bag(rows, [key], tokens), model, ["w"], F.col(key), "inner")
+    joined = spread_join(bag(rows, [key], tokens), model, ["w"], F.col(key), "inner",
+                         side_rows=sums["v"])
 
     def score(i: int, c: str) -> Column:
         word = F.log((F.col(f"c{i}") + 1) / F.lit(float(sums[f"c{i}"] + sums["v"])))
@@ -100,7 +104,9 @@ def classify(model, rows: DataFrame, label: str) -> DataFrame:
 # ----------------------------------------------------------- reply likelihood
 def corpus_words(docs: DataFrame, tokens: Column) -> DataFrame:
     """(w, p_all) over a corpus; the total is a scalar subquery."""
-    counts = docs.select(F.explode(tokens).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+    shared_dir(docs.sparkSession)
+    counts = (docs.select(F.explode(tokens).alias("w")).groupBy("w")
+              .agg(F.count(F.lit(1)).alias("n")).checkpoint())
     return counts.select("w", (F.col("n") / counts.select(F.sum("n")).scalar()).alias("p_all"))
 
 

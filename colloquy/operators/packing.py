@@ -44,7 +44,8 @@ def pack_blocks(docs: DataFrame, order: Sequence[str], ids: str, end_id: int, bl
 
 def next_tokens(ids: Column) -> Column:
     """Target at i is the id at i+1; the last one has none."""
-    return F.transform(ids, lambda _, i: F.get(ids, i + 1))
+    return F.concat(F.slice(ids, F.lit(2), F.greatest(F.size(ids) - 1, F.lit(0))),
+                    F.array_repeat(F.lit(None).cast("int"), F.least(F.size(ids), F.lit(1))))
 
 
 def doc_numbers(ids: Column, sep: int) -> Column:
@@ -68,5 +69,6 @@ def boundary_targets(ids: Column, docs: Column, ignore: int | None = None) -> Co
 def answer_targets(ids: Column, start: Column, ignore: int | None = None) -> Column:
     """Next-token targets from the position before `start` on, ignored elsewhere."""
     hidden = F.lit(ignore).cast("int")
-    return F.transform(ids, lambda _, i: F.when(
-        (i >= start - 1) & (i < F.size(ids) - 1), F.get(ids, i + 1)).otherwise(hidden))
+    n, first = F.size(ids), F.greatest(start, F.lit(1))
+    return F.when(first >= n, F.array_repeat(hidden, n)).otherwise(F.concat(
+        F.array_repeat(hidden, first - 1), F.slice(ids, first + 1, n - first), F.array(hidden)))

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scan import running
+
 
 def by_score(group: Sequence[str], score: str, *ties: str):
     return Window.partitionBy(*group).orderBy(F.desc(score), *[F.asc(c) for c in ties])
@@ -39,13 +41,10 @@ def softmax(df: DataFrame, group: Sequence[str], score: str, temperature: float
 
 
 def nucleus_filter(df: DataFrame, group: Sequence[str], item: str, p: str, share: float) -> DataFrame:
-    """The smallest set of likeliest items that reaches `share`, with the one that crosses it.
-
-    A group is one distribution, so it has as many rows as there are choices.
-    """
-    spec = by_score(group, p, item).rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(p).over(spec), F.lit(0.0))
-    return df.withColumn("before", before).where(F.col("before") <= share)
+    """The smallest set of likeliest items that reaches `share`, with the one that crosses it."""
+    rows = df.withColumn("_fall", -F.col(p))
+    summed = running(rows, ["_fall", item], group, {"before": ("sum", F.col(p))}, inclusive=False)
+    return summed.drop("_fall").where(F.col("before") <= share)
 
 
 def repetition_penalty(score: Column, seen: Column, penalty: float) -> Column:

@@ -98,7 +98,7 @@ def _sorted(order: Sequence[str]) -> list[Column]:
 def running(df: DataFrame, order: Sequence[str], group: Sequence[str],
             values: dict[str, tuple[str, Column]], inclusive: bool = True,
             hot_rows: int | None = None) -> DataFrame:
-    """Running `sum`, `min`, `max` or `last` (last non-null) per group in order.
+    """Running `sum`, `min`, `max`, `last` (last non-null) or `rank` per group in order.
 
     `values` maps an output name to (kind, column). With inclusive=False the row itself
     is left out and the first row of a group gives null (0 for sums).
@@ -110,7 +110,10 @@ def running(df: DataFrame, order: Sequence[str], group: Sequence[str],
     end = Window.currentRow if inclusive else -1
     frame = (Window.partitionBy(*keys).orderBy(*_sorted(order))
              .rowsBetween(Window.unboundedPreceding, end))
+    place = Window.partitionBy(*keys).orderBy(*_sorted(order))
     over: dict[str, Callable[[str], Column]] = {
+        # A limit on a plain row number is applied in every task before the shuffle.
+        "rank": lambda c: F.row_number().over(place).cast("bigint"),
         "sum": lambda c: F.coalesce(F.sum(c).over(frame), F.lit(0)),
         "min": lambda c: F.min(c).over(frame), "max": lambda c: F.max(c).over(frame),
         "last": lambda c: F.last(c, ignorenulls=True).over(frame)}
@@ -120,14 +123,14 @@ def running(df: DataFrame, order: Sequence[str], group: Sequence[str],
         return out.drop(*inputs.values())
 
     position = F.struct(*order)
-    totals = {"sum": F.sum, "min": F.min, "max": F.max,
+    totals = {"sum": F.sum, "rank": lambda c: F.count(F.lit(1)), "min": F.min, "max": F.max,
               "last": lambda c: F.max_by(F.col(c), F.when(F.col(c).isNotNull(), position))}
     blocks = cut.where(F.col(_BLOCK).isNotNull()).groupBy(*keys).agg(
         *[totals[kind](inputs[o]).alias(f"_t_{o}") for o, (kind, _) in values.items()])
     # One row per block of a cut group.
     before = (Window.partitionBy(*group).orderBy(_BLOCK)
               .rowsBetween(Window.unboundedPreceding, -1))
-    carry = {"sum": lambda c: F.sum(c).over(before), "min": lambda c: F.min(c).over(before),
+    carry = {"sum": lambda c: F.sum(c).over(before), "rank": lambda c: F.sum(c).over(before), "min": lambda c: F.min(c).over(before),
              "max": lambda c: F.max(c).over(before),
              "last": lambda c: F.last(c, ignorenulls=True).over(before)}
     brought = blocks.select(
@@ -139,6 +142,7 @@ def running(df: DataFrame, order: Sequence[str], group: Sequence[str],
     joined = out.join(brought, test, "left")
     merge: dict[str, Callable[[str], Column]] = {
         "sum": lambda o: F.col(o) + F.coalesce(F.col(f"_c_{o}"), F.lit(0)),
+        "rank": lambda o: F.col(o) + F.coalesce(F.col(f"_c_{o}"), F.lit(0)),
         "min": lambda o: F.least(F.col(o), F.col(f"_c_{o}")),
         "max": lambda o: F.greatest(F.col(o), F.col(f"_c_{o}")),
         "last": lambda o: F.coalesce(F.col(o), F.col(f"_c_{o}"))}
@@ -149,13 +153,7 @@ def running(df: DataFrame, order: Sequence[str], group: Sequence[str],
 def ranked(df: DataFrame, order: Sequence[str], group: Sequence[str] = (), out: str = "rn",
            hot_rows: int | None = None) -> DataFrame:
     """1-based row number per group. The order must be total."""
-    return running(df, order, group, {out: ("sum", F.lit(1).cast("bigint"))}, hot_rows=hot_rows)
-
-
-def numbered_groups(df: DataFrame, group: Sequence[str], out: str = "n") -> DataFrame:
-    """Rows with the size of their group; sizes are counted before they are joined back."""
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias(out))
-    return df.join(sizes, list(group), "left")
+    return running(df, order, group, {out: ("rank", F.lit(None).cast("bigint"))}, hot_rows=hot_rows)
 
 
 def sliding(df: DataFrame, order: Sequence[str], group: Sequence[str], n: int,

@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.extract import let, third_person
+from ..functions.extract import third_person
 from ..functions.hashing import frac, held_out, pick, pick_from
+from ..functions.once import let
 from ..functions.text import normalize_ws, strip
 from ..session import shared_dir
 from .joins import fixed_table

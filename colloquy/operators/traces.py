@@ -13,6 +13,7 @@ from ..functions import fixed_values as V
 from ..functions import predicates as P
 from ..functions import text as T
 from ..functions.hashing import held_out
+from ..functions.once import keep_computed
 
 Renderer = Callable[[DataFrame], DataFrame]
 RENDERERS: dict[str, Renderer] = {}
@@ -137,11 +138,11 @@ def render_all(raw: DataFrame) -> DataFrame:
 
 def clean_traces(rendered: DataFrame) -> DataFrame:
     """The cleaning and limits every source shares; adds the held-out side."""
-    rows = rendered.withColumns({
+    rows = keep_computed(rendered, {
         "question": T.normalize_ws(F.col("question")),
         "think": T.squeeze_blank_lines(X.strip_trailing_markers(T.clean_steps(F.col("think")))),
-        "answer": X.tighten_answer(T.normalize_ws(F.col("answer")))})
-    rows = rows.where(P.trace_ok(F.col("question"), F.col("think"), F.col("answer")))
+        "answer": X.tighten_answer(T.normalize_ws(F.col("answer")))},
+        lambda r: P.trace_ok(r["question"], r["think"], r["answer"]))
     identity = F.coalesce(F.nullif(F.col("identity"), F.lit("")), F.col("question"))
     return rows.withColumn("identity", T.identity_key(identity)).withColumn(
         "held_out", held_out(F.col("identity"), V.REASON_HOLDOUT))

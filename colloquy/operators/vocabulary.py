@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.extract import pre_tokens
+from ..functions.once import let
 from ..session import shared_dir
 
 
@@ -41,24 +42,32 @@ def _merged(symbols: Column, pair: tuple[str, str]) -> Column:
 
 
 def pair_counts(words: DataFrame) -> DataFrame:
-    """(a, b, n) of adjacent symbols, counted once per place over distinct words."""
-    split = words.select("n", F.split(F.trim("symbols"), "  ").alias("s")).where(F.size("s") > 1)
-    pairs = split.select("n", F.explode(F.transform(
-        F.sequence(F.lit(0), F.size("s") - 2),
-        lambda i: F.struct(F.get("s", i).alias("a"), F.get("s", i + 1).alias("b")))).alias("p"))
-    return pairs.groupBy("p.a", "p.b").agg(F.sum("n").alias("n"))
-
+    """(a, b, n, made): adjacent symbols, how often, and the most that merging them can make.
 
-def safe_batch(rows: list, complete: bool, room: int) -> list[tuple[str, str]]:
+    Merging (a, b) makes pairs (x, ab) and (ab, y). They occur at most as often as the
+    triples (x, a, b) and (a, b, y), so triples are counted and pairs follow from them.
+    """
+    split = words.select("n", F.split(F.trim("symbols"), "  ").alias("s")).where(F.size("s") > 1)
+    places = F.transform(F.sequence(F.lit(0), F.size("s") - 2), lambda i: F.struct(
+        F.get("s", i).alias("a"), F.get("s", i + 1).alias("b"), F.get("s", i + 2).alias("c")))
+    triples = (split.select("n", F.explode(places).alias("p")).groupBy("p.a", "p.b", "p.c")
+               .agg(F.sum("n").alias("n")))
+    inner = F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)
+    views = F.array(
+        F.struct(F.col("a").alias("a"), F.col("b").alias("b"), F.col("n").alias("n"), inner.alias("made")),
+        F.struct(F.col("b").alias("a"), F.col("c").alias("b"), F.lit(0).cast("bigint").alias("n"), inner.alias("made")))
+    return (triples.select(F.explode(views).alias("v")).where("v.b IS NOT NULL").groupBy("v.a", "v.b")
+            .agg(F.sum("v.n").alias("n"), F.max("v.made").alias("made")))
+
+
+def safe_batch(rows: list, room: int) -> list[tuple[str, str]]:
     """The best pairs that one-by-one merging would take next, in the same order.
 
     Rows come by falling count, ties by pair. A merge of (a, b) changes only pairs that
-    hold a or b, and a pair it creates, such as (x, ab), occurs at most as often as (x, a)
-    did. So a further pair is certain while it shares no symbol with those already taken
-    and is more frequent than all they can create. Pairs below the list are at most as
-    frequent as its last one.
+    hold a or b and makes none more frequent than `made`. So a further pair is certain
+    while it shares no symbol with those already taken and is more frequent than all that
+    they can make.
     """
-    below = 0 if complete else rows[-1]["n"]
     taken: list[tuple[str, str]] = []
     used: set[str] = set()
     ceiling = 0
@@ -68,8 +77,7 @@ def safe_batch(rows: list, complete: bool, room: int) -> list[tuple[str, str]]:
             break
         taken.append((a, b))
         used |= {a, b}
-        made = max((r["n"] for r in rows if r["b"] == a or r["a"] == b), default=0)
-        ceiling = max(ceiling, min(n, max(made, below)))
+        ceiling = max(ceiling, row["made"])
     return taken
 
 
@@ -83,14 +91,15 @@ def bpe_learn(docs: DataFrame, text: str, n_merges: int, listed: int = 500,
     """
     shared_dir(docs.sparkSession)
     words = pretoken_counts(docs, text).select("n", byte_symbols(F.col("piece")).alias("symbols"))
-    words = words.checkpoint()
+    # Few bytes but much work per round, so every core gets a share.
+    words = words.repartition(docs.sparkSession.sparkContext.defaultParallelism).checkpoint()
     merges: list[tuple[str, str]] = []
     rounds = 0
     while len(merges) < n_merges:
         top = pair_counts(words).orderBy(F.desc("n"), "a", "b").limit(listed).collect()
         if not top:
             break
-        step = safe_batch(top, len(top) < listed, n_merges - len(merges))
+        step = safe_batch(top, n_merges - len(merges))
         merges += step
         words = words.withColumn("symbols", reduce(_merged, step, F.col("symbols")))
         rounds += 1
@@ -131,9 +140,11 @@ def special_pieces(text: Column, special: list[str]) -> Column:
     if not special:
         return pre_tokens(text)
     quoted = "|".join(rf"\Q{s}\E" for s in sorted(special, key=lambda s: (-len(s), s)))
-    parts = F.split(text, rf"(?={quoted})|(?<={quoted})", -1)
-    return F.flatten(F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.when(
-        p.isin(special), F.array(p)).otherwise(pre_tokens(p))))
+    # The earliest token wins, the longest where two start together.
+    found = F.regexp_extract_all(text, F.lit(f"({quoted})"), F.lit(1))
+    gaps = F.split(text, quoted, -1)
+    return let(found, lambda f: F.flatten(F.transform(gaps, lambda gap, i: F.concat(
+        pre_tokens(gap), F.slice(f, i + 1, F.lit(1))))))
 
 
 def bpe_encoder(merges: list[tuple[str, str]], special: list[str]):

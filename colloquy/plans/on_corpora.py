@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions import render as R
 from ..functions import text as T
 from ..functions.hashing import held_out
+from ..functions.once import keep_computed
 from ..operators import dialogues as D
+from ..session import shared_dir
 from .dialect import byte_sql, clean_utterance_sql
 from .registry import query
 
@@ -25,12 +26,14 @@ LONG = 2000
     SELECT CASE WHEN {byte_sql('conv_id::VARCHAR')} % 6 = 0 THEN 'val' ELSE 'train' END AS split, count(*) AS docs, sum(n_turns)::BIGINT AS turns,
         sum(length(doc))::BIGINT AS chars, min(length(doc)) AS shortest, max(length(doc)) AS longest FROM d WHERE alternates GROUP BY 1""")
 def _(t):
-    turns = t.conversations.where("role <> 'system'").select(
-        "conv_id", "turn", "role", T.clean_utterance(F.col("text")).alias("text"))
-    talks = D.two_speakers(D.dialogues(turns.where(F.length("text").between(1, LONG))), LONG)
-    docs = talks.select("conv_id", F.size("turns").alias("n_turns"),
-                        R.render_dialogue(F.col("turns.text")).alias("doc"))
+    turns = keep_computed(t.conversations.where("role <> 'system'"), {
+        "text": T.clean_utterance(F.col("text"))}, lambda r: F.length(r["text"]).between(1, LONG))
+    # Cleaned once; what follows reads it several times.
+    shared_dir(t.spark)
+    turns = turns.select("conv_id", "turn", "role", "text").checkpoint()
+    lines = D.rendered_lines(D.two_speaker_turns(turns, LONG))
+    docs = lines.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.sum(F.length("line")).alias("n"))
     side = F.when(held_out(F.col("conv_id").cast("string"), V.ROUTE_HOLDOUT), "val").otherwise("train")
     return docs.groupBy(side.alias("split")).agg(
-        F.count(F.lit(1)).alias("docs"), F.sum("n_turns").alias("turns"), F.sum(F.length("doc")).alias("chars"),
-        F.min(F.length("doc")).alias("shortest"), F.max(F.length("doc")).alias("longest"))
+        F.count(F.lit(1)).alias("docs"), F.sum("n_turns").alias("turns"), F.sum("n").alias("chars"),
+        F.min("n").alias("shortest"), F.max("n").alias("longest"))

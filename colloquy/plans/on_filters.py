@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions import predicates as P
 from ..functions import text as T
+from ..functions.once import keep_computed
 from ..operators import dialogues as D
 from ..operators.joins import fixed_table
+from ..session import shared_dir
 from .dialect import (LEFT, RIGHT, S, clean_utterance_sql, has_sql, injected, injected_sql, quote,
                       squeeze_sql, sub_sql, u32_sql, word_sql)
 from .on_text import DIALOGUES_SQL, RECUT_SQL, recut, spoken
@@ -26,9 +28,10 @@ LONG = 2000
         AND min(length(text)) >= 1 AND max(length(text)) <= {LONG}""")
 def _(t):
     turns = t.conversations.where("role <> 'system'").withColumn("text", T.clean_utterance(F.col("text")))
-    kept = D.two_speakers(D.dialogues(turns), LONG)
-    return kept.select("conv_id", F.size("turns").cast("bigint").alias("n_turns"), F.forall(
-        "turns", lambda u: F.length(u["text"]) <= V.MAX_UTTERANCE_CHARS).alias("short"))
+    shared_dir(t.spark)
+    kept = D.two_speaker_turns(turns.checkpoint(), LONG)
+    return kept.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.bool_and(
+        F.length("text") <= V.MAX_UTTERANCE_CHARS).alias("short"))
 
 
 @query("filter_long_turns", f"""
@@ -36,10 +39,11 @@ def _(t):
     FROM (SELECT conv_id, turn, {clean_utterance_sql('text')} AS text FROM conversations WHERE role <> 'system')
     WHERE length(text) BETWEEN 1 AND 320 GROUP BY conv_id HAVING count(*) >= 2""")
 def _(t):
-    turns = t.conversations.where("role <> 'system'").withColumn("text", T.clean_utterance(F.col("text")))
     # Turns go before they are collected, so only kept text is shuffled.
-    kept = D.dialogues(turns.where(F.length("text").between(1, V.MAX_UTTERANCE_CHARS)))
-    return kept.where(F.size("turns") >= 2).select(
+    turns = keep_computed(t.conversations.where("role <> 'system'"), {
+        "text": T.clean_utterance(F.col("text"))},
+        lambda r: F.length(r["text"]).between(1, V.MAX_UTTERANCE_CHARS))
+    return D.dialogues(turns).where(F.size("turns") >= 2).select(
         "conv_id", F.array_join("turns.text", "\n").alias("kept"),
         F.size("turns").cast("bigint").alias("n_turns"))
 
@@ -182,8 +186,9 @@ def _(t):
 @query("question_length", f"""
     SELECT doc_id, {squeeze_sql('text')} AS question FROM documents WHERE length({squeeze_sql('text')}) BETWEEN 12 AND 400""")
 def _(t):
-    rows = t.documents.select("doc_id", T.normalize_ws(F.col("text")).alias("question"))
-    return rows.where(P.question_length(F.col("question")))
+    rows = keep_computed(t.documents.select("doc_id", "text"), {
+        "question": T.normalize_ws(F.col("text"))}, lambda r: P.question_length(r["question"]))
+    return rows.select("doc_id", "question")
 
 
 @query("trace_filters", f"""

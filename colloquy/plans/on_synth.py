@@ -11,6 +11,7 @@ from ..functions import fixed_values as V
 from ..functions import predicates as P
 from ..functions import text as T
 from ..functions.hashing import held_out, md5_order
+from ..functions.once import keep_computed
 from ..operators import synth as Y
 from .dialect import S, byte_sql, clean_utterance_sql, has_sql, injected, injected_sql, md5_sql, quote, squeeze_sql, strip_sql, sub_sql, u32_sql
 from .on_filters import plain_chat_sql
@@ -145,8 +146,10 @@ REQUESTS_SQL = f"""
 
 def request_rows(t) -> DataFrame:
     raw = injected("task", F.col("doc_id"), F.col("text"), TASKS)
-    desc = t.documents.select("doc_id", T.clean_task_description(T.drop_task_lead(raw)).alias("description"))
-    return Y.requests(desc.where("description IS NOT NULL"), "doc_id", "description")
+    desc = keep_computed(t.documents.select("doc_id", raw.alias("text")), {
+        "description": T.clean_task_description(T.drop_task_lead(F.col("text")))},
+        lambda r: r["description"].isNotNull())
+    return Y.requests(desc.drop("text"), "doc_id", "description")
 
 
 @query("synth_requests", REQUESTS_SQL)
@@ -185,12 +188,13 @@ CORPUS_SQL = f"""
 
 def class_messages(t) -> DataFrame:
     """(label, place, held_out, text) of all classes, each from its own source."""
-    said = T.clean_utterance(F.col("text"))
-    chat = t.conversations.where("role <> 'system'").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), said.alias("text")).where(P.plain_chat(F.col("text")))
+    chat = keep_computed(t.conversations.where("role <> 'system'").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"),
+        {"text": T.clean_utterance(F.col("text"))}, lambda r: P.plain_chat(r["text"]))
     chat = chat.withColumn("held_out", held_out(F.lower(T.strip(F.col("text"))), V.ROUTE_HOLDOUT))
-    asked = t.documents.select(F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("id"),
-                               T.normalize_ws(F.col("text")).alias("text")).where(P.question_length(F.col("text")))
+    asked = keep_computed(t.documents.select(
+        F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("id"), "text"),
+        {"text": T.normalize_ws(F.col("text"))}, lambda r: P.question_length(r["text"]))
     asked = asked.withColumn("held_out", held_out(F.lower("text"), V.ROUTE_HOLDOUT))
     keys = t.orders.select(F.col("o_orderkey").alias("id"))
     sums = Y.arithmetic(keys, "id").withColumn("id", F.concat(F.lit("a"), F.col("id").cast("string")))

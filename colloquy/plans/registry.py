@@ -11,8 +11,9 @@ SQL: dict[str, str] = {}
 WHERE: dict[str, str] = {}
 
 
-# Tables of texts, with the columns that spread their rows.
-TEXT_KEYS = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"], "pages": ["page_id"]}
+# Tables whose rows take much work, with the columns that spread them.
+SPREAD_KEYS = {"documents": ["doc_id"], "conversations": ["conv_id", "turn"], "pages": ["page_id"],
+             "events": ["event_id"], "orders": ["o_orderkey"], "embeddings": ["vec_id"]}
 
 
 def spread(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -34,7 +35,7 @@ class Tables:
         if name.startswith("_"):
             raise AttributeError(name)
         df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return spread(df, TEXT_KEYS[name]) if name in TEXT_KEYS else df
+        return spread(df, SPREAD_KEYS[name]) if name in SPREAD_KEYS else df
 
 
 def query(name: str, sql: str | None = None):

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from colloquy.functions import fixed_values as V
+from colloquy.functions import render as R
 from colloquy.operators import ranking, synth, traces
 from colloquy.operators import dialogues as D
 from colloquy.operators.splits import prefix_split, shuffled_split
@@ -30,6 +31,17 @@ def test_dialogue_filters(spark):
     d = D.dialogues(spark.createDataFrame(turns, "conv_id int, turn int, role string, text string"))
     assert [r["conv_id"] for r in D.two_speakers(d, 320).collect()] == [5]
     assert sorted(r["conv_id"] for r in D.drop_long_turns(d, 320).collect()) == [2, 3, 5, 6]
+    rows = spark.createDataFrame(turns, "conv_id int, turn int, role string, text string")
+    assert {r["conv_id"] for r in D.two_speaker_turns(rows, 320).collect()} == {5}
+
+
+def test_lines_are_the_rendered_dialogue(spark):
+    turns = [(c, i * 2, "user" if i % 2 == 0 else "bot", f"turn {i}") for c in (1, 2) for i in range(c + 3)]
+    rows = spark.createDataFrame(turns, "conv_id int, turn int, role string, text string")
+    whole = {r["conv_id"]: r["d"] for r in D.dialogues(rows).select(
+        "conv_id", R.render_dialogue(F.col("turns.text")).alias("d")).collect()}
+    lines = D.rendered_lines(rows).orderBy("conv_id", "turn").collect()
+    assert {c: "".join(r["line"] for r in lines if r["conv_id"] == c) for c in (1, 2)} == whole
 
 
 def test_keyed_output(spark):

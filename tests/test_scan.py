@@ -92,10 +92,8 @@ def test_spread_join_without_broadcast(spark, rows, monkeypatch):
     side = spark.createDataFrame([("hot", 1), ("a", 2), ("zz", 3)], "g string, w int")
     keyed = rows.where("g IS NOT NULL")
     want = sorted(map(repr, keyed.join(side, "g", "left").select("g", "id", "v", "w").collect()))
-    monkeypatch.setattr(joins, "BROADCAST_ROWS", 1)
     monkeypatch.setattr(joins, "small_or_not", lambda df: df)
-    monkeypatch.setattr(joins, "_forced", True, raising=False)
-    got = joins.salted_join(keyed, side, ["g"], F.col("id"), "left", salts=4, share=5)
+    got = spread_join(keyed, side, ["g"], F.col("id"), "left", salts=4, share=5)
     assert sorted(map(repr, got.select("g", "id", "v", "w").collect())) == want
     assert spread_join(keyed, side, ["g"], F.col("id"), "inner").count() == keyed.join(side, "g").count()
 

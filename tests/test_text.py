@@ -142,7 +142,7 @@ def sources():
     return [("py", "x" * 39, "too short"), ("py", "a\nb\nc" + "x" * 40, "few lines"), ("py", ok, None),
             ("py", ok + "y" * 400, None), ("py", ok + "y" * 401, "long line"), ("py", ok + "\x00", "binary"),
             ("go", "p := b\n" * 8, None), ("js", "p = b\n" * 8, "short names"),
-            ("js", ("value_of_it = " + "9" * 120 + "\n") * 4, "dense"), ("py", ("value_of_it = " + "9" * 120 + "\n") * 4, None)] + [
+            ("js", ("value_of_it = " + "9" * 140 + "\n") * 4, "dense"), ("py", ("value_of_it = " + "9" * 140 + "\n") * 4, None)] + [
         ("py", ok + s, "machine made") for s in (
             "_0xabc", "\\x41\\x42\\x43", "\\u0041\\u0042\\u0043", "+!+[]", "eval(function", "__webpack_", "_interopRequireDefault",
             "_classCallCheck", "String.fromCharCode(1,2,3,4,5)")]
