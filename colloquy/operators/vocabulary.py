@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.extract import pre_tokens
-from ..functions.once import let
 from ..session import shared_dir
 
 
@@ -143,8 +142,8 @@ def special_pieces(text: Column, special: list[str]) -> Column:
     # The earliest token wins, the longest where two start together.
     found = F.regexp_extract_all(text, F.lit(f"({quoted})"), F.lit(1))
     gaps = F.split(text, quoted, -1)
-    return let(found, lambda f: F.flatten(F.transform(gaps, lambda gap, i: F.concat(
-        pre_tokens(gap), F.slice(f, i + 1, F.lit(1))))))
+    return F.flatten(F.zip_with(gaps, found, lambda gap, token: F.concat(
+        pre_tokens(gap), F.when(token.isNotNull(), F.array(token)).otherwise(F.array().cast("array<string>")))))
 
 
 def bpe_encoder(merges: list[tuple[str, str]], special: list[str]):
