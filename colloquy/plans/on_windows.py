@@ -209,7 +209,7 @@ def _(t):
 
 
 @query("best_so_far", """
-    WITH m AS (SELECT year(o_orderdate) * 12 + month(o_orderdate) AS step, round((sum(round(o_totalprice * 100)::BIGINT)::DOUBLE / 100 + sum(o_custkey)::DOUBLE / 2) / count(*), 4) AS loss FROM orders GROUP BY 1)
+    WITH m AS (SELECT year(o_orderdate) * 12 + month(o_orderdate) AS step, (sum(round(o_totalprice * 100)::BIGINT)::DOUBLE / 100 + sum(o_custkey)::DOUBLE / 2) / count(*) AS loss FROM orders GROUP BY 1)
     SELECT step, loss, min(loss) OVER (ORDER BY step) AS best,
         coalesce(loss < min(loss) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS improved FROM m""")
 def _(t):
@@ -218,7 +218,7 @@ def _(t):
     cents = F.sum(F.round(F.col("o_totalprice") * 100).cast("bigint")).cast("double") / 100
     other = F.sum("o_custkey").cast("double") / 2
     rows = t.orders.groupBy(step.cast("bigint").alias("step")).agg(
-        F.round((cents + other) / F.count(F.lit(1)), 4).alias("loss"))
+        ((cents + other) / F.count(F.lit(1))).alias("loss"))
     rows = running(rows, ["step"], (), {"before": ("min", F.col("loss"))}, inclusive=False)
     return rows.select("step", "loss", F.least("loss", "before").alias("best"),
                        F.coalesce(F.col("loss") < F.col("before"), F.lit(True)).alias("improved"))
