@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from . import fixed_values as V
 from .once import let
-from .text import WS, normalize_ws, squeeze, strip
+from .text import squeeze, strip
 
 MARK = V.ANSWER_MARK
 BOX = "\\boxed{"

@@ -8,13 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import md5_order
-from .scan import ranked
+from .scan import Digest, ranked
 
 
 def every_nth_by_digest(keys: DataFrame, key: str, n: int) -> DataFrame:
     """Every n-th of the distinct keys in digest order: an exact share of a small set."""
     distinct = keys.select(key).distinct().withColumn("_digest", F.md5(F.col(key)))
-    return ranked(distinct, ["_digest"]).where((F.col("rn") - 1) % n == 0).select(key)
+    return ranked(distinct, [Digest("_digest")]).where((F.col("rn") - 1) % n == 0).select(key)
 
 
 def count_rows(df: DataFrame) -> Column:
@@ -31,7 +31,7 @@ def prefix_split(df: DataFrame, order: Sequence[str], share: float = 0.9) -> Dat
 
 def shuffled_split(df: DataFrame, key: str, seed: str, n_val: Column) -> DataFrame:
     """A shuffled share of n_val rows is validation."""
-    rows = ranked(df.withColumn("_digest", md5_order(seed, F.col(key))), ["_digest"])
+    rows = ranked(df.withColumn("_digest", md5_order(seed, F.col(key))), [Digest("_digest")])
     return rows.withColumn("side", F.when(F.col("rn") <= n_val, "val").otherwise("train")).drop(
         "rn", "_digest")
 

@@ -14,6 +14,7 @@ from ..functions.once import let
 from ..functions.text import normalize_ws, strip
 from ..session import shared_dir
 from .joins import fixed_table
+from .scan import Digest
 from .splits import cap_per_group, every_nth_by_digest, first_of_copies
 from .templates import fill
 
@@ -129,7 +130,7 @@ def labelled_corpus(messages: DataFrame, caps: dict[str, int], least_val: int) -
     """Messages (label, place, held_out, text) normalized, without copies, capped per side.
 
     Copies are dropped over both sides of a class, so no text crosses; then each side is
-    capped in order of `place`, which is unique.
+    capped in order of `place`, a digest that no two rows share.
     """
     rows = messages.withColumn("text", F.substring(normalize_ws(F.col("text")), 1, V.MAX_MESSAGE_CHARS)).where("text <> ''")
     # Read several times below, and costly to make.
@@ -140,7 +141,7 @@ def labelled_corpus(messages: DataFrame, caps: dict[str, int], least_val: int) -
     for label, n in caps.items():
         both = F.when(F.col("held_out"), max(n // V.ROUTE_HOLDOUT, least_val)).otherwise(n)
         cap = F.when(F.col("label") == label, both).otherwise(cap)
-    return cap_per_group(once, ["place"], ["label", "held_out"], cap).drop("rn")
+    return cap_per_group(once, [Digest("place")], ["label", "held_out"], cap).drop("rn")
 
 
 def assert_both_sides(corpus: DataFrame, labels: Sequence[str]) -> None:

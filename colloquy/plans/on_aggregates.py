@@ -11,7 +11,6 @@ from ..functions.hashing import frac, held_out, pick, pick_from
 from ..functions.text import normalize_source
 from ..operators import metrics as M
 from ..operators import vocabulary as B
-from ..operators.scan import running
 from ..operators.splits import first_of_copies
 from .dialect import byte_sql, quote, u32_sql
 from .on_extract import gold_and_answer
@@ -38,13 +37,7 @@ def _(t):
     SELECT source, coalesce(reason, 'kept') AS outcome, count(*) AS n FROM ({VERDICT_SQL}) v
     JOIN documents d USING (doc_id) GROUP BY ALL""")
 def _(t):
-    from .on_filters import SOURCES
-    from .dialect import injected
-    x = injected("code", F.col("doc_id"), F.substring("text", 1, 700), SOURCES)
-    x = F.when(pick("code", F.col("doc_id"), 7) == 5, "tiny").otherwise(x)
-    ext = F.get(F.array(*[F.lit(e) for e in ("py", "js", "ts", "go")]), (F.col("doc_id") % 4).cast("int"))
-    rows = t.documents.select("source", ext.alias("ext"), x.alias("x"))
-    return (rows.select("source", F.coalesce(P.file_verdict(F.col("ext"), F.col("x")), F.lit("kept")).alias("outcome"))
+    return (code_rows(t).select("source", F.coalesce(P.file_verdict(F.col("ext"), F.col("x")), F.lit("kept")).alias("outcome"))
             .groupBy("source", "outcome").agg(n_rows().alias("n")))
 
 

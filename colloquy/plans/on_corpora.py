@@ -5,12 +5,19 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
+from ..functions import render as R
 from ..functions import text as T
 from ..functions.hashing import held_out
 from ..functions.once import keep_computed
 from ..operators import dialogues as D
+from ..operators import traces
+from ..operators.scan import ranked
+from ..operators.splits import cap_per_group, interleave_order
 from ..session import shared_dir
-from .dialect import byte_sql, clean_utterance_sql
+from ..sources.mix import validation_cap
+from .dialect import S, byte_sql, clean_utterance_sql, squeeze_sql, strip_sql, sub_sql
+from .on_extract import RENDERED_SQL, trailing_sql
+from .on_text import recut
 from .registry import query
 
 LONG = 2000
@@ -37,3 +44,37 @@ def _(t):
     return docs.groupBy(side.alias("split")).agg(
         F.count(F.lit(1)).alias("docs"), F.sum("n_turns").alias("turns"), F.sum("n").alias("chars"),
         F.min("n").alias("shortest"), F.max("n").alias("longest"))
+
+
+KIND_WEIGHTS = {"expected_answer": 8, "hash_marks": 1, "rephrased": 3, "cot_only": 2, "qa": 3, "options": 2, "yes_no": 1}
+TRACE_CAP, TRACE_VAL_LEAST = 60, 5
+_KINDS = list(KIND_WEIGHTS)
+_STEPS = strip_sql(r"array_to_string(list_transform(string_split(" + strip_sql("think") + r", chr(10)), lambda l: regexp_replace(l, '\s+$', '')), chr(10))")
+_VALUE = strip_sql(f"regexp_extract(a, {S(V.TRAILING_VALUE)}, 1)")
+_IDENTITY = sub_sql("lower(split_part(" + sub_sql("identity", r"(?i)\b(?:answer\s+choices|options)\b\s*:?", chr(1)) + ", chr(1), 1))", "[^a-z0-9]+")
+
+
+@query("trace_corpus", f"""
+    WITH r AS ({RENDERED_SQL}),
+    c AS (SELECT doc_id, kind, {squeeze_sql('question')} AS q, {_STEPS} AS steps, {squeeze_sql('answer')} AS a, {_IDENTITY} AS identity FROM r),
+    d AS (SELECT doc_id, kind, q, {sub_sql(trailing_sql('steps'), chr(10) + '{3,}', chr(10) * 2)} AS t,
+        CASE WHEN len(string_split(a, ' ')) <= 4 OR {_VALUE} = '' THEN a ELSE {_VALUE} END AS a, {byte_sql('identity')} % 40 = 0 AS held_out FROM c),
+    f AS (SELECT *, row_number() OVER (PARTITION BY kind, held_out ORDER BY doc_id) AS rn FROM d
+        WHERE length(q) BETWEEN 1 AND 600 AND length(t) >= 40 AND length(a) BETWEEN 1 AND 120 AND length(q) + length(t) + length(a) <= 1200),
+    w(kind, place, weight) AS (VALUES {', '.join(f"('{k}', {i}, {w})" for i, (k, w) in enumerate(KIND_WEIGHTS.items()))})
+    SELECT doc_id, kind, held_out, row_number() OVER (PARTITION BY held_out ORDER BY (rn - 1) // weight, place, rn) AS position,
+        '{V.REASON} ' || q || chr(10) || '{V.THINK}' AS prompt, ' ' || t || chr(10) || '{V.ANSWER} ' || a AS target
+    FROM f JOIN w USING (kind) WHERE rn <= CASE WHEN held_out THEN greatest({TRACE_CAP} // 40, {TRACE_VAL_LEAST}) ELSE {TRACE_CAP} END""")
+def _(t):
+    """All kinds rendered, cleaned, split by identity, capped and mixed by weight."""
+    shared_dir(t.spark)
+    rows = traces.clean_traces(traces.render_all(traces.raw_sources(recut(t.documents)))).checkpoint()
+    cap = F.when(F.col("held_out"), validation_cap(F.lit(TRACE_CAP), V.REASON_HOLDOUT, TRACE_VAL_LEAST)).otherwise(TRACE_CAP)
+    kept = cap_per_group(rows, ["doc_id"], ["kind", "held_out"], cap)
+    order = F.array(*[F.lit(k) for k in _KINDS])
+    weights = F.array(*[F.lit(w) for w in KIND_WEIGHTS.values()])
+    place = F.array_position(order, F.col("kind")).cast("int") - 1
+    mixed = interleave_order(kept, "rn", F.get(weights, place), place)
+    return ranked(mixed, ["round", "place", "rn"], ["held_out"], "position").select(
+        "doc_id", "kind", "held_out", "position", R.trace_prompt(F.col("question")).alias("prompt"),
+        R.trace_target(F.col("think"), F.col("answer")).alias("target"))

@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions import predicates as P
 from ..functions import text as T
+from ..functions.hashing import pick
 from ..functions.once import keep_computed
 from ..operators import dialogues as D
 from ..operators.joins import fixed_table
 from ..session import shared_dir
-from .dialect import (LEFT, RIGHT, S, clean_utterance_sql, has_sql, injected, injected_sql, quote,
-                      squeeze_sql, sub_sql, u32_sql, word_sql)
-from .on_text import DIALOGUES_SQL, RECUT_SQL, recut, spoken
+from .dialect import (LEFT, RIGHT, clean_utterance_sql, has_sql, injected, injected_sql, quote, squeeze_sql,
+                      u32_sql, word_sql)
+from .on_text import RECUT_SQL, recut
 from .registry import query
 
 # The tables' turns run long, so the limit is raised for them; it is a parameter.
@@ -121,12 +122,11 @@ VERDICT_SQL = f"""
 
 
 def code_rows(t):
-    """Documents dressed as source files of four extensions."""
+    """Documents dressed as source files of four extensions, with their source."""
     x = injected("code", F.col("doc_id"), F.substring("text", 1, 700), SOURCES)
-    from ..functions.hashing import pick
     x = F.when(pick("code", F.col("doc_id"), 7) == 5, "tiny").otherwise(x)
     ext = F.get(F.array(*[F.lit(e) for e in ("py", "js", "ts", "go")]), (F.col("doc_id") % 4).cast("int"))
-    return t.documents.select("doc_id", ext.alias("ext"), x.alias("x"))
+    return t.documents.select("doc_id", "source", ext.alias("ext"), x.alias("x"))
 
 
 @query("keep_source_file", f"SELECT doc_id, ext, reason IS NULL AS keep, reason FROM ({VERDICT_SQL})")
@@ -154,11 +154,6 @@ TALK = [("How much is {id}0? ", ""), ("what language is it ", ""), ("write me a
         ("how many ", ""), ("whats the score ", ""), ("in the Picture ", "")]
 
 
-def ascii_borders(pattern: str) -> str:
-    """A pattern whose borders are spelled out for RE2; each branch opens with one."""
-    return pattern.replace(r"\b", r"(?:^|$|[^\p{L}\p{N}_])")
-
-
 def _conflict_sql(x: str) -> str:
     # Every branch is \b..\b, so the borders can be taken once, outside.
     inner = "|".join(b.removeprefix(r"\b").removesuffix(r"\b") for b in V.CONFLICT.split(r"|\b"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
-from ..functions.hashing import frac, held_out, md5_order, pick
+from ..functions.hashing import frac, held_out
 from ..functions.text import normalize_ws
 from ..operators.joins import fixed_table
 from ..operators.scan import running

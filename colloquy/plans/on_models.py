@@ -18,7 +18,7 @@ from ..operators.scan import sliding
 from .dialect import byte_sql, quote, u32_sql
 from .on_aggregates import PREDS_SQL, predictions
 from .on_extract import RENDERED_SQL
-from .on_filters import _BLOCK_SQL, _TRIGGERS, CASCADE_SQL, CUE_SQL, cue_rows, trigger_sql
+from .on_filters import _BLOCK_SQL, CASCADE_SQL, CUE_SQL, cue_rows, trigger_sql
 from .dialect import word_sql
 from .on_text import recut
 from .registry import query

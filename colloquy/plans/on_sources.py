@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import extract as X
 from ..functions import fixed_values as V
 from ..functions import predicates as P
 from ..functions.hashing import held_out

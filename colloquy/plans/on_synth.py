@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..functions.hashing import held_out, md5_order
 from ..functions.once import keep_computed
 from ..operators import synth as Y
-from .dialect import S, byte_sql, clean_utterance_sql, has_sql, injected, injected_sql, md5_sql, quote, squeeze_sql, strip_sql, sub_sql, u32_sql
+from .dialect import byte_sql, clean_utterance_sql, has_sql, injected, injected_sql, md5_sql, quote, squeeze_sql, strip_sql, sub_sql, u32_sql
 from .on_filters import plain_chat_sql
 from .on_text import TASKS
 from .registry import query

@@ -8,8 +8,7 @@ from ..functions import fixed_values as V
 from ..functions import render as R
 from ..functions import text as T
 from ..operators.dialogues import dialogues, history_before
-from .dialect import (S, clean_utterance_sql, has_sql, id_tail, injected, injected_sql, md5_sql,
-                      squeeze_sql, strip_sql, sub_sql, tail_sql, u32_sql)
+from .dialect import clean_utterance_sql, has_sql, injected, injected_sql, squeeze_sql, strip_sql, sub_sql
 from .registry import query
 
 # ------------------------------------------------------------------ cleaning

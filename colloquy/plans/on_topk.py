@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.hashing import frac, md5_order, u32
+from ..functions.hashing import md5_order
 from ..operators import metrics as M
 from ..operators import ranking as K
+from ..operators.scan import Digest
 from ..operators.splits import cap_per_group
-from .dialect import md5_sql, u32_sql
+from .dialect import md5_sql
 from .on_aggregates import PREDS_SQL, predictions
 from .registry import query
 
@@ -92,7 +93,7 @@ def _(t):
     SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY {md5_sql('even', 'doc_id')}) AS rn FROM documents) WHERE rn <= 70""")
 def _(t):
     rows = t.documents.select("doc_id", "lang", md5_order("even", F.col("doc_id")).alias("at"))
-    return cap_per_group(rows, ["at"], ["lang"], 70).select("doc_id", "lang")
+    return cap_per_group(rows, [Digest("at")], ["lang"], 70).select("doc_id", "lang")
 
 
 @query("eval_subsample", f"SELECT doc_id, source FROM documents ORDER BY {md5_sql('eval', 'doc_id')} LIMIT 300")

@@ -11,11 +11,10 @@ from ..functions.hashing import md5_order, u32
 from ..functions.text import normalize_ws
 from ..operators import packing as K
 from ..operators import ranking
-from ..operators.dialogues import history_before
-from ..operators.scan import ranked, running, sliding
+from ..operators.scan import Digest, ranked, running, sliding
 from ..operators.splits import cap_per_group, every_nth_by_digest, interleave_order
 from ..sources.mix import validation_cap
-from .dialect import S, md5_sql, quote, squeeze_sql, u32_sql
+from .dialect import md5_sql, squeeze_sql, u32_sql
 from .on_extract import _CONV_IDS, _ids_sql, conversation_ids
 from .on_text import FIELDS_SQL, STATE_SQL, event_fields
 from .registry import query
@@ -114,7 +113,7 @@ def _(t):
 @query("pack_stream", _packed_sql(md5_sql("pack", "(conv_id * 1000 + turn)")))
 def _(t):
     docs = conversation_ids(t).withColumn("at", md5_order("pack", F.col("conv_id") * 1000 + F.col("turn")))
-    blocks = K.pack_blocks(docs, ["at"], "ids", END, BLOCK)
+    blocks = K.pack_blocks(docs, [Digest("at")], "ids", END, BLOCK)
     return blocks.select("block_no", F.array_join("ids", " ").alias("ids"))
 
 

@@ -41,11 +41,17 @@ def test_running(rows, inclusive, group):
     assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
 
 
-def test_running_by_digest(rows):
-    df = rows.withColumn("d", F.md5(F.col("id").cast("string")))
-    got = {r["id"]: r["rn"] for r in ranked(df, ["d"]).collect()}
-    ids = sorted(got, key=lambda i: __import__("hashlib").md5(str(i).encode()).hexdigest())
-    assert [got[i] for i in ids] == list(range(1, len(ids) + 1))
+@pytest.mark.parametrize("digest", [True, False])
+def test_rank_by_string(rows, digest):
+    df = rows.withColumn("d", F.md5(F.col("id").cast("string")) if digest else
+                         F.concat(F.translate(F.col("id").cast("string"), "0123456789", "zé~ aBb0ß🙂"), F.lit("x")))
+    got = {r["d"]: r["rn"] for r in ranked(df, [scan.Digest("d") if digest else "d"]).collect()}
+    assert [got[d] for d in sorted(got, key=str.encode)] == list(range(1, len(got) + 1))
+
+
+def test_other_orders_are_refused(rows):
+    with pytest.raises(TypeError):
+        scan.block_of(rows.withColumn("a", F.array("id")), "a")
 
 
 @pytest.mark.parametrize("n", [1, 3, 9])
