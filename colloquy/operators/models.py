@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..session import shared_dir
-from .joins import spread_join
+from .joins import BROADCAST_ROWS, spread_join
 
 
 def words(x: Column) -> Column:
@@ -83,8 +83,8 @@ def train_classifier(train: DataFrame, text: str, label: str, features: int = 1
 
     sizes = train.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     n_classes, n_rows = sizes.agg(F.count(F.lit(1)), F.sum("_n")).first()
-    # One row per class; AQE sends it whole.
-    weighted = train.join(sizes, label).withColumn("weight", F.lit(n_rows / n_classes) / F.col("_n"))
+    small = F.broadcast(sizes) if n_classes <= BROADCAST_ROWS else sizes
+    weighted = train.join(small, label).withColumn("weight", F.lit(n_rows / n_classes) / F.col("_n"))
     stages = [StringIndexer(inputCol=label, outputCol="target", stringOrderType="alphabetAsc"),
               RegexTokenizer(inputCol=text, outputCol="words", pattern=r"\s+"),
               HashingTF(inputCol="words", outputCol="features", numFeatures=features),

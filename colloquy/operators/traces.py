@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,89 +15,97 @@ from ..functions import text as T
 from ..functions.hashing import held_out
 from ..functions.once import keep_computed
 
-Renderer = Callable[[DataFrame], DataFrame]
+@dataclass
+class Rendering:
+    """What a row says, as columns. Rows that do not pass `keep` are dropped."""
+
+    question: Column
+    think: Column
+    answer: Column
+    identity: Column | None = None  # of the problem, for splitting; the question by default
+    keep: Column | None = None
+
+    def struct(self) -> Column:
+        identity = self.question if self.identity is None else self.identity
+        made = F.struct(self.question.alias("question"), self.think.alias("think"),
+                        self.answer.alias("answer"), identity.alias("identity"))
+        return made if self.keep is None else F.when(self.keep, made)
+
+
+Renderer = Callable[[], Rendering]
 RENDERERS: dict[str, Renderer] = {}
+FIELDS = ["question", "think", "answer", "identity"]
 
 
 def renderer(kind: str):
-    """Register how rows of one kind become question, think, answer, identity.
-
-    A renderer maps a DataFrame to a DataFrame; rows it drops are simply not in its result.
-    """
+    """Register how rows of one kind are read."""
     def register(fn: Renderer) -> Renderer:
         RENDERERS[kind] = fn
         return fn
     return register
 
 
-def shape(df: DataFrame, question: Column, think: Column, answer: Column,
-          identity: Column | None = None) -> DataFrame:
-    identity = question if identity is None else identity
-    return df.withColumns({"question": question, "think": think, "answer": answer,
-                           "identity": identity})
-
-
-def parsed(solution: str) -> tuple[Column, Column]:
-    pair = X.split_answer(F.col(solution))
-    return pair["steps"], pair["answer"]
+def render(rows: DataFrame, made: Column) -> DataFrame:
+    """Rows with the fields of a rendering in place of their own; null drops a row."""
+    out = rows.withColumn("_r", F.explode(F.filter(F.array(made), lambda r: r.isNotNull())))
+    kept = [c for c in rows.columns if c in ("doc_id", "source", "kind")]
+    return out.select(*kept, *[F.col(f"_r.{f}").alias(f) for f in FIELDS])
 
 
 @renderer("hash_marks")
-def hash_marks(df: DataFrame) -> DataFrame:
+def hash_marks() -> Rendering:
     """Solutions of one step per line that end in `#### value`."""
-    rows = df.where(F.contains("solution", F.lit("####")))
-    return shape(rows, F.col("question"),
-                 T.strip_calc_notes(F.substring_index("solution", "####", 1)),
-                 F.regexp_extract("solution", r"(?s)####(.*)$", 1))
+    return Rendering(
+        F.col("question"), T.strip_calc_notes(F.substring_index("solution", "####", 1)),
+        F.regexp_extract("solution", r"(?s)####(.*)$", 1), keep=F.contains("solution", F.lit("####")))
 
 
 def qa(question: str, solution: str) -> Renderer:
     """A question and a worked solution whose answer is found in the text."""
-    def render(df: DataFrame) -> DataFrame:
-        return shape(df, F.col(question), *parsed(solution))
-    return render
+    def read() -> Rendering:
+        pair = X.split_answer(F.col(solution))
+        return Rendering(F.col(question), pair["steps"], pair["answer"])
+    return read
 
 
 RENDERERS["qa"] = qa("question", "solution")
 
 
 @renderer("rephrased")
-def rephrased(df: DataFrame) -> DataFrame:
+def rephrased() -> Rendering:
     """Many phrasings of one problem share the identity of the original question."""
     own = F.coalesce(F.nullif(F.col("original_question"), F.lit("")), F.col("question"))
-    return shape(df, F.col("question"), *parsed("solution"), own)
+    return replace(RENDERERS["qa"](), identity=own)
 
 
 @renderer("cot_only")
-def cot_only(df: DataFrame) -> DataFrame:
+def cot_only() -> Rendering:
     """Only rows that reason in prose; the others answer by writing code."""
-    return RENDERERS["qa"](df.where(F.contains(F.coalesce("origin", F.lit("")), F.lit("/CoT/"))))
+    return replace(RENDERERS["qa"](), keep=F.contains(F.coalesce("origin", F.lit("")), F.lit("/CoT/")))
 
 
 @renderer("options")
-def options(df: DataFrame) -> DataFrame:
+def options() -> Rendering:
     """Choices go into the question; the answer is the gold letter."""
     asked = T.strip(F.coalesce("question", F.lit("")))
     asked = F.when(F.size("choices") > 0, F.concat(
         asked, F.lit("\nOptions: "), F.array_join("choices", " "))).otherwise(asked)
     why = T.strip(F.coalesce("solution", F.lit("")))
     closes = X.has_mark(why) | X.last_boxed(why).isNotNull()
-    return shape(df, asked, F.when(closes, X.split_answer(why)["steps"]).otherwise(why),
-                 F.col("gold"))
+    return Rendering(asked, F.when(closes, X.split_answer(why)["steps"]).otherwise(why), F.col("gold"))
 
 
 @renderer("expected_answer")
-def expected_answer(df: DataFrame) -> DataFrame:
+def expected_answer() -> Rendering:
     """The answer has its own field; solutions with code are left to another corpus."""
-    return shape(df.where(~P.has_code(F.col("solution"))), F.col("question"),
-                 F.col("solution"), F.col("gold"))
+    return Rendering(F.col("question"), F.col("solution"), F.col("gold"),
+                     keep=~P.has_code(F.col("solution")))
 
 
 @renderer("yes_no")
-def yes_no(df: DataFrame) -> DataFrame:
-    rows = df.where("truth IS NOT NULL")
-    return shape(rows, F.col("question"), F.col("solution"),
-                 F.when(F.col("truth"), "yes").otherwise("no"))
+def yes_no() -> Rendering:
+    return Rendering(F.col("question"), F.col("solution"), F.when(F.col("truth"), "yes").otherwise("no"),
+                     keep=F.col("truth").isNotNull())
 
 
 # The test table has 20 sources; which shape a source has is fixed by its number.
@@ -129,11 +137,13 @@ def raw_sources(recut: DataFrame) -> DataFrame:
 
 
 def render_all(raw: DataFrame) -> DataFrame:
-    """All kinds rendered and put together."""
-    columns = ["doc_id", "source", "kind", "question", "think", "answer", "identity"]
-    parts = [render(raw.where(F.col("kind") == kind)).select(*columns)
-             for kind, render in RENDERERS.items()]
-    return reduce(DataFrame.unionByName, parts)
+    """Rows of all kinds rendered in one pass; a row is read only as its own kind."""
+    kinds = iter(RENDERERS.items())
+    kind, read = next(kinds)
+    made = F.when(F.col("kind") == kind, read().struct())
+    for kind, read in kinds:
+        made = made.when(F.col("kind") == kind, read().struct())
+    return render(raw, made)
 
 
 def clean_traces(rendered: DataFrame) -> DataFrame:

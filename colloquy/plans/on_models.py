@@ -213,9 +213,9 @@ def two_set_report(rows):
 def _(t):
     rows = recut(t.documents)
     known = traces.render_all(traces.raw_sources(rows))
-    # A renderer of the user's own, made for other fields, is a function of a table too.
-    own = traces.shape(rows.withColumn("kind", F.lit("shouted")), F.concat("question", F.lit("!")),
-                       F.col("steps"), F.lit("!")).select(*known.columns)
+    # A renderer of the user's own, for other fields.
+    shouted = traces.Rendering(F.concat("question", F.lit("!")), F.col("steps"), F.lit("!"))
+    own = traces.render(rows.withColumn("kind", F.lit("shouted")), shouted.struct()).select(*known.columns)
     return known.unionByName(own).groupBy("kind").agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.length("question")).alias("q_chars"),
         F.sum(F.length("answer")).alias("a_chars"))

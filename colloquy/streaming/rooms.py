@@ -23,11 +23,15 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 
 # -------------------------------------------------------------------- sources
-def table_stream(spark: SparkSession, folder: str, name: str, files_per_trigger: int = 16) -> DataFrame:
-    """A table folder read as a stream, with the schema its files have now."""
+def table_stream(spark: SparkSession, folder: str, name: str, batch_bytes: int = 128 * 1024 * 1024) -> DataFrame:
+    """A table folder read as a stream, with the schema its files have now.
+
+    A batch takes about `batch_bytes` and at least one file, which bounds what a room can
+    bring at once.
+    """
     schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
     return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
-            .option("maxFilesPerTrigger", files_per_trigger).parquet(folder))
+            .option("maxBytesPerTrigger", batch_bytes).parquet(folder))
 
 
 def drain(stream: DataFrame, name: str) -> DataFrame:
