@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -28,7 +31,27 @@ def build_session(app: str = "colloquy", master: str | None = None, **conf: str)
         builder = builder.master(master)
     for key, value in {**DEFAULTS, **conf}.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_code(spark)
+    return spark
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors, so that their Python workers can import it."""
+    package = os.path.dirname(os.path.abspath(__file__))
+    name = f"{os.path.basename(package)}-code.zip"
+    if any(f.endswith(name) for f in spark.sparkContext.listFiles):
+        return
+    # Executors fetch the file from the driver, so it stays as long as the driver does.
+    folder = tempfile.TemporaryDirectory()
+    atexit.register(folder.cleanup)
+    with zipfile.ZipFile(path := os.path.join(folder.name, name), "w") as out:
+        for top, _, files in os.walk(package):
+            for file in files:
+                if file.endswith(".py"):
+                    full = os.path.join(top, file)
+                    out.write(full, os.path.relpath(full, os.path.dirname(package)))
+    spark.sparkContext.addPyFile(path)
 
 
 def shared_dir(spark: SparkSession) -> str:
