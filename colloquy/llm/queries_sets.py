@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import neardup
+from . import neardup, substring
 from .common import table
 from .registry import query
 
@@ -35,3 +35,28 @@ JOIN (SELECT doc_id, min(other) AS component_id FROM r GROUP BY 1) c ON c.doc_id
 @query("op8_near_duplicates", OP8_SQL)
 def op8(spark, folder):
     return neardup.near_duplicates(table(spark, folder, "documents"))
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (
+  SELECT doc_id, unnest(range(1, len(w) - 11)) AS i, unnest(list_transform(range(1, len(w) - 11),
+    lambda i: array_to_string(w[i:i+12], ' '))) AS g FROM d),
+m AS (SELECT g, min(doc_id) AS least FROM s GROUP BY 1),
+c AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM (
+    SELECT s.doc_id, s.i FROM s JOIN m ON s.g = m.g WHERE s.doc_id > m.least)),
+r AS (SELECT doc_id, list(p) AS gone FROM c GROUP BY 1),
+k AS (
+  SELECT d.doc_id, len(w) AS n, coalesce(len(gone), 0) AS x, array_to_string(CASE WHEN gone IS NULL THEN w
+    ELSE list_filter(w, lambda v, i: NOT list_contains(gone, i)) END, ' ') AS t
+  FROM d LEFT JOIN r ON d.doc_id = r.doc_id)
+SELECT doc_id, n::BIGINT AS n_words, x::BIGINT AS n_removed, sha256(t) AS kept_sha256 FROM k
+"""
+
+
+@query("op2_substring_dedup", OP2_SQL)
+def op2(spark, folder):
+    return substring.remove_repeats(table(spark, folder, "documents")).drop("kept_text")
