@@ -1,4 +1,4 @@
 """All queries of this package."""
 
-from . import queries_text, queries_sets  # noqa: F401
+from . import queries_pages, queries_sets, queries_text  # noqa: F401
 from .registry import PLANS, SQL  # noqa: F401
