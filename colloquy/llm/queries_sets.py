@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import neardup, substring
+from . import decontaminate, neardup, substring
 from .common import table
 from .registry import query
 
@@ -60,3 +60,40 @@ SELECT doc_id, n::BIGINT AS n_words, x::BIGINT AS n_removed, sha256(t) AS kept_s
 @query("op2_substring_dedup", OP2_SQL)
 def op2(spark, folder):
     return substring.remove_repeats(table(spark, folder, "documents")).drop("kept_text")
+
+
+OP3_SQL = r"""
+WITH d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(lower(coalesce(text, '')), '.,;:!?"''()[]{}«»“”„…', ''),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+b AS (
+  SELECT item_id, list_filter(string_split_regex(translate(lower(coalesce(text, '')), '.,;:!?"''()[]{}«»“”„…', ''),
+    '[\x20\x09-\x0D]+'), lambda x: x <> '') AS v FROM benchmark),
+m AS (SELECT * FROM (VALUES (1, [0, 1, 4, 5, 6]), (2, [0, 1, 5, 7, 8])) AS t(mask, reads)),
+bs AS (
+  SELECT mask, item_id, j, array_to_string(list_transform(reads, lambda r: v[j + 1 + r]), ' ') AS h
+  FROM (SELECT item_id, v, unnest(range(0, len(v) - 8)) AS j FROM b WHERE len(v) >= 9), m),
+ds AS (
+  SELECT mask, doc_id, i, array_to_string(list_transform(reads, lambda r: w[i + 1 + r]), ' ') AS h
+  FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM d), m WHERE i + reads[5] < len(w)),
+hits AS (
+  SELECT DISTINCT doc_id, item_id, i - j AS shift, j FROM ds JOIN bs ON ds.mask = bs.mask AND ds.h = bs.h),
+near AS (
+  SELECT DISTINCT doc_id, item_id, shift, unnest(range(greatest(0, j - 4),
+    least(j, len(v) - least(13, len(v))) + 1)) AS a FROM hits JOIN b USING (item_id)),
+o AS (
+  SELECT doc_id, item_id, least(13, len(v)) AS size, len(list_filter(range(0, least(13, len(v))),
+    lambda k: shift + a + k >= 0 AND coalesce(w[shift + a + k + 1] = v[a + k + 1], false))) AS same
+  FROM near JOIN b USING (item_id) JOIN d USING (doc_id)),
+f AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_items, max(same) AS best FROM o WHERE same * 13 >= size * 10 GROUP BY 1)
+SELECT d.doc_id, len(w)::INT AS n_words, coalesce(n_items, 0)::BIGINT AS n_items,
+  coalesce(best, 0)::INT AS best_overlap, n_items IS NOT NULL AS contaminated
+FROM d LEFT JOIN f ON d.doc_id = f.doc_id
+"""
+
+
+@query("op3_decontamination", OP3_SQL)
+def op3(spark, folder):
+    rows = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return rows.select("doc_id", "n_words", "n_items", "best_overlap", "contaminated")
