@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding
+from . import mixing, quality, sharding, toxicity
 from .common import table
 from .registry import query
 
@@ -113,3 +113,9 @@ FROM x
 def op1(spark, folder):
     rows = mixing.mix_words(table(spark, folder, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op10_toxicity")
+def op10(spark, folder):
+    docs = table(spark, folder, "documents")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, folder, "labels")))
