@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import warc
+from . import pages, warc
 from .common import table
 from .registry import query
 
@@ -25,3 +25,8 @@ def op9(spark, folder):
     manifest = warc.write_archives(table(spark, folder, "pages"))
     return warc.read_archives(manifest, with_payload=False).select(
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op5_html_text")
+def op5(spark, folder):
+    return pages.visible_text(table(spark, folder, "pages"))
