@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import mixing, quality, sharding, toxicity
+from . import mixing, pseudo_lm, quality, sharding, toxicity
 from .common import table
 from .registry import query
 
@@ -119,3 +119,9 @@ def op1(spark, folder):
 def op10(spark, folder):
     docs = table(spark, folder, "documents")
     return toxicity.score_documents(docs, toxicity.train(docs, table(spark, folder, "labels")))
+
+
+@query("op7_pseudo_likelihood")
+def op7(spark, folder):
+    docs = table(spark, folder, "documents")
+    return pseudo_lm.score(docs, pseudo_lm.train(docs))
