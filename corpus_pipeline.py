@@ -1,39 +1,57 @@
 """A training corpus from raw documents, one written stage after the other.
 
-Every stage works on the rows its predecessor kept and, but for the last, returns the
-columns of `documents`. The last places what is left into shards.
+Every stage works on all rows its predecessor kept and, but for the last, returns the columns
+of `documents`. Rejected documents and near copies are gone, documents with benchmark
+passages too; the mix repeats documents of sources that weigh more than their share and
+leaves some of the others out; the last stage places what is left into shards.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from colloquy.llm import mixing, quality, sharding
+from colloquy.llm import decontaminate, mixing, neardup, quality, sharding
 from colloquy.llm.common import store, table
+from colloquy.operators.joins import small_or_not
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def clean_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejected documents go; the others keep the lines that passed."""
-    from pyspark.sql import functions as F
-    judged = quality.judge_lines(docs).where("kept")
-    return judged.select("doc_id", F.col("cleaned_text").alias("text"), "lang", "source",
-                         F.length("cleaned_text").cast("bigint").alias("n_chars"))
+    kept = quality.judge_lines(docs.select(*COLUMNS)).where("kept")
+    return kept.select("doc_id", F.col("cleaned_text").alias("text"), "lang", "source",
+                       F.length("cleaned_text").cast("bigint").alias("n_chars"))
 
 
-def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays; rows that repeat an id and a text
+    are one document."""
+    gone = store(neardup.near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "pipe-gone")
+    # One number per row. Beyond the checked size the join is shuffled.
+    return docs.join(small_or_not(gone), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold passages of the benchmark go."""
+    judged = decontaminate.contamination(docs.select(*COLUMNS), table(spark, sf_dir, "benchmark"))
+    return judged.where("NOT contaminated").select(*COLUMNS)
+
+
+def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as the mix takes them, repeated or left out."""
     return mixing.mix_documents(docs.select(*COLUMNS))
 
 
-def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.shard_documents(docs).drop("digest")
+def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
-STAGES = [("quality_rules", clean_lines), ("source_mix", mix_sources), ("sharding", place_in_shards)]
+STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("decontamination", decontaminated),
+          ("source_mix", source_mix), ("sharding", shards)]
 
-# Components of near copies and quotas of blocks are not expressed in SQL.
+# Components of near copies and the search for the shard capacity are not expressed in SQL.
 ORACLE_SQL = None
 
 
