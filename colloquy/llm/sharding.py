@@ -77,27 +77,48 @@ class Summary:
                     found.add(self.keys[i])
         return sorted(found)
 
+    def even(self, first: int, last: int, start: int, shards: int, capacity: int) -> list[int]:
+        """Item indices at which shards of the items first .. last - 1 begin, the first
+        shard left out: each cut next to an even share of what is left."""
+        ends = [e - start for e in self.ends[first:last + 1]]
+        earliest = [ends[-1]]
+        for _ in range(shards - 1):
+            earliest.append(ends[bisect_left(ends, max(0, earliest[-1] - capacity))])
+        earliest, cuts, at = earliest[::-1], [], 0
+        for j in range(shards - 1):
+            share = at + (ends[-1] - at) / (shards - j)
+            i = min(bisect_left(ends, share), len(ends) - 1)
+            if i and share - ends[i - 1] <= ends[i] - share:
+                i -= 1
+            i = max(i, min(bisect_left(ends, at) + 1, len(ends) - 1))  # no shard stays empty
+            at = min(max(ends[i], earliest[j]), ends[bisect_right(ends, at + capacity) - 1])
+            cuts.append(first + bisect_left(ends, at))
+        return cuts
+
     def balanced(self, shards: int) -> list[str]:
         """First prefix of each shard after the first, under the least capacity.
 
-        One large group can make that capacity roomy; then each cut goes, within what the
-        capacity allows, next to an even share of what is left.
+        A group larger than an even share makes that capacity roomy. It gets a shard of its
+        own, and the runs of groups between such groups share the other shards by their size.
         """
-        capacity = self.least_capacity(shards, False)
-        earliest = [self.total]
-        for _ in range(shards - 1):
-            earliest.append(self.ends[bisect_left(self.ends, max(0, earliest[-1] - capacity))])
-        earliest = earliest[::-1]
-        firsts, at = [], 0
-        for j in range(shards - 1):
-            even = at + (self.total - at) / (shards - j)
-            i = bisect_left(self.ends, even)
-            if i and (i == len(self.ends) or even - self.ends[i - 1] <= self.ends[i] - even):
-                i -= 1
-            at = min(max(self.ends[i], earliest[j]), self.reach(at, capacity, False))
-            i = bisect_left(self.ends, at)
-            firsts.append(self.keys[i] if i < len(self.keys) else "~")
-        return firsts
+        capacity, n = self.least_capacity(shards, False), len(self.keys)
+        large = [i for i in range(n) if self.single[i] and self.bytes[i] * shards > self.total]
+        runs, at = [], 0
+        for i in [*large, n]:
+            if i > at:
+                runs.append((at, i))
+            at = i + 1
+        counts = [1] * len(runs)
+        size = [self.ends[b] - self.ends[a] for a, b in runs]
+        while sum(counts) < shards - len(large):
+            counts[max(range(len(runs)), key=lambda r: size[r] / counts[r])] += 1
+        cuts = []
+        for (a, b), k in zip(runs, counts):
+            cuts += [a, *self.even(a, b, self.ends[a], k, capacity)]
+        cuts = sorted([*cuts, *large])
+        if len(cuts) != shards or max(self.ends[b] - self.ends[a] for a, b in zip(cuts, [*cuts[1:], n])) > capacity:
+            cuts = [0, *self.even(0, n, 0, shards, capacity)]
+        return [self.keys[i] if i < n else "~" for i in cuts[1:]]
 
 
 def _prefix_sums(groups: DataFrame, digits: int) -> dict[str, tuple[int, bool]]:
