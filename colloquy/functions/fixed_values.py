@@ -32,6 +32,11 @@ ROUTE_HOLDOUT = 6
 READER_LEN = 160
 DISCORD_LIMIT = 2000
 GOOGLE_CHAT_LIMIT = 4096
+MESSAGE_MARGIN = 8
+LEAST_MESSAGE = 16
+GRID_WIDTH = (3, 80)
+GRID_ALPHABET = 20
+MONOSPACE = r"(?m)[█▲●·■▓▒░│─┌┐└┘├┤┬┴┼]|^[ \t]{2,}\S|\S {2,}\S"
 BUDGETS_MS = [("30 fps", 33.33), ("60 fps", 16.67), ("120 fps", 8.33)]
 HOLDOUT_SCORES = [17, 33, 54, 76, 91]
 

@@ -22,6 +22,10 @@ def events(t):
     return R.table_stream(t.spark, t.folder, "events")
 
 
+def replayed(t):
+    return R.Replay(t.spark, t.folder, "events", "ts")
+
+
 def k_of(props="props"):
     return F.get_json_object(props, "$.k").cast("bigint")
 
@@ -54,18 +58,20 @@ def _(t):
     WITH h AS (SELECT event_id, user_id, list(event_type || ' ' || props) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS l FROM events)
     SELECT event_id, user_id, coalesce(array_to_string(l, chr(10)), '') AS history FROM h""")
 def _(t):
-    rows = events(t).select("event_id", "user_id", "ts", F.concat_ws(" ", "event_type", "props").alias("line"))
+    replay = replayed(t)
+    rows = replay.stream.select("event_id", "user_id", "ts", F.concat_ws(" ", "event_type", "props").alias("line"))
     out = R.keyed(rows, "user_id", R.RoomHistory("user_id", ["ts", "event_id"]),
                   "event_id bigint, user_id bigint, history string")
-    return R.drain(out, "history")
+    return R.drain(out, "history", replay)
 
 
 @query("stream_last_seen", ASOF_SQL)
 def _(t):
-    rows = events(t).select("event_id", "user_id", "ts", "event_type", "value")
+    replay = replayed(t)
+    rows = replay.stream.select("event_id", "user_id", "ts", "event_type", "value")
     out = R.keyed(rows, "user_id", R.LastSeen("user_id", ["ts", "event_id"]),
                   "event_id bigint, user_id bigint, seen_image bigint, seen_value double")
-    return R.drain(out, "seen")
+    return R.drain(out, "seen", replay)
 
 
 def suppression_input(rows):
@@ -78,9 +84,10 @@ def suppression_input(rows):
 
 @query("stream_recent_suppression")
 def _(t):
-    out = R.keyed(suppression_input(events(t)), "user_id", R.RecentSuppression("user_id", ["ts", "event_id"]),
+    replay = replayed(t)
+    out = R.keyed(suppression_input(replay.stream), "user_id", R.RecentSuppression("user_id", ["ts", "event_id"]),
                   "event_id bigint, user_id bigint, reply string, score double")
-    return R.drain(out, "suppressed")
+    return R.drain(out, "suppressed", replay)
 
 
 @query("stream_session_stats", SESSION_SQL)

@@ -308,11 +308,55 @@ def _(t):
         R.trace_target(F.col("steps"), F.col("answer")).alias("target"))
 
 
-@query("split_message")
+_FENCED_SQL = "CASE WHEN doc_id % 5 = 0 THEN '```' || chr(10) || text || chr(10) || '```' || chr(10) || text WHEN doc_id % 5 = 1 THEN '1 2 3' || chr(10) || '4 5 6' || chr(10) || chr(10) || text ELSE text END"
+
+
+def _pieces_sql(limit: int) -> str:
+    """The fold over parts with states as list elements."""
+    room = max(limit - V.MESSAGE_MARGIN, V.LEAST_MESSAGE)
+    shut = "CASE WHEN {s}.open THEN {s}.piece || chr(10) || '```' ELSE {s}.piece END"
+    return f"""SELECT doc_id, {limit} AS limit_chars, list_append(r.done, {shut.format(s='r')}) AS pieces FROM (
+        SELECT doc_id, list_reduce(list_transform(flatten(list_transform(string_split(x, chr(10)), lambda l: list_transform(
+            range(1, greatest(length(l), 1) + 1, {room}), lambda a: substr(l, a, {room})))),
+            lambda q: {{'done': []::VARCHAR[], 'piece': q, 'open': starts_with(q, '```')}}),
+          lambda s, q: CASE WHEN length(s.piece) + 1 + length(q.piece) > {room}
+            THEN {{'done': list_append(s.done, {shut.format(s='s')}),
+                   'piece': CASE WHEN s.open THEN '```' || chr(10) || q.piece ELSE q.piece END, 'open': s.open <> q.open}}
+            ELSE {{'done': s.done, 'piece': s.piece || chr(10) || q.piece, 'open': s.open <> q.open}} END) AS r
+        FROM (SELECT doc_id, {_FENCED_SQL} AS x FROM documents))"""
+
+
+@query("split_message", f"""
+    WITH p AS ({_pieces_sql(V.DISCORD_LIMIT)} UNION ALL {_pieces_sql(V.GOOGLE_CHAT_LIMIT)}),
+    k AS (SELECT doc_id, limit_chars, list_filter(pieces, lambda x: regexp_matches(x, '[^ \\t\\n\\r]')) AS pieces FROM p),
+    f AS (SELECT doc_id, limit_chars, CASE WHEN len(pieces) = 0 THEN [''] ELSE pieces END AS pieces FROM k)
+    SELECT doc_id, limit_chars, (generate_subscripts(pieces, 1) - 1)::INTEGER AS piece_no, unnest(pieces) AS piece FROM f""")
 def _(t):
     from ..operators.chunking import split_messages
-    fenced = F.when(F.col("doc_id") % 5 == 0, F.concat(
-        F.lit("```\n"), "text", F.lit("\n```\n"), "text")).otherwise(F.col("text"))
+    fenced = (F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("```\n"), "text", F.lit("\n```\n"), "text"))
+              .when(F.col("doc_id") % 5 == 1, F.concat(F.lit("1 2 3\n4 5 6\n\n"), "text")).otherwise(F.col("text")))
     docs = t.documents.select("doc_id", fenced.alias("text"))
-    return split_messages(docs, "doc_id", "text", V.DISCORD_LIMIT).unionByName(
-        split_messages(docs, "doc_id", "text", V.GOOGLE_CHAT_LIMIT))
+    return split_messages(docs, "doc_id", F.col("text"), V.DISCORD_LIMIT).unionByName(
+        split_messages(docs, "doc_id", F.col("text"), V.GOOGLE_CHAT_LIMIT))
+
+
+@query("fence_blocks", f"""
+    WITH d AS (SELECT doc_id, string_split_regex({_FENCED_SQL}, '\\n[ \\t]*\\n') AS bs FROM documents),
+    b AS (SELECT doc_id, generate_subscripts(bs, 1) AS i, unnest(bs) AS b FROM d),
+    l AS (SELECT *, list_filter(string_split(b, chr(10)), lambda x: trim(x) <> '') AS ls FROM b),
+    m AS (SELECT *, contains(regexp_replace(b, '^\\s+|\\s+$', '', 'g'), chr(10)) AND (
+            regexp_matches(b, '{V.MONOSPACE}') OR (len(ls) >= 2
+            AND list_min(list_transform(ls, lambda x: length(x))) = list_max(list_transform(ls, lambda x: length(x)))
+            AND list_min(list_transform(ls, lambda x: length(x))) BETWEEN {V.GRID_WIDTH[0]} AND {V.GRID_WIDTH[1]}
+            AND len(list_distinct(string_split(replace(b, chr(10), ''), ''))) <= {V.GRID_ALPHABET})) AS mono FROM l)
+    SELECT doc_id, string_agg(CASE WHEN mono THEN '```' || chr(10) || trim(b, chr(10)) || chr(10) || '```' ELSE b END, chr(10) || chr(10) ORDER BY i) AS text,
+        count_if(mono)::BIGINT AS fenced FROM m GROUP BY doc_id""")
+def _(t):
+    from ..operators.chunking import fence_blocks
+    text = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("```\n"), "text", F.lit("\n```\n"), "text")).when(
+        F.col("doc_id") % 5 == 1, F.concat(F.lit("1 2 3\n4 5 6\n\n"), "text")).otherwise(F.col("text"))
+    rows = t.documents.select("doc_id", text.alias("raw"))
+    rows = rows.select("doc_id", "raw", fence_blocks(F.col("raw")).alias("text"))
+    marks = (F.length("text") - F.length(F.replace("text", F.lit("```"), F.lit(""))) - F.length("raw")
+             + F.length(F.replace("raw", F.lit("```"), F.lit("")))) / 6
+    return rows.select("doc_id", "text", marks.cast("bigint").alias("fenced"))

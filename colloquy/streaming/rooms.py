@@ -1,12 +1,16 @@
-"""Room messages as a stream: stateless rules, and state kept per room in arrival order.
-
-The reference for the state rules is sequential per room, so a room is the unit of
-state. Its rows of one micro-batch are put in order before they are handled; the trigger
-bounds how many there are.
+"""Room messages as a stream: stateless rules, and state kept per room in order of time.
+
+The reference for the state rules is sequential per room, so a room is the unit of state.
+Rows may come in any order and any batches: a room holds them by slices of time and handles
+a slice, in order, once the watermark has passed it. So results do not depend on how a table
+is cut into files or batches. `lateness` says how long a row may come after later ones; rows
+older than that are dropped by the watermark. A replayed table waits for everything and is
+closed by one row of a far time. No more than one slice of one room is in memory at once.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from typing import Any
 
@@ -19,28 +23,58 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from ..functions import fixed_values as V
 from ..session import scratch_path
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+CLOSING_TIME = "2262-01-01 00:00:00"  # near the end of what pandas can hold
+WHOLE_TABLE = "36500 days"  # tables of up to a hundred years, none of it after 2160
+SLICE_MS = 24 * 3600 * 1000
 
 
 # -------------------------------------------------------------------- sources
 def table_stream(spark: SparkSession, folder: str, name: str, batch_bytes: int = 128 * 1024 * 1024) -> DataFrame:
-    """A table folder read as a stream, with the schema its files have now.
+    """A table, one file or a folder of files, read as a stream with the schema it has now.
 
-    A batch takes about `batch_bytes` and at least one file, which bounds what a room can
-    bring at once.
+    A batch takes about `batch_bytes` and at least one file. A table that is not there is an
+    error, as in a batch read.
     """
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*.parquet")
-            .option("maxBytesPerTrigger", batch_bytes).parquet(folder))
+    path = f"{folder.rstrip('/')}/{name}.parquet"
+    table = spark.read.parquet(path)
+    stream = spark.readStream.schema(table.schema).option("maxBytesPerTrigger", batch_bytes)
+    if any(f.rstrip("/").endswith(f"/{name}.parquet") for f in table.inputFiles()):
+        return stream.option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    return stream.parquet(path)
+
+
+class Replay:
+    """A table as a stream that can be closed, after which every row has been handled."""
+
+    def __init__(self, spark: SparkSession, folder: str, name: str, time: str, batch_bytes: int = 128 * 1024 * 1024):
+        self.closing = scratch_path(spark, f"{name}-closing")
+        table = table_stream(spark, folder, name, batch_bytes)
+        self.row = spark.range(1).select(*[
+            (F.lit(CLOSING_TIME) if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema])
+        self.row.limit(0).write.parquet(self.closing)
+        end = spark.readStream.schema(table.schema).parquet(self.closing)
+        rows = table.unionByName(end).withColumn(time, F.col(time).cast("timestamp"))
+        self.stream = rows.withWatermark(time, WHOLE_TABLE)
+
+    def close(self) -> None:
+        self.row.write.mode("append").parquet(self.closing)
 
 
-def drain(stream: DataFrame, name: str) -> DataFrame:
-    """Process what is there and return what was appended."""
+def drain(stream: DataFrame, name: str, replay: Replay | None = None) -> DataFrame:
+    """Process what is there and return what was appended; `replay` is closed first to get
+    what waits for later rows."""
     spark = stream.sparkSession
     out, marks = scratch_path(spark, name), scratch_path(spark, f"{name}-marks")
-    query = (stream.writeStream.format("parquet").option("path", out)
-             .option("checkpointLocation", marks).outputMode("append").trigger(availableNow=True).start())
-    query.awaitTermination()
+
+    def run() -> None:
+        (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks)
+         .outputMode("append").trigger(availableNow=True).start().awaitTermination())
+    run()
+    if replay is not None:
+        replay.close()
+        run()
     return spark.read.schema(stream.schema).parquet(out)
 
 
@@ -51,6 +85,8 @@ def drain_updates(stream: DataFrame, key: str, name: str) -> DataFrame:
     """
     spark = stream.sparkSession
     out, marks = scratch_path(spark, name), scratch_path(spark, f"{name}-marks")
+    schema = T.StructType([*stream.schema.fields, T.StructField("batch", T.LongType())])
+    spark.createDataFrame([], schema).write.partitionBy("batch").parquet(out)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
@@ -58,7 +94,7 @@ def drain_updates(stream: DataFrame, key: str, name: str) -> DataFrame:
     query = (stream.writeStream.foreachBatch(keep).option("checkpointLocation", marks)
              .outputMode("update").trigger(availableNow=True).start())
     query.awaitTermination()
-    states = spark.read.parquet(out)
+    states = spark.read.schema(schema).parquet(out)
     values = F.struct(*[c for c in stream.columns if c != key])
     return states.groupBy(key).agg(F.max_by(values, "batch").alias("v")).select(key, "v.*")
 
@@ -80,79 +116,98 @@ def event_dispatch(kind: Column, argument: Column, text: Column, room: Column) -
 
 # ------------------------------------------------------------------- room state
 def keyed(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
-    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    if stream.sparkSession.conf.get(PROVIDER, None) != ROCKSDB:
+        raise RuntimeError(f"set {PROVIDER} to {ROCKSDB}, as build_session does")
     return stream.groupBy(key).transformWithStateInPandas(
         statefulProcessor=processor, outputStructType=T._parse_datatype_string(schema),
-        outputMode="Append", timeMode="None")
+        outputMode="Append", timeMode="EventTime")
+
 
+class InOrder(StatefulProcessor):
+    """Rows of a room held by slices of time and handled in order, slice after slice."""
 
-def in_order(rows: Iterator[pd.DataFrame], order: list[str]) -> pd.DataFrame:
-    return pd.concat(list(rows)).sort_values(order, kind="stable")
+    def __init__(self, key: str, order: list[str], slice_ms: int = SLICE_MS):
+        self.key, self.order, self.slice_ms = key, order, slice_ms
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getMapState("held", "slice bigint", "rows binary")
+        self.open(handle)
 
-class RoomHistory(StatefulProcessor):
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            ms = pdf[self.order[0]].to_numpy("datetime64[ms]").astype("int64")
+            for number, part in pdf.groupby(ms // self.slice_ms):
+                at = (int(number),)
+                before = pickle.loads(self.held.getValue(at)[0]) if self.held.containsKey(at) else []
+                self.held.updateValue(at, (pickle.dumps(before + [part]),))
+                self.handle.registerTimer((at[0] + 1) * self.slice_ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        passed = expiredTimerInfo.getExpiryTimeInMs() // self.slice_ms
+        for number in sorted(k[0] for k in self.held.keys() if k[0] < passed):
+            parts = pickle.loads(self.held.getValue((number,))[0])
+            self.held.removeKey((number,))
+            yield self.step(key[0], pd.concat(parts).sort_values(self.order, kind="stable"))
+
+    def close(self) -> None:
+        pass
+
+
+class RoomHistory(InOrder):
     """Every message with the last lines of its room before it."""
 
     def __init__(self, key: str, order: list[str], lines: int = V.HISTORY_LINES):
-        self.key, self.order, self.n = key, order, lines
+        super().__init__(key, order)
+        self.n = lines
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.lines = handle.getListState("lines", "line string")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def step(self, room: Any, pdf: pd.DataFrame) -> pd.DataFrame:
         held = [line[0] for line in self.lines.get()] if self.lines.exists() else []
-        pdf = in_order(rows, self.order)
         seen = []
         for line in pdf["line"]:
             seen.append("\n".join(held))
             held = (held + [line])[-self.n:]
         self.lines.put([(line,) for line in held])
-        yield pd.DataFrame({"event_id": pdf["event_id"], self.key: key[0], "history": seen})
+        return pd.DataFrame({"event_id": pdf["event_id"], self.key: room, "history": seen})
 
-    def close(self) -> None:
-        pass
 
-
-class LastSeen(StatefulProcessor):
+class LastSeen(InOrder):
     """Questions answered from what the room showed last before them."""
 
-    def __init__(self, key: str, order: list[str]):
-        self.key, self.order = key, order
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "image bigint, value double")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def step(self, room: Any, pdf: pd.DataFrame) -> pd.DataFrame:
         image, value = self.seen.get() if self.seen.exists() else (None, None)
-        pdf = in_order(rows, self.order)
         out = []
         for event_id, kind, shown in zip(pdf["event_id"], pdf["event_type"], pdf["value"]):
             if kind == "click":
-                out.append((event_id, key[0], image, value))
+                out.append((event_id, room, image, value))
             if kind == "view":
                 image = int(event_id)
             if kind == "purchase":
                 value = float(shown)
         self.seen.update((image, value))
         frame = pd.DataFrame(out, columns=["event_id", self.key, "seen_image", "seen_value"])
-        yield frame.astype({"seen_image": "Int64"})
-
-    def close(self) -> None:
-        pass
+        return frame.astype({"seen_image": "Int64"})
 
 
-class RecentSuppression(StatefulProcessor):
+class RecentSuppression(InOrder):
     """The best candidate that is not among the replies chosen last in the room."""
 
     def __init__(self, key: str, order: list[str], recent: int = V.HISTORY_LINES):
-        self.key, self.order, self.n = key, order, recent
+        super().__init__(key, order)
+        self.n = recent
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
+    def open(self, handle: StatefulProcessorHandle) -> None:
         self.chosen = handle.getListState("chosen", "reply string")
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def step(self, room: Any, pdf: pd.DataFrame) -> pd.DataFrame:
         recent = [r[0] for r in self.chosen.get()] if self.chosen.exists() else []
-        pdf = in_order(rows, self.order)
         out = []
         for event_id, texts, scores in zip(pdf["event_id"], pdf["texts"], pdf["scores"]):
             fresh = [(s, -i, x) for i, (x, s) in enumerate(zip(texts, scores)) if x.lower() not in recent]
@@ -160,12 +215,9 @@ class RecentSuppression(StatefulProcessor):
             if fresh:
                 score, _, reply = max(fresh)
                 recent = (recent + [reply.lower()])[-self.n:]
-            out.append((event_id, key[0], reply, float(score)))
+            out.append((event_id, room, reply, float(score)))
         self.chosen.put([(r,) for r in recent])
-        yield pd.DataFrame(out, columns=["event_id", self.key, "reply", "score"])
-
-    def close(self) -> None:
-        pass
+        return pd.DataFrame(out, columns=["event_id", self.key, "reply", "score"])
 
 
 def route_column(command: Column, image: Column, code: Column, move: Column, label: Column,

@@ -8,7 +8,7 @@ from colloquy.functions import fixed_values as V
 from colloquy.functions import predicates as P
 from colloquy.functions import render as R
 from colloquy.functions import text as T
-from colloquy.operators.chunking import cut_pieces, split_messages
+from colloquy.operators.chunking import fence_blocks, message_pieces, split_messages
 
 
 def apply(spark, fn, values, schema="x string"):
@@ -173,16 +173,26 @@ def test_prompt_speaks_last(spark):
 
 
 @pytest.mark.parametrize("limit", [24, 100])
-def test_pieces(limit):
+def test_pieces(spark, limit):
     text = "```\n" + "\n".join("line " * (i % 7) for i in range(60)) + "\n```\n" + "y" * 300 + "\nend"
-    pieces = cut_pieces(text, limit)
+    df = spark.createDataFrame([(text,), ("",), ("short",), (" \n ",)], "t string")
+    pieces, *others = [r["p"] for r in df.select(message_pieces(F.col("t"), limit).alias("p")).collect()]
     assert all(len(p) <= limit for p in pieces)
     assert all(sum(ln.startswith("```") for ln in p.split("\n")) % 2 == 0 for p in pieces)
-    assert cut_pieces("", limit) == [""] and cut_pieces("short", limit) == ["short"]
+    bare = [ln for p in pieces for ln in p.split("\n") if not ln.startswith("```")]
+    assert "".join(bare) == text.replace("```", "").replace("\n", "")
+    assert others == [[""], ["short"], [""]]
+
+
+def test_fences(spark):
+    texts = ["Move.\n\n0 1 2\n3 4 5\n\nYours:", "two lines\nof prose here", "a  b\nc  d", "x\n  indented"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i")
+    got = [r["x"] for r in df.select("i", fence_blocks(F.col("t")).alias("x")).orderBy("i").collect()]
+    assert got == ["Move.\n\n```\n0 1 2\n3 4 5\n```\n\nYours:", texts[1], "```\na  b\nc  d\n```", "```\nx\n  indented\n```"]
 
 
 def test_pieces_keep_plain_lines(spark):
     text = "\n".join(f"line {i}" for i in range(100))
     df = spark.createDataFrame([(1, text)], "id bigint, t string")
-    got = split_messages(df, "id", "t", 64).orderBy("piece_no").collect()
+    got = split_messages(df, "id", F.col("t"), 64).orderBy("piece_no").collect()
     assert "\n".join(r["piece"] for r in got) == text
