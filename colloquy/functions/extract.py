@@ -188,7 +188,7 @@ def command_name(x: Column) -> Column:
     """Lower-case name of `/name arg`, null for an ordinary message."""
     s = strip(x)
     return F.when(F.startswith(s, F.lit("/")),
-                  F.lower(F.substring_index(F.substring(s, 2, 2_000_000), " ", 1)))
+                  F.lower(F.substring_index(F.substr(s, F.lit(2)), " ", 1)))
 
 
 def command_arg(x: Column) -> Column:

@@ -93,7 +93,7 @@ def clean_task_description(x: Column) -> Column:
         usable = (F.length(first).between(low, high) & first.contains(" ")
                   & first.rlike(r"^\p{ASCII}*$") & ~first.rlike(V.DOC_NOISE))
         return F.when(usable, F.concat(F.lower(F.substring(first, 1, 1)),
-                                       F.substring(first, 2, 2_000_000)))
+                                       F.substr(first, F.lit(2))))
 
     return let(F.regexp_replace(strip(first_sentence(normalize_ws(x))), r"\.+$", ""), described)
 

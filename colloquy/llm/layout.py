@@ -214,7 +214,7 @@ def flow(node: Node, out: Lines) -> None:
         elif tag not in BLOCK:
             flow(child, out)
         else:
-            apart = tag in APART
+            apart = tag in APART and not (node.tag == "li" and tag in ("ul", "ol", "menu", "dir"))
             out.block(apart)
             if tag in ("ul", "ol", "menu", "dir"):
                 out.add(_list(child))

@@ -11,8 +11,9 @@ coordinates meet in a bucket; all of them are compared with the bucket's centre,
 sets. What is linked there needs no further comparison. The rest is exact too, without all
 pairs of a bucket: Jaccard distance is a metric, so two members whose distances to the
 centre differ by more than the limit cannot be linked; members already in one component need
-no link. Pairs that neither rule settles get new centres, and what a few rounds leave over
-is compared pair by pair.
+no link. A bucket in which few members are open is finished by comparing those with all members
+that neither rule rules out. In a bucket with many, linked members also share about a third
+of their other bands, so they meet again in buckets of two bands, and of three after that.
 
 Defined cases: a null or empty text has an empty set, is linked with nothing and is its own
 component; rows with a null id can link others but have no id to give; rows that share an id
@@ -39,6 +40,9 @@ WIDTH = 5
 T = 128
 ROWS = 4  # coordinates per band
 SIMILAR_PCT = 75
+FEW = 64                # open members that are compared with a whole bucket
+LEVELS = 3              # buckets of one band, of two, of three; then all that is open
+BUCKETS_SENT = 600_000  # most buckets, two short keys each, to be broadcast
 FULL = U64(0xFFFFFFFFFFFFFFFF)
 SEEDS = mix(np.arange(1, 2 * T + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
 
@@ -134,17 +138,20 @@ def _compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                                           pa.array(either, pa.int64())], ["a", "b", "shared", "either"])
 
 
-def measured(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+def _sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """node, elements. Sets are made again from the rows with a class's least id; other rows
+    with that id give sets that nothing asks for."""
+    wanted = nodes.join(classes, "node").select(F.xxhash64("doc_id").alias("rep")).distinct()
+    made = docs.withColumn("rep", F.xxhash64("doc_id")).join(small_or_not(wanted), "rep", "left_semi")
+    made = made.select("text").mapInArrow(_set_batches, "node binary, elements binary").join(nodes, "node", "left_semi")
+    return store(made.groupBy("node").agg(F.first("elements").alias("elements")), "near-sets")
+
+
+def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """a, b, shared, either (sizes of intersection and union) of pairs of classes.
 
-    Sets are made again from the text of one document per class, for the classes in
-    question only. A centre may meet a third of all classes, so it is copied once for
-    every 256 of them.
+    A centre may meet a third of all classes, so it is copied once for every 256 of them.
     """
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    chosen = small_or_not(nodes.join(classes, "node").select("rep").distinct())
-    made = docs.withColumn("rep", F.xxhash64("doc_id")).join(chosen, "rep", "left_semi").select("text").mapInArrow(_set_batches, "node binary, elements binary")
-    sets = store(made.groupBy("node").agg(F.first("elements").alias("elements")), "near-sets")
     parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("parts"))
     right = sets.withColumnRenamed("node", "b").join(parts, "b").withColumn(
         "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -152,7 +159,8 @@ def measured(pairs: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame
         "part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
     both = left.select("a", "b", "part", F.col("elements").alias("x")).join(
         right.select("b", "part", F.col("elements").alias("y")), ["b", "part"])
-    return both.select("a", "b", "x", "y").mapInArrow(_compare_batches, "a binary, b binary, shared long, either long")
+    return store(both.select("a", "b", "x", "y").mapInArrow(
+        _compare_batches, "a binary, b binary, shared long, either long"), "near-measured")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -185,66 +193,63 @@ def _with_roots(df: DataFrame, labels: DataFrame | None, *columns: str) -> DataF
     return df
 
 
-def near_duplicates(docs: DataFrame, similar_pct: int = SIMILAR_PCT, star_rounds: int = 4,
-                    pairs_at_once: int = 4) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept per row.
+def _buckets(members: DataFrame) -> DataFrame:
+    """bucket, node, centre of the buckets with two classes or more; the centre is the least
+    class, so that copies of one text mostly share one centre in all their buckets."""
+    crowded = store(members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n"))
+                    .where("n > 1").select("bucket", "centre"), "near-buckets")
+    return store(members.join(small_or_not(crowded, BUCKETS_SENT), "bucket"), "near-met")
 
-    `star_rounds` and `pairs_at_once` only choose between two exact ways: another round of
-    centres while unsettled pairs outnumber the classes `pairs_at_once` times, or all of them.
-    """
+
+def near_duplicates(docs: DataFrame, similar_pct: int = SIMILAR_PCT) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept per row."""
     docs = docs.select("doc_id", "text")
     rows = store(docs.mapInArrow(_sketch_batches, "doc_id long, n_shingles long, set_key binary, bands array<bigint>")
                  .withColumnRenamed("set_key", "node"), "near-rows")
     classes = store(rows.where("node IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "near-classes")
-    members = store(classes.select("node", F.explode("bands").alias("band")), "near-bands")
-    crowded = members.groupBy("band").agg(
-        F.min(F.struct(F.xxhash64("node").alias("p"), "node")).alias("c"), F.count(F.lit(1)).alias("n")
-    ).where("n > 1").select("band", F.col("c.node").alias("centre"))
-    met = store(members.join(crowded, "band"), "near-met")
-    # A class's set is made again from the rows with its least id. Other rows with that id
-    # give sets that nothing asks for.
-    reps = classes.select("node", F.xxhash64("doc_id").alias("rep"))
-    limit = 1 - similar_pct / 100
-
-    def linked(df: DataFrame) -> DataFrame:
-        return df.where(F.lit(100) * F.col("shared") >= F.lit(similar_pct) * F.col("either"))
-
-    seen = store(measured(met.where("node <> centre").select(
-        F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), docs, reps), "near-measured")
-    if seen.isEmpty():
+    met = _buckets(classes.select("node", F.explode("bands").alias("bucket")).withColumn("bands_of", F.array("bucket")))
+    if met.isEmpty():
         return _named(rows, classes, None)
-    labels = components(linked(seen))
-    distance = seen.select(F.col("a").alias("node"), F.col("b").alias("centre"),
-                           (1 - F.col("shared") / F.col("either")).alias("d"))
-    for turn in range(star_rounds + 1):
-        # Members outside the component of their centre, and whom they might still be linked to.
-        placed = _with_roots(met.join(distance, ["node", "centre"], "left").fillna({"d": 0.0}), labels, "node", "centre")
-        placed = store(placed, "near-placed")
-        open_bands = placed.where("root_node <> root_centre").groupBy("band").agg(F.count(F.lit(1)).alias("n_open"))
-        open_bands = open_bands.join(placed.groupBy("band").agg(F.count(F.lit(1)).alias("n")), "band")
-        work = open_bands.agg(F.sum(F.col("n_open") * F.col("n")), F.sum("n")).first()
-        if not work[0]:
+    sets = _sets(met.select("node").distinct(), docs, classes)
+    seen = measured(met.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), sets)
+    limit = 1 - similar_pct / 100
+    for level in range(1, LEVELS + 1):
+        labels = components(seen.where(F.lit(100) * F.col("shared") >= F.lit(similar_pct) * F.col("either")))
+        distance = seen.select("a", "b", (1 - F.col("shared") / F.col("either")).alias("d"))
+        distance = distance.union(distance.select("b", "a", "d")).toDF("node", "centre", "d")
+        placed = store(_with_roots(met.join(distance, ["node", "centre"], "left"), labels, "node", "centre").withColumn(
+            "d", F.when(F.col("node") == F.col("centre"), 0.0).otherwise(F.col("d"))), "near-placed")
+        # Members outside the component of their centre are open: whom else in the bucket are they linked to?
+        opened = store(placed.groupBy("bucket").agg(F.count_if(F.col("root_node") != F.col("root_centre")).alias("n_open"))
+                       .where("n_open > 0"), "near-open")
+        if opened.isEmpty():
             break
-        inside = placed.join(open_bands.select("band"), "band")
-        rest = inside.where("root_node <> root_centre")
-        if work[0] <= pairs_at_once * work[1] or turn == star_rounds:
-            x = rest.select("band", F.col("node").alias("a"), F.col("root_node").alias("ra"), F.col("d").alias("da"))
-            y = inside.select("band", F.col("node").alias("b"), F.col("root_node").alias("rb"), F.col("d").alias("db"))
-            pairs = x.join(y, "band").where((F.col("ra") != F.col("rb")) & (F.abs(F.col("da") - F.col("db")) <= limit + 1e-9))
-            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        else:
-            seed = F.lit(turn + 1)
-            tops = rest.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", seed).alias("p"), "node")).alias("c")).union(
-                inside.groupBy("band").agg(F.min(F.struct(F.xxhash64("node", seed + 99).alias("p"), "node")).alias("c")))
-            pairs = rest.join(tops.select("band", F.col("c.node").alias("b")), "band").where("node <> b").select(
-                F.col("node").alias("a"), "b").distinct()
+        few = F.lit(True) if level == LEVELS else F.col("n_open") <= FEW
+        inside = placed.join(small_or_not(opened, BUCKETS_SENT), "bucket")
+        y = inside.where(few)
+        x = y.where("root_node <> root_centre")
+        x = x.select("bucket", F.col("node").alias("a"), F.col("root_node").alias("ra"), F.col("d").alias("da"))
+        y = y.select("bucket", F.col("node").alias("b"), F.col("root_node").alias("rb"), F.col("d").alias("db"))
+        near = F.coalesce(F.abs(F.col("da") - F.col("db")) <= limit + 1e-9, F.lit(True))
+        pairs = x.join(y, "bucket").where((F.col("ra") != F.col("rb")) & near).select(
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        many = inside.where(~few).select("bands_of", "node")
+        more = not many.isEmpty()
+        if more:
+            # Classes that are linked share about a third of their bands. Members of a large
+            # open bucket meet again only where they share another band, too.
+            again = many.join(classes.select("node", "bands"), "node").select(
+                "node", "bands_of", F.explode(F.array_except("bands", "bands_of")).alias("other"))
+            again = again.select("node", F.array_sort(F.concat("bands_of", F.array("other"))).alias("bands_of"))
+            met = _buckets(again.withColumn("bucket", F.xxhash64("bands_of")).distinct())
+            star = _with_roots(met.where("node <> centre").select("node", "centre").distinct(), labels, "node", "centre")
+            pairs = pairs.union(star.where("root_node <> root_centre").select("node", "centre"))
         known = seen.select("a", "b").union(seen.select("b", "a"))
-        fresh = pairs.join(known, ["a", "b"], "left_anti")
-        found = store(measured(store(fresh, "near-pairs"), docs, reps), "near-measured")
-        seen = seen.union(found)
-        labels = components(linked(seen))
-        if work[0] <= pairs_at_once * work[1]:
+        fresh = store(pairs.distinct().join(known, ["a", "b"], "left_anti"), "near-pairs")
+        seen = store(seen.union(measured(fresh, sets)), "near-seen")
+        if not more:
+            labels = components(seen.where(F.lit(100) * F.col("shared") >= F.lit(similar_pct) * F.col("either")))
             break
     return _named(rows, classes, labels)
 

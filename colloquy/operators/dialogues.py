@@ -29,20 +29,19 @@ def history_before(turns: DataFrame, line: Column, n: int) -> DataFrame:
 def two_speaker_turns(turns: DataFrame, limit: int) -> DataFrame:
     """Turn rows of dialogues that `two_speakers` keeps, without collecting any dialogue.
 
-    Every test is a partial aggregate per conversation; the speaker before each turn
-    comes from a window that cuts long conversations.
+    Every test is a partial aggregate per conversation. Two speakers take turns where each
+    turn is spoken by another than the one before and by the same as two before; those come
+    from a window that cuts long conversations.
     """
-    rows = sliding(turns, ["turn"], ["conv_id"], 1,
-                   {"_before": lambda frame: F.first("role").over(frame(-1, -1))})
+    rows = sliding(turns, ["turn"], ["conv_id"], 2, {
+        "_before": lambda frame: F.first("role").over(frame(-1, -1)),
+        "_again": lambda frame: F.first("role").over(frame(-2, -2))})
     size = F.length("text")
     good = rows.groupBy("conv_id").agg(
         F.count(F.lit(1)).alias("n"), F.min(size).alias("short"), F.max(size).alias("long"),
-        F.bool_or(F.coalesce(F.col("role") == F.col("_before"), F.lit(False))).alias("repeats"))
-    # At most two names: none lies between the first and the last.
-    roles = turns.select("conv_id", "role").distinct().groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("roles"))
-    kept = (good.join(roles, "conv_id").where(
-        (F.col("n") >= 2) & (F.col("roles") == 2) & ~F.col("repeats")
+        F.bool_or(F.coalesce((F.col("role") == F.col("_before")) | (F.col("role") != F.col("_again")),
+                             F.lit(False))).alias("breaks"))
+    kept = (good.where((F.col("n") >= 2) & ~F.col("breaks")
         & (F.col("short") >= 1) & (F.col("long") <= limit)).select("conv_id"))
     return turns.join(kept, "conv_id", "left_semi")
 

@@ -71,7 +71,7 @@ def perturb(phrase: Column, key: Column) -> Column:
         F.concat(x, pick_from("ending", key, V.ENDINGS))))
     roll = frac("case", key)
     return normalize_ws(let(s, lambda x: (
-        F.when(roll < 0.40, F.concat(F.upper(F.substring(x, 1, 1)), F.substring(x, 2, 2_000_000)))
+        F.when(roll < 0.40, F.concat(F.upper(F.substring(x, 1, 1)), F.substr(x, F.lit(2))))
         .when(roll < 0.44, F.upper(x)).otherwise(x))))
 
 

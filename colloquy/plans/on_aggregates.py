@@ -41,15 +41,15 @@ def _(t):
             .groupBy("source", "outcome").agg(n_rows().alias("n")))
 
 
-_COPY_SQL = "CASE WHEN doc_id % 4 = 0 THEN 'the same notice  ' ELSE text END"
+_COPY_SQL = "CASE WHEN doc_id % 4 = 0 THEN text || '  ' ELSE text END"
 
 
 @query("exact_dedup", rf"""
     WITH d AS (SELECT doc_id, source, row_number() OVER (PARTITION BY regexp_replace({_COPY_SQL}, '\s+$', '') ORDER BY doc_id) AS rn FROM documents)
     SELECT doc_id, source FROM d WHERE rn = 1""")
 def _(t):
-    # A quarter of the rows are made copies of one text.
-    text = F.when(F.col("doc_id") % 4 == 0, "the same notice  ").otherwise(F.col("text"))
+    # A quarter of the rows get blanks at the end, which do not make them another text.
+    text = F.when(F.col("doc_id") % 4 == 0, F.concat("text", F.lit("  "))).otherwise(F.col("text"))
     kept = first_of_copies(t.documents, F.md5(normalize_source(text)), "doc_id")
     return kept.select("doc_id", "source")
 
@@ -82,7 +82,7 @@ SPECIAL = [V.DIALOG_SEP, V.CHAT, V.END]
 
 @query("bpe_learn")
 def _(t):
-    merges = B.bpe_learn(t.conversations.where("role <> 'system'"), "text", n_merges=40)
+    merges = B.bpe_learn(t.conversations, "text", n_merges=40)
     rows = [(i, a, b) for i, (a, b) in enumerate(merges)]
     return t.spark.createDataFrame(rows, "rank int, a string, b string")
 
@@ -90,7 +90,7 @@ def _(t):
 @query("bpe_encode", f"""
     SELECT conv_id, turn, '{V.CHAT}' || text || '{V.END}' AS decoded, true AS same FROM conversations""")
 def _(t):
-    merges = B.bpe_learn(t.conversations.where("role <> 'system'"), "text", n_merges=20)
+    merges = B.bpe_learn(t.conversations, "text", n_merges=20)
     rows = t.conversations.select("conv_id", "turn", F.concat(F.lit(V.CHAT), "text", F.lit(V.END)).alias("x"))
     ids = rows.withColumn("ids", B.bpe_encoder(merges, SPECIAL)(B.special_pieces(F.col("x"), SPECIAL)))
     back = B.bpe_decode(F.col("ids"), merges, SPECIAL)
@@ -307,7 +307,7 @@ def _(t):
     return rows.select("doc_id", *[F.round(c, 6).alias(n) for n, c in shares.items()])
 
 
-@query("ext_histogram", "SELECT source AS ext, count(*) AS n FROM documents WHERE lang <> 'es' GROUP BY 1 ORDER BY n DESC, ext")
+@query("ext_histogram", "SELECT source AS ext, count(*) AS n FROM documents GROUP BY 1 ORDER BY n DESC, ext")
 def _(t):
-    return (t.documents.where("lang <> 'es'").groupBy(F.col("source").alias("ext")).agg(n_rows().alias("n"))
+    return (t.documents.groupBy(F.col("source").alias("ext")).agg(n_rows().alias("n"))
             .orderBy(F.desc("n"), "ext"))

@@ -8,7 +8,6 @@ from ..functions import fixed_values as V
 from ..functions import render as R
 from ..functions import text as T
 from ..functions.hashing import held_out
-from ..functions.once import keep_computed
 from ..operators import dialogues as D
 from ..operators import traces
 from ..operators.scan import ranked
@@ -26,18 +25,18 @@ LONG = 2000
 @query("dialogue_corpus_stats", f"""
     WITH c AS (SELECT conv_id, turn, role, {clean_utterance_sql('text')} AS text FROM conversations WHERE role <> 'system'),
     k AS (SELECT *, lag(role) OVER (PARTITION BY conv_id ORDER BY turn) AS prev,
-              row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM c WHERE length(text) BETWEEN 1 AND {LONG}),
-    d AS (SELECT conv_id, count(*) AS n_turns, bool_and(prev IS NULL OR prev <> role) AS alternates,
+              row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i FROM c),
+    d AS (SELECT conv_id, count(*) AS n_turns, bool_and(prev IS NULL OR prev <> role) AND count(DISTINCT role) = 2 AND bool_and(length(text) BETWEEN 1 AND {LONG}) AS alternates,
               string_agg((CASE WHEN i % 2 = 0 THEN 'A' ELSE 'B' END) || ': ' || text, chr(10) ORDER BY turn) || chr(10) || '{V.DIALOG_SEP}' || chr(10) AS doc
           FROM k GROUP BY conv_id HAVING count(*) >= 2)
     SELECT CASE WHEN {byte_sql('conv_id::VARCHAR')} % 6 = 0 THEN 'val' ELSE 'train' END AS split, count(*) AS docs, sum(n_turns)::BIGINT AS turns,
         sum(length(doc))::BIGINT AS chars, min(length(doc)) AS shortest, max(length(doc)) AS longest FROM d WHERE alternates GROUP BY 1""")
 def _(t):
-    turns = keep_computed(t.conversations.where("role <> 'system'"), {
-        "text": T.clean_utterance(F.col("text"))}, lambda r: F.length(r["text"]).between(1, LONG))
-    # Cleaned once; what follows reads it several times.
+    # Cleaned once; what follows reads it several times. A dialogue with one empty or long
+    # turn goes as a whole.
     shared_dir(t.spark)
-    turns = turns.select("conv_id", "turn", "role", "text").checkpoint()
+    turns = t.conversations.where("role <> 'system'").select(
+        "conv_id", "turn", "role", T.clean_utterance(F.col("text")).alias("text")).checkpoint()
     lines = D.rendered_lines(D.two_speaker_turns(turns, LONG))
     docs = lines.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_turns"), F.sum(F.length("line")).alias("n"))
     side = F.when(held_out(F.col("conv_id").cast("string"), V.ROUTE_HOLDOUT), "val").otherwise("train")

@@ -81,7 +81,7 @@ def _(t):
 
 
 @query("acceptable_reply", f"""
-    WITH p AS (SELECT conv_id, turn, role, substr(text, 1, 240 - turn * 9) AS candidate,
+    WITH p AS (SELECT conv_id, turn, role, text AS candidate,
                    lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS user_text FROM conversations),
     q AS (SELECT conv_id, turn, CASE WHEN conv_id % 9 = 0 THEN lower(user_text) ELSE candidate END AS candidate, user_text
           FROM p WHERE role = 'assistant')
@@ -89,8 +89,7 @@ def _(t):
         AND lower(candidate) <> lower(coalesce(user_text, '')) AND NOT {word_sql('candidate', _BLOCK_SQL)} AS ok FROM q""")
 def _(t):
     from ..operators.scan import sliding
-    said = F.substring(F.col("text"), F.lit(1), (240 - F.col("turn") * 9).cast("int"))
-    rows = sliding(t.conversations.withColumn("candidate", said), ["turn"], ["conv_id"], 1,
+    rows = sliding(t.conversations.withColumn("candidate", F.col("text")), ["turn"], ["conv_id"], 1,
                    {"user_text": lambda frame: F.first("text").over(frame(-1, -1))})
     rows = rows.where("role = 'assistant'").withColumn("candidate", F.when(
         F.col("conv_id") % 9 == 0, F.lower("user_text")).otherwise(F.col("candidate")))
@@ -103,7 +102,7 @@ SOURCES = [("var a=1,b=2,c=3;\nfunction f(p,q){return p}\nx=a\ny=b\n", ""),
            ("x = '\\x41\\x42\\x43'\n\n\n", "\n" + "z" * 30), ("short\n\n\n", "")]
 _EXT_SQL = "(['py','js','ts','go'])[doc_id % 4 + 1]"
 _SRC_SQL = (f"CASE WHEN {u32_sql('code', 'doc_id')} % 7 = 5 THEN 'tiny' ELSE "
-            f"{injected_sql('code', 'doc_id', 'substr(text, 1, 700)', SOURCES)} END")
+            f"{injected_sql('code', 'doc_id', 'text', SOURCES)} END")
 _FINGER_SQL = "(" + " OR ".join(has_sql("x", p) for p in V.MACHINE_FINGERPRINTS) + ")"
 _KEYWORDS = "[" + ", ".join(quote(k) for k in V.CODE_KEYWORDS) + "]"
 # A name is a whole word, accented letters counted, that is written in ASCII.
@@ -123,7 +122,7 @@ VERDICT_SQL = f"""
 
 def code_rows(t):
     """Documents dressed as source files of four extensions, with their source."""
-    x = injected("code", F.col("doc_id"), F.substring("text", 1, 700), SOURCES)
+    x = injected("code", F.col("doc_id"), F.col("text"), SOURCES)
     x = F.when(pick("code", F.col("doc_id"), 7) == 5, "tiny").otherwise(x)
     ext = F.get(F.array(*[F.lit(e) for e in ("py", "js", "ts", "go")]), (F.col("doc_id") % 4).cast("int"))
     return t.documents.select("doc_id", "source", ext.alias("ext"), x.alias("x"))
@@ -171,10 +170,10 @@ def plain_chat_sql(x: str) -> str:
 
 
 @query("plain_chat", f"""
-    WITH s AS (SELECT conv_id, turn, {injected_sql('talk', "conv_id || '-' || turn", 'substr(text, 1, 190)', TALK)} AS x FROM conversations)
+    WITH s AS (SELECT conv_id, turn, {injected_sql('talk', "conv_id || '-' || turn", 'text', TALK)} AS x FROM conversations)
     SELECT conv_id, turn, {plain_chat_sql('x')} AS plain FROM s""")
 def _(t):
-    x = injected("talk", F.concat_ws("-", "conv_id", "turn"), F.substring("text", 1, 190), TALK)
+    x = injected("talk", F.concat_ws("-", "conv_id", "turn"), F.col("text"), TALK)
     return t.conversations.select("conv_id", "turn", P.plain_chat(x).alias("plain"))
 
 
@@ -231,14 +230,11 @@ _HELD = ", ".join(str(s) for s in V.HOLDOUT_SCORES)
 
 @query("holdout_values", f"""
     SELECT event_id, score, CASE WHEN score IN ({_HELD}) THEN 'test' ELSE 'train' END AS side
-    FROM (SELECT event_id, json_extract_string(props, '$.k')::INTEGER AS score FROM events)
-    WHERE event_id % 10 = 0 OR score NOT IN ({_HELD})""")
+    FROM (SELECT event_id, json_extract_string(props, '$.k')::INTEGER AS score FROM events)""")
 def _(t):
     rows = t.events.select("event_id", F.get_json_object("props", "$.k").try_cast("int").alias("score"))
     held = F.col("score").isin(V.HOLDOUT_SCORES)
-    # Rows of the test side may hold any value, training rows none of the held ones.
-    return (rows.where((F.col("event_id") % 10 == 0) | ~held)
-            .select("event_id", "score", F.when(held, "test").otherwise("train").alias("side")))
+    return rows.select("event_id", "score", F.when(held, "test").otherwise("train").alias("side"))
 
 
 @query("holdout_entities", "SELECT doc_id, source FROM documents WHERE source NOT IN ('src3', 'src17')")
@@ -266,12 +262,12 @@ def trigger_sql(x: str) -> dict[str, str]:
     }
 
 
-CUE_SQL = f"SELECT doc_id, {injected_sql('cue', 'doc_id', 'substr(text, 1, 400)', CUES)} AS x FROM documents"
+CUE_SQL = f"SELECT doc_id, {injected_sql('cue', 'doc_id', 'text', CUES)} AS x FROM documents"
 _TRIGGERS = trigger_sql("x")
 
 
 def cue_rows(t):
-    x = injected("cue", F.col("doc_id"), F.substring("text", 1, 400), CUES)
+    x = injected("cue", F.col("doc_id"), F.col("text"), CUES)
     return t.documents.select("doc_id", x.alias("x"))
 
 

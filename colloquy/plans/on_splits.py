@@ -50,12 +50,12 @@ def _(t):
     return t.documents.select("doc_id", side.alias("side"))
 
 
-_TEMPLATES = V.GAME_TEMPLATES[:14]
+_TEMPLATES = V.GAME_TEMPLATES
 _TPL = ", ".join(f"({quote(x)})" for x in _TEMPLATES)
 
 
 @query("skeleton_split", f"""
-    WITH s AS (SELECT template, template || ' ' || p_name AS skeleton, p_partkey, replace(replace(template, '{{stat}}', p_type), '{{thing}}', p_type) AS text
+    WITH s AS (SELECT template, template || ' ' || p_name AS skeleton, p_partkey, replace(replace(replace(replace(template, '{{stat}}', p_type), '{{thing}}', p_type), '{{noun}}', p_type), '{{verb}}', p_type) AS text
         FROM part CROSS JOIN (VALUES {_TPL}) v(template)),
     h AS (SELECT skeleton FROM (SELECT skeleton, row_number() OVER (ORDER BY md5(skeleton)) AS rn FROM (SELECT DISTINCT skeleton FROM s)) WHERE (rn - 1) % 6 = 0)
     SELECT CASE WHEN skeleton IN (SELECT skeleton FROM h) THEN 'val' ELSE 'train' END AS side, count(*) AS n, count(DISTINCT skeleton) AS skeletons,
@@ -63,7 +63,7 @@ _TPL = ", ".join(f"({quote(x)})" for x in _TEMPLATES)
 def _(t):
     # A skeleton is a template with its subject; the filled value does not count.
     rows = expand(t.part.select("p_partkey", "p_name", "p_type"), _TEMPLATES,
-                  {"stat": F.col("p_type"), "thing": F.col("p_type")})
+                  {slot: F.col("p_type") for slot in ("stat", "thing", "noun", "verb")})
     rows = rows.withColumn("skeleton", F.concat_ws(" ", "template", "p_name"))
     held = every_nth_by_digest(rows, "skeleton", V.ROUTE_HOLDOUT).withColumn("held", F.lit(True))
     out = rows.join(held, "skeleton", "left").withColumn("side", F.when(F.col("held"), "val").otherwise("train"))
@@ -92,10 +92,10 @@ def _(t):
 
 
 @query("distinct_candidates", """
-    WITH c AS (SELECT conv_id, turn, list_transform(string_split(text, ' ')[1:12], lambda w: substr(lower(w), 1, 2)) AS l FROM conversations)
+    WITH c AS (SELECT conv_id, turn, list_transform(string_split(text, ' '), lambda w: lower(w)) AS l FROM conversations)
     SELECT conv_id, turn, array_to_string(list_filter(l, lambda w, i: list_position(l, w) = i), ' ') AS candidates FROM c""")
 def _(t):
-    words = F.transform(F.slice(F.split("text", " "), 1, 12), lambda w: F.substring(F.lower(w), 1, 2))
+    words = F.split(F.lower("text"), " ")
     return t.conversations.select("conv_id", "turn", F.array_join(F.array_distinct(words), " ").alias("candidates"))
 
 

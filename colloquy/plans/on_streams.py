@@ -114,7 +114,7 @@ _X = trigger_sql("x")
 
 @query("stream_route", f"""
     WITH s AS (SELECT conv_id, turn, {_KEY} AS k, CASE WHEN turn = 2 AND conv_id % 3 = 0 THEN (conv_id % 9)::VARCHAR ELSE
-        {strip_sql(injected_sql('typed', _KEY, 'substr(text, 1, 300)', TYPED))} END AS x FROM conversations),
+        {strip_sql(injected_sql('typed', _KEY, 'text', TYPED))} END AS x FROM conversations),
     p AS (SELECT *, ({arr(V.ROUTES)})[{u32_sql('label', 'k')} % 6 + 1] AS label, {u32_sql('sure', 'k')} / 4294967296.0 AS conf FROM s)
     SELECT conv_id, turn, CASE WHEN starts_with(x, '/') THEN 'command' WHEN {_mention_sql('x', V.IMAGE_EXTS)} IS NOT NULL THEN 'look'
         WHEN {_mention_sql('x', V.CODE_EXTS)} IS NOT NULL THEN 'read' WHEN regexp_matches(x, '^[0-8]$') THEN 'move'
@@ -123,7 +123,7 @@ _X = trigger_sql("x")
 def _(t):
     from ..functions.text import strip
     key = F.concat_ws("-", "conv_id", "turn")
-    typed = strip(injected("typed", key, F.substring("text", 1, 300), TYPED))
+    typed = strip(injected("typed", key, F.col("text"), TYPED))
     x = F.when((F.col("turn") == 2) & (F.col("conv_id") % 3 == 0), (F.col("conv_id") % 9).cast("string")).otherwise(typed)
     rows = R.table_stream(t.spark, t.folder, "conversations").select(
         "conv_id", "turn", x.alias("x"), pick_from("label", key, V.ROUTES).alias("label"), frac("sure", key).alias("conf"))

@@ -20,23 +20,28 @@ from .on_text import FIELDS_SQL, STATE_SQL, event_fields
 from .registry import query
 
 SEP = V.READER_CHARS.index(".")
-# One crop per turn: its first 65 ids; a full stop separates documents.
-CROP_SQL = f"SELECT conv_id, turn, ids[1:65] AS ids FROM ({_CONV_IDS})"
-LONG_CROP_SQL = f"SELECT conv_id, turn, generate_subscripts(ids, 1) - 1 AS pos, unnest(ids) AS token FROM ({CROP_SQL})"
+# A turn is cut into crops of 65 ids, each beginning with the last id of the one before, so
+# that every id but the first is some crop's target; a full stop separates documents.
+CROP = 65
+CROP_SQL = f"""SELECT conv_id, turn, k::BIGINT AS crop, ids[k * {CROP - 1} + 1:k * {CROP - 1} + {CROP}] AS ids FROM (
+    SELECT conv_id, turn, ids, unnest(range(0, greatest(1, (len(ids) + {CROP - 3}) // {CROP - 1}))) AS k FROM ({_CONV_IDS}))"""
+LONG_CROP_SQL = f"SELECT conv_id, turn, crop, generate_subscripts(ids, 1) - 1 AS pos, unnest(ids) AS token FROM ({CROP_SQL})"
 
 
 def crops(t):
-    return conversation_ids(t).withColumn("ids", F.slice("ids", 1, 65))
+    last = F.greatest(F.floor((F.size("ids") + CROP - 3) / (CROP - 1)), F.lit(1)) - 1
+    rows = conversation_ids(t).withColumn("crop", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    return rows.withColumn("ids", F.slice("ids", (F.col("crop") * (CROP - 1) + 1).cast("int"), F.lit(CROP)))
 
 
 def long_form(df, *columns: str):
     """One row per position of parallel arrays."""
-    zipped = df.select("conv_id", "turn", F.posexplode(F.arrays_zip(*columns)).alias("pos", "z"))
-    return zipped.select("conv_id", "turn", "pos", *[F.col(f"z.{c}").alias(c) for c in columns])
+    zipped = df.select("conv_id", "turn", "crop", F.posexplode(F.arrays_zip(*columns)).alias("pos", "z"))
+    return zipped.select("conv_id", "turn", "crop", "pos", *[F.col(f"z.{c}").alias(c) for c in columns])
 
 
 @query("doc_ids_from_separator", f"""
-    SELECT conv_id, turn, pos::INTEGER AS pos, (sum((token = {SEP})::INT) OVER (PARTITION BY conv_id, turn ORDER BY pos) - (token = {SEP})::INT)::INTEGER AS doc
+    SELECT conv_id, turn, crop, pos::INTEGER AS pos, (sum((token = {SEP})::INT) OVER (PARTITION BY conv_id, turn, crop ORDER BY pos) - (token = {SEP})::INT)::INTEGER AS doc
     FROM ({LONG_CROP_SQL})""")
 def _(t):
     # A crop is one row of bounded length, so no window and no shuffle is needed.
@@ -44,7 +49,7 @@ def _(t):
 
 
 @query("next_token_target", f"""
-    SELECT conv_id, turn, pos::INTEGER AS pos, token::INTEGER AS token, (lead(token) OVER (PARTITION BY conv_id, turn ORDER BY pos))::INTEGER AS target
+    SELECT conv_id, turn, crop, pos::INTEGER AS pos, token::INTEGER AS token, (lead(token) OVER (PARTITION BY conv_id, turn, crop ORDER BY pos))::INTEGER AS target
     FROM ({LONG_CROP_SQL})""")
 def _(t):
     return long_form(crops(t).withColumns({"token": F.col("ids"), "target": K.next_tokens(F.col("ids"))}),
@@ -52,9 +57,9 @@ def _(t):
 
 
 @query("boundary_loss_mask", f"""
-    WITH d AS (SELECT *, sum((token = {SEP})::INT) OVER (PARTITION BY conv_id, turn ORDER BY pos) - (token = {SEP})::INT AS doc FROM ({LONG_CROP_SQL})),
-    n AS (SELECT *, lead(token) OVER w AS next, lead(doc) OVER w AS next_doc FROM d WINDOW w AS (PARTITION BY conv_id, turn ORDER BY pos))
-    SELECT conv_id, turn, pos::INTEGER AS pos, (CASE WHEN next_doc = doc THEN next END)::INTEGER AS target FROM n""")
+    WITH d AS (SELECT *, sum((token = {SEP})::INT) OVER (PARTITION BY conv_id, turn, crop ORDER BY pos) - (token = {SEP})::INT AS doc FROM ({LONG_CROP_SQL})),
+    n AS (SELECT *, lead(token) OVER w AS next, lead(doc) OVER w AS next_doc FROM d WINDOW w AS (PARTITION BY conv_id, turn, crop ORDER BY pos))
+    SELECT conv_id, turn, crop, pos::INTEGER AS pos, (CASE WHEN next_doc = doc THEN next END)::INTEGER AS target FROM n""")
 def _(t):
     rows = crops(t).withColumn("doc", K.doc_numbers(F.col("ids"), SEP))
     return long_form(rows.withColumn("target", K.boundary_targets(F.col("ids"), F.col("doc"))), "target")
@@ -97,22 +102,21 @@ BLOCK, END = 128, 99
 def _packed_sql(order: str) -> str:
     return f"""
     WITH i AS (SELECT conv_id, turn, list_append(ids, {END}) AS ids FROM ({_CONV_IDS})),
-    o AS (SELECT ids, {order} AS o, (sum(len(ids)) OVER (ORDER BY {order}) - len(ids))::BIGINT AS start FROM i),
-    u AS (SELECT o, start + generate_subscripts(ids, 1) - 1 AS pos, unnest(ids) AS token FROM o)
+    o AS (SELECT ids, (sum(len(ids)) OVER (ORDER BY {order}) - len(ids))::BIGINT AS start FROM i),
+    u AS (SELECT start + generate_subscripts(ids, 1) - 1 AS pos, unnest(ids) AS token FROM o)
     SELECT (pos // {BLOCK})::BIGINT AS block_no, string_agg(token::VARCHAR, ' ' ORDER BY pos) AS ids FROM u
     GROUP BY 1 HAVING count(*) = {BLOCK}"""
 
 
-@query("pack_blocks", _packed_sql("conv_id * 1000 + turn"))
+@query("pack_blocks", _packed_sql("conv_id, turn"))
 def _(t):
-    docs = conversation_ids(t).withColumn("at", F.col("conv_id") * 1000 + F.col("turn"))
-    blocks = K.pack_blocks(docs, ["at"], "ids", END, BLOCK)
+    blocks = K.pack_blocks(conversation_ids(t), ["conv_id", "turn"], "ids", END, BLOCK)
     return blocks.select("block_no", F.array_join("ids", " ").alias("ids"))
 
 
-@query("pack_stream", _packed_sql(md5_sql("pack", "(conv_id * 1000 + turn)")))
+@query("pack_stream", _packed_sql(md5_sql("pack", "(conv_id || '-' || turn)")))
 def _(t):
-    docs = conversation_ids(t).withColumn("at", md5_order("pack", F.col("conv_id") * 1000 + F.col("turn")))
+    docs = conversation_ids(t).withColumn("at", md5_order("pack", F.concat_ws("-", "conv_id", "turn")))
     blocks = K.pack_blocks(docs, [Digest("at")], "ids", END, BLOCK)
     return blocks.select("block_no", F.array_join("ids", " ").alias("ids"))
 
@@ -148,11 +152,11 @@ def _(t):
 
 @query("weighted_interleave", """
     WITH r AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rn,
-        substr(source, 4)::INTEGER AS place, 1 + substr(source, 4)::INTEGER % 3 AS w FROM documents WHERE lang <> 'de')
+        substr(source, 4)::INTEGER AS place, 1 + substr(source, 4)::INTEGER % 3 AS w FROM documents)
     SELECT doc_id, source, row_number() OVER (ORDER BY (rn - 1) // w, place, rn) AS position FROM r""")
 def _(t):
     place = F.substring("source", 4, 9).cast("int")
-    rows = t.documents.where("lang <> 'de'").select("doc_id", "source")
+    rows = t.documents.select("doc_id", "source")
     rows = interleave_order(ranked(rows, ["doc_id"], ["source"]), "rn", 1 + place % 3, place)
     return ranked(rows, ["round", "place", "rn"], (), "position").select("doc_id", "source", "position")
 
@@ -185,12 +189,12 @@ def last_lines(rows, n: int):
 
 
 @query("recent_suppression", """
-    WITH r AS (SELECT conv_id, turn, substr(lower(text), 1, 2) AS reply FROM conversations WHERE role = 'assistant'),
+    WITH r AS (SELECT conv_id, turn, lower(split_part(text, ' ', 1)) AS reply FROM conversations WHERE role = 'assistant'),
     h AS (SELECT *, list(reply) OVER (PARTITION BY conv_id % 10 ORDER BY conv_id, turn ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS l FROM r)
     SELECT conv_id, turn, reply, coalesce(list_contains(l, reply), false) AS repeats FROM h""")
 def _(t):
     rows = t.conversations.where("role = 'assistant'").select(
-        "conv_id", "turn", (F.col("conv_id") % 10).alias("room"), F.substring(F.lower("text"), 1, 2).alias("reply"))
+        "conv_id", "turn", (F.col("conv_id") % 10).alias("room"), F.lower(F.substring_index("text", " ", 1)).alias("reply"))
     rows = sliding(rows, ["conv_id", "turn"], ["room"], 8,
                    {"recent": lambda frame: F.collect_list("reply").over(frame(-8, -1))})
     return rows.select("conv_id", "turn", "reply", F.array_contains("recent", F.col("reply")).alias("repeats"))
