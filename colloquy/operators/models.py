@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
+from ..functions.once import let
 from ..session import shared_dir
 from .joins import BROADCAST_ROWS, spread_join
 
@@ -27,18 +28,32 @@ def threshold_pick(label: Column, conf: Column, default: str = V.ROUTES[0],
 
 # ------------------------------------------------------- naive Bayes by counts
 def bag(docs: DataFrame, keys: Sequence[str], tokens: Column) -> DataFrame:
-    """(keys, w, n): words counted per document before anything is shuffled by word."""
-    return (docs.select(*keys, F.explode(tokens).alias("w")).groupBy(*keys, "w")
-            .agg(F.count(F.lit(1)).alias("n")))
+    """(keys, w, n): words counted inside the row, so nothing is shuffled to count them.
+
+    A row without words gives one null word, so that no row is lost.
+    """
+    return docs.select(*keys, F.explode_outer(word_counts(tokens)).alias("_w")).select(
+        *keys, F.col("_w.w").alias("w"), F.coalesce("_w.n", F.lit(0)).cast("bigint").alias("n"))
+
+
+def word_counts(tokens: Column) -> Column:
+    """An array of (w, n), one entry per distinct word: runs of the sorted list."""
+    def runs(ws: Column) -> Column:
+        ends = F.filter(F.sequence(F.lit(1), F.size(ws)), lambda i: (i == F.size(ws)) | (F.get(ws, i - 1) != F.get(ws, i)))
+        return let(ends, lambda e: F.transform(e, lambda i, k: F.struct(
+            F.get(ws, i - 1).alias("w"), (i - F.coalesce(F.get(e, k - 1), F.lit(0))).alias("n"))))
+    return F.when(F.size(tokens) > 0, let(F.array_sort(tokens), runs))
 
 
 def naive_bayes_scores(train: DataFrame, rows: DataFrame, key: str, label: str, tokens: Column,
                        labels: Sequence[str]) -> DataFrame:
     """(key, s_<label>..) log scores of multinomial naive Bayes with add-one smoothing.
 
-    Words that training never saw are skipped. The model has one row per word with the
-    counts of all labels, so a document word meets one row.
+    Words that training never saw are skipped; a row with no other words gets the priors.
+    Only rows of the given labels train, and each label must have some. The model has one
+    row per word with the counts of all labels, so a document word meets one row.
     """
+    train = train.where(F.col(label).isin(list(labels)))
     by_label = (train.select(label, F.explode(tokens).alias("w")).groupBy(label, "w")
                 .agg(F.count(F.lit(1)).alias("n")))
     counts = [F.sum(F.when(F.col(label) == c, F.col("n")).otherwise(0)).alias(f"c{i}")
@@ -50,16 +65,17 @@ def naive_bayes_scores(train: DataFrame, rows: DataFrame, key: str, label: str,
     sums = model.agg(F.count(F.lit(1)).alias("v"), *[F.sum(f"c{i}").alias(f"c{i}")
                                                      for i in range(len(labels))]).first()
     docs = {r[label]: r["n"] for r in train.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-    all_docs = sum(docs.get(c, 0) for c in labels)
-    joined = spread_join(bag(rows, [key], tokens), model, ["w"], F.col(key), "inner",
-                         side_rows=sums["v"])
+    if missing := [c for c in labels if c not in docs]:
+        raise ValueError(f"no training rows for {missing}")
+    all_docs = sum(docs.values())
+    joined = spread_join(bag(rows, [key], tokens), model, ["w"], F.col(key), "left", side_rows=sums["v"])
 
     def score(i: int, c: str) -> Column:
         word = F.log((F.col(f"c{i}") + 1) / F.lit(float(sums[f"c{i}"] + sums["v"])))
-        return F.sum(F.col("n") * word).alias(f"s_{c}")
+        return F.coalesce(F.sum(F.col("n") * word), F.lit(0.0)).alias(f"s_{c}")
 
     summed = joined.groupBy(key).agg(*[score(i, c) for i, c in enumerate(labels)])
-    prior = {c: F.log(F.lit(docs.get(c, 0) / all_docs)) for c in labels}
+    prior = {c: F.log(F.lit(docs[c] / all_docs)) for c in labels}
     return summed.select(key, *[(F.col(f"s_{c}") + prior[c]).alias(f"s_{c}") for c in labels])
 
 
@@ -128,7 +144,7 @@ def lm_score(rows: DataFrame, keys: Sequence[str], context: str, reply: str, cor
               .join(given, [*keys, "w"], "left").join(sizes, list(keys)))
     p = ((1 - mix) * F.coalesce(F.col("_cn") / F.greatest(F.col("_len"), F.lit(1)), F.lit(0.0))
          + mix * F.coalesce("p_all", F.lit(1e-9)))
-    mean = scored.groupBy(*keys).agg((F.sum(F.col("n") * F.log(p)) / F.sum("n")).alias(out))
+    mean = scored.groupBy(*keys).agg(F.try_divide(F.sum(F.col("n") * F.log(p)), F.sum("n")).alias(out))
     return rows.join(mean, list(keys), "left").withColumn(
         out, F.coalesce(out, F.lit(float("-inf"))))
 

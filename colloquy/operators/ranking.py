@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .joins import spread_join
 from .scan import running
 
 
@@ -31,13 +32,19 @@ def topk_filter(df: DataFrame, group: Sequence[str], score: str, k: int) -> Data
 
 def softmax(df: DataFrame, group: Sequence[str], score: str, temperature: float = 1.0,
             out: str = "p") -> DataFrame:
-    """Probabilities within a group; group totals are aggregated and joined back."""
+    """Probabilities within a group.
+
+    Equal scores are counted first; the greatest score and the sum of exponentials against it
+    are partial aggregates over the counts. These two numbers per group then meet the rows in
+    one join that spreads frequent groups.
+    """
     scaled = df.withColumn("_s", F.col(score) / max(temperature, 1e-5))
-    top = scaled.groupBy(*group).agg(F.max("_s").alias("_max"))
-    shifted = scaled.join(top, list(group)).withColumn("_e", F.exp(F.col("_s") - F.col("_max")))
-    total = shifted.groupBy(*group).agg(F.sum("_e").alias("_sum"))
-    return shifted.join(total, list(group)).withColumn(out, F.col("_e") / F.col("_sum")).drop(
-        "_s", "_max", "_e", "_sum")
+    counted = scaled.groupBy(*group, "_s").agg(F.count(F.lit(1)).alias("_n"))
+    top = counted.groupBy(*group).agg(F.max("_s").alias("_max"))
+    total = counted.join(top, list(group)).groupBy(*group, "_max").agg(
+        F.sum(F.col("_n") * F.exp(F.col("_s") - F.col("_max"))).alias("_sum"))
+    return spread_join(scaled, total, list(group), F.col("_s"), "left").withColumn(
+        out, F.exp(F.col("_s") - F.col("_max")) / F.col("_sum")).drop("_s", "_max", "_sum")
 
 
 def nucleus_filter(df: DataFrame, group: Sequence[str], item: str, p: str, share: float) -> DataFrame:

@@ -29,11 +29,11 @@ def prefix_split(df: DataFrame, order: Sequence[str], share: float = 0.9) -> Dat
         "side", F.when(F.col("rn") <= cut, "train").otherwise("val")).drop("rn")
 
 
-def shuffled_split(df: DataFrame, key: str, seed: str, n_val: Column) -> DataFrame:
-    """A shuffled share of n_val rows is validation."""
+def shuffled_split(df: DataFrame, key: str, seed: str, n_val: dict[str, Column]) -> DataFrame:
+    """One side column per entry: the first n_val rows of one shuffle are validation."""
     rows = ranked(df.withColumn("_digest", md5_order(seed, F.col(key))), [Digest("_digest")])
-    return rows.withColumn("side", F.when(F.col("rn") <= n_val, "val").otherwise("train")).drop(
-        "rn", "_digest")
+    return rows.withColumns({out: F.when(F.col("rn") <= n, "val").otherwise("train")
+                             for out, n in n_val.items()}).drop("rn", "_digest")
 
 
 def cap_per_group(df: DataFrame, order: Sequence[str], group: Sequence[str], cap: Column | int,
@@ -48,8 +48,9 @@ def first_of_copies(df: DataFrame, digest: Column, key: str) -> DataFrame:
 
     Winners are found by a partial aggregate over (digest, key) only, so a text that
     fills a third of the table is reduced before it is shuffled; whole rows then meet
-    their own unique key.
+    their own unique key. A null digest is nobody's copy, so such rows all stay.
     """
+    digest = F.coalesce(digest, F.concat(F.lit("null "), F.col(key).cast("string")))
     first = df.groupBy(digest.alias("_digest")).agg(F.min(key).alias(key)).select(key)
     return df.join(first, key, "left_semi")
 

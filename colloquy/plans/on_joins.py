@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions.hashing import frac, held_out
 from ..functions.text import normalize_ws
-from ..operators.joins import fixed_table
+from ..operators.joins import fixed_table, spread_join
 from ..operators.scan import running
 from ..operators.splits import every_nth_by_digest
 from ..operators.templates import expand
@@ -53,10 +53,10 @@ NTH_SOURCE_SQL = """
     SELECT doc_id, source, CASE WHEN source IN ({NTH_SOURCE_SQL}) THEN 'val' ELSE 'train' END AS side FROM documents""")
 def _(t):
     docs = t.documents.select("doc_id", "source")
-    held = every_nth_by_digest(docs, "source", V.ROUTE_HOLDOUT)
-    val = docs.join(held, "source", "left_semi").withColumn("side", F.lit("val"))
-    train = docs.join(held, "source", "left_anti").withColumn("side", F.lit("train"))
-    return val.unionByName(train)
+    held = every_nth_by_digest(docs, "source", V.ROUTE_HOLDOUT).withColumn("held", F.lit(True))
+    # One pass over the rows; sources are frequent, so rows are spread if they are too many to send.
+    rows = spread_join(docs, held, ["source"], F.col("doc_id"))
+    return rows.select("doc_id", "source", F.when(F.col("held"), "val").otherwise("train").alias("side"))
 
 
 @query("split_leak_check", f"""

@@ -32,9 +32,10 @@ NB_SQL = f"""
     v AS (SELECT count(DISTINCT w) AS v FROM c), tot AS (SELECT lang, sum(n) AS t FROM c GROUP BY lang),
     prior AS (SELECT lang, ln(count(*) / sum(count(*)) OVER ()) AS lp FROM documents WHERE NOT ({_HELD}) GROUP BY lang),
     d AS (SELECT doc_id, w, count(*) AS n FROM w WHERE held AND w IN (SELECT w FROM c) GROUP BY ALL),
-    s AS (SELECT d.doc_id, tot.lang, sum(d.n * ln((coalesce(c.n, 0) + 1) / (tot.t + v.v))) + any_value(prior.lp) AS s
-          FROM d CROSS JOIN v CROSS JOIN tot JOIN prior ON prior.lang = tot.lang LEFT JOIN c ON c.w = d.w AND c.lang = tot.lang
-          GROUP BY d.doc_id, tot.lang)"""
+    a AS (SELECT doc_id FROM documents WHERE {_HELD}),
+    s AS (SELECT a.doc_id, tot.lang, coalesce(sum(d.n * ln((coalesce(c.n, 0) + 1) / (tot.t + v.v))), 0) + any_value(prior.lp) AS s
+          FROM a CROSS JOIN v CROSS JOIN tot JOIN prior ON prior.lang = tot.lang LEFT JOIN d ON d.doc_id = a.doc_id
+          LEFT JOIN c ON c.w = d.w AND c.lang = tot.lang GROUP BY a.doc_id, tot.lang)"""
 
 
 def bayes(t):
@@ -138,7 +139,7 @@ _CANNED = "[" + ", ".join(quote(c) for c in V.CANNED_LINES) + "]"
     {_lm_sql('base', 'conv_id, turn, k')},
     null0 AS (SELECT conv_id, turn, k, (SELECT avg(ln({MIX} * coalesce(c.p_all, 1e-9))) FROM (SELECT unnest(base.reply) AS w) z LEFT JOIN corpus c ON c.w = z.w) AS alone FROM base),
     best AS (SELECT base.conv_id, base.turn, text, round(logp - 0.7 * alone, 6) AS score,
-        row_number() OVER (PARTITION BY base.conv_id, base.turn ORDER BY round(logp - 0.7 * alone, 6) DESC, base.k) AS rn
+        row_number() OVER (PARTITION BY base.conv_id, base.turn ORDER BY logp - 0.7 * alone DESC, base.k) AS rn
         FROM base JOIN scored USING (conv_id, turn, k) JOIN null0 USING (conv_id, turn, k)),
     asked AS (SELECT conv_id, turn FROM conversations WHERE role = 'assistant')
     SELECT a.conv_id, a.turn, coalesce(b.text, ({_CANNED})[{u32_sql('canned', "a.conv_id || '-' || a.turn")} % 3 + 1]) AS reply,
@@ -169,8 +170,9 @@ def choose_reply(offered, message: list[str], corpus_table):
     # A text is scored alone once, however many messages it is offered for.
     texts = rows.select("text", "reply").distinct().withColumn("none", F.array().cast("array<string>"))
     alone = M.lm_score(texts, ["text"], "none", "reply", corpus_table, "alone", MIX, ROOM).select("text", "alone")
-    scored = given.join(alone, "text").withColumn("score", F.round(M.mmi(F.col("given"), F.col("alone")), 6))
-    return ranking.best_of(scored, message, "score", "k").select(*message, "text", "score")
+    scored = given.join(alone, "text").withColumn("score", M.mmi(F.col("given"), F.col("alone")))
+    # Chosen on the exact score; equal texts have equal scores, so ties are real.
+    return ranking.best_of(scored, message, "score", "k").select(*message, "text", F.round("score", 6).alias("score"))
 
 
 _PROBE = ", ".join(f"({quote(m)}, {quote(g)})" for m, g in V.PROBE)

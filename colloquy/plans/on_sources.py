@@ -34,7 +34,7 @@ def _(t):
 
 
 @query("read_chat_xml", """
-    SELECT 'room' || conv_id % 16 AS session, conv_id * 1000 + turn AS pos,
+    SELECT 'room' || conv_id % 16 AS session, conv_id * 1000000000 + turn AS pos,
         CASE WHEN role = 'system' THEN 'System' WHEN turn % 3 = 0 THEN 'Other' ELSE 'Statement' END AS act,
         CASE WHEN turn % 4 = 3 THEN '' ELSE regexp_replace(regexp_replace(text, '\\s+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') END AS text
     FROM conversations""")
@@ -43,7 +43,7 @@ def _(t):
     act = F.when(F.col("role") == "system", "System").when(F.col("turn") % 3 != 0, "Statement")
     posts = t.conversations.select(
         F.concat(F.lit("room"), (F.col("conv_id") % 16).cast("string")).alias("room"),
-        act.alias("_class"), (F.col("conv_id") * 1000 + F.col("turn")).alias("_pos"),
+        act.alias("_class"), (F.col("conv_id") * 1_000_000_000 + F.col("turn")).alias("_pos"),
         F.when(F.col("turn") % 4 != 3, F.col("text")).alias("_VALUE"))
     (posts.write.partitionBy("room").format("xml").option("rowTag", "Post")
      .option("rootTag", "Session").save(folder))

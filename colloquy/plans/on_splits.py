@@ -85,10 +85,8 @@ def _(t):
 def _(t):
     ids = t.documents.select("doc_id")
     n = count_rows(ids)
-    first = shuffled_split(ids, "doc_id", "part", F.greatest(F.lit(1), F.floor(n * F.lit(0.08)))) \
-        .withColumnRenamed("side", "side_8")
-    return shuffled_split(first, "doc_id", "part", F.greatest(F.lit(200), F.floor(n / 20))) \
-        .withColumnRenamed("side", "side_20")
+    return shuffled_split(ids, "doc_id", "part", {
+        "side_8": F.greatest(F.lit(1), F.floor(n * F.lit(0.08))), "side_20": F.greatest(F.lit(200), F.floor(n / 20))})
 
 
 @query("distinct_candidates", """

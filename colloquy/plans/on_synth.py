@@ -157,11 +157,11 @@ def _(t):
     return request_rows(t).select("doc_id", "description", "held_out", "text")
 
 
-CAPS = {"chat": 90, "reason": 150, "codegen": 120, "code": 100, "vision": 80, "game": 110}
+CAPS = V.ROUTE_CAPS
 LEAST_VAL = 18
 _CAP_SQL = "CASE label " + " ".join(
     f"WHEN '{c}' THEN CASE WHEN held_out THEN {max(n // 6, LEAST_VAL)} ELSE {n} END" for c, n in CAPS.items()) + " END"
-_TURN = "(conv_id * 1000 + turn)"
+_TURN = "(conv_id || '-' || turn)"
 
 
 def _class_sql(label: str, key: str, source: str) -> str:
@@ -189,7 +189,7 @@ CORPUS_SQL = f"""
 def class_messages(t) -> DataFrame:
     """(label, place, held_out, text) of all classes, each from its own source."""
     chat = keep_computed(t.conversations.where("role <> 'system'").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text"),
+        F.concat_ws("-", "conv_id", "turn").alias("id"), "text"),
         {"text": T.clean_utterance(F.col("text"))}, lambda r: P.plain_chat(r["text"]))
     chat = chat.withColumn("held_out", held_out(F.lower(T.strip(F.col("text"))), V.ROUTE_HOLDOUT))
     asked = keep_computed(t.documents.select(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +34,10 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
 
 
+def quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def scan_source_files(spark: SparkSession, root: str, subdirs: list[str] | None = None,
                       skip_dirs: list[str] = V.SKIP_DIRS, exts: list[str] | None = None,
                       max_bytes: int = V.MAX_FILE_BYTES) -> DataFrame:
@@ -39,16 +46,17 @@ def scan_source_files(spark: SparkSession, root: str, subdirs: list[str] | None
     Names and sizes are tested before any content is read: `length` is pushed to the
     file listing.
     """
-    names = ",".join(exts or V.EXT_LANGUAGE)
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
-             .option("pathGlobFilter", f"*.{{{names}}}").load(root)
+    files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
              .where(F.col("length") <= max_bytes))
-    base = root.rstrip("/").split("/")[-1]
-    inner = F.regexp_replace(F.col("path"), rf"^.*/\Q{base}\E/", "")
+    # Listed paths are the root's own path, behind a scheme it may not have named, and the rest.
+    top = re.sub(r"^[a-zA-Z][\w+.-]*:/*", "/", root).rstrip("/") + "/"
+    inner = F.expr(f"substr(path, instr(path, {quoted(top)}) + {len(top)})")
     folders = F.split(F.regexp_replace(inner, "/?[^/]*$", ""), "/")
     keep = ~F.arrays_overlap(folders, F.array(*[F.lit(d) for d in skip_dirs]))
-    if subdirs:
-        keep = keep & F.get(folders, 0).isin(subdirs)
+    keep = keep & extension(inner).isin([e.lower() for e in exts or V.EXT_LANGUAGE])
+    if subdirs:  # start folders may be nested
+        starts = [F.startswith(inner, F.lit(d.strip("/") + "/")) for d in subdirs]
+        keep = keep & reduce(lambda a, b: a | b, starts)
     return files.where(keep).select(
         inner.alias("path"), extension(inner).alias("ext"), F.col("length").alias("n_bytes"),
         F.decode("content", "UTF-8").alias("text"))
