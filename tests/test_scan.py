@@ -49,9 +49,20 @@ def test_rank_by_string(rows, digest):
     assert [got[d] for d in sorted(got, key=str.encode)] == list(range(1, len(got) + 1))
 
 
-def test_other_orders_are_refused(rows):
-    with pytest.raises(TypeError):
-        scan.block_of(rows.withColumn("a", F.array("id")), "a")
+def blocks_of(df, order, group=(), per=50):
+    cut = scan._cut(df, order, group, per)
+    return [r["count"] for r in cut.groupBy(*group, "_block").count().collect()]
+
+
+def test_blocks_are_even(spark):
+    base = spark.range(6400).select("id", (F.col("id") % 64).alias("g"))
+    even = lambda sizes, n: len(sizes) >= n / 2 and max(sizes) <= 2.5 * 50
+    # A long common prefix; a first column that is tied; disjoint ranges per group.
+    named = base.select(F.format_string("a-prefix-all-share-%08d", "id").alias("k"))
+    assert even(blocks_of(named, ["k"]), 128)
+    assert even(blocks_of(base.select(F.lit(1).alias("t"), "id"), ["t", "id"]), 128)
+    apart = base.select("g", (F.col("g") * 1_000_000 + F.col("id")).alias("k"))
+    assert even(blocks_of(apart, ["k"], ["g"]), 128)
 
 
 @pytest.mark.parametrize("n", [1, 3, 9])
