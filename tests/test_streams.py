@@ -14,24 +14,15 @@ from compare import duck, rows_of
 
 @pytest.fixture(scope="module")
 def parts(spark, sf, tmp_path_factory):
-    """The events as six files whose arrival follows their time."""
+    """The events as a table folder of five files in shuffled time order."""
     folder = str(tmp_path_factory.mktemp("parts"))
-    events = spark.read.parquet(f"{sf}/events.parquet")
-    slices = events.withColumn("part", F.ntile(6).over(__import__("pyspark").sql.Window.orderBy("ts", "event_id")))
-    for i in range(1, 7):
-        slices.where(F.col("part") == i).drop("part").coalesce(1).write.parquet(f"{folder}/p{i}")
-    import glob, os, shutil
-    flat = tmp_path_factory.mktemp("flat")
-    for i in range(1, 7):
-        (found,) = glob.glob(f"{folder}/p{i}/*.parquet")
-        shutil.copy(found, flat / f"events{i}.parquet")
-        os.utime(flat / f"events{i}.parquet", (1_700_000_000 + i * 100,) * 2)
-    return str(flat)
+    spark.read.parquet(f"{sf}/events.parquet").repartition(5, "event_id").write.parquet(f"{folder}/events.parquet")
+    return folder
 
 
-def stream(spark, sf, parts):
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(parts)
+@pytest.fixture(params=[1, 1 << 30])
+def replay(request, spark, parts):
+    return R.Replay(spark, parts, "events", "ts", request.param)
 
 
 def same(df, con, sql):
@@ -39,31 +30,24 @@ def same(df, con, sql):
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of([d[0] for d in res.description], res.fetchall())
 
 
-def test_history_over_batches(spark, sf, parts):
-    rows = stream(spark, sf, parts).select("event_id", "user_id", "ts", F.concat_ws(" ", "event_type", "props").alias("line"))
+def test_history_over_batches(spark, sf, replay):
+    rows = replay.stream.select("event_id", "user_id", "ts", F.concat_ws(" ", "event_type", "props").alias("line"))
     out = R.drain(R.keyed(rows, "user_id", R.RoomHistory("user_id", ["ts", "event_id"]),
-                          "event_id bigint, user_id bigint, history string"), "h")
+                          "event_id bigint, user_id bigint, history string"), "h", replay)
     same(out, duck(sf), catalog.SQL["stream_room_history"])
 
 
-def test_last_seen_over_batches(spark, sf, parts):
-    rows = stream(spark, sf, parts).select("event_id", "user_id", "ts", "event_type", "value")
+def test_last_seen_over_batches(spark, sf, replay):
+    rows = replay.stream.select("event_id", "user_id", "ts", "event_type", "value")
     out = R.drain(R.keyed(rows, "user_id", R.LastSeen("user_id", ["ts", "event_id"]),
-                          "event_id bigint, user_id bigint, seen_image bigint, seen_value double"), "s")
+                          "event_id bigint, user_id bigint, seen_image bigint, seen_value double"), "s", replay)
     same(out, duck(sf), catalog.SQL["stream_last_seen"])
 
 
-def test_session_sums_over_batches(spark, sf, parts):
-    sums = stream(spark, sf, parts).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-    last = {r["user_id"]: r["n"] for r in R.drain_updates(sums, "user_id", "u").collect()}
-    assert last == {r["user_id"]: r["count"] for r in
-                    spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").count().collect()}
-
-
-def test_suppression_against_a_loop(spark, sf, parts):
-    out = R.drain(R.keyed(suppression_input(stream(spark, sf, parts)), "user_id",
+def test_suppression_against_a_loop(spark, sf, replay):
+    out = R.drain(R.keyed(suppression_input(replay.stream), "user_id",
                           R.RecentSuppression("user_id", ["ts", "event_id"]),
-                          "event_id bigint, user_id bigint, reply string, score double"), "r")
+                          "event_id bigint, user_id bigint, reply string, score double"), "r", replay)
     got = {r["event_id"]: r["reply"] for r in out.collect()}
     recent = defaultdict(list)
     for r in suppression_input(Tables(spark, sf).events).orderBy("ts", "event_id").collect():
@@ -73,7 +57,22 @@ def test_suppression_against_a_loop(spark, sf, parts):
         if choice:
             recent[r["user_id"]].append(choice.lower())
         assert got[r["event_id"]] == choice
-    assert len(got) == sum(1 for _ in got)
+
+
+@pytest.mark.parametrize("size", [1, 1 << 30])
+def test_session_sums_over_batches(spark, sf, parts, size):
+    sums = R.table_stream(spark, parts, "events", size).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    last = {r["user_id"]: r["n"] for r in R.drain_updates(sums, "user_id", "u").collect()}
+    assert last == {r["user_id"]: r["count"] for r in
+                    spark.read.parquet(f"{sf}/events.parquet").groupBy("user_id").count().collect()}
+
+
+def test_streams_of_missing_and_empty_tables(spark, sf, tmp_path):
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        R.table_stream(spark, str(tmp_path), "events")
+    spark.read.parquet(f"{sf}/events.parquet").limit(0).write.parquet(f"{tmp_path}/events.parquet")
+    rows = R.table_stream(spark, str(tmp_path), "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    assert R.drain_updates(rows, "user_id", "none").count() == 0
 
 
 def test_gate_answers_all_when_set(spark):
