@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -22,14 +23,16 @@ from colloquy.plans.registry import Tables
 from colloquy.session import build_session
 
 HEADLINE = [
-    "dialogue_corpus_stats", "clean_utterance", "filter_two_speakers", "render_prompt", "normalize_source",
+    "clean_utterance", "filter_two_speakers", "render_prompt", "normalize_source",
     "split_answer", "render_by_source", "keep_source_file", "trigger_cascade", "split_message",
     "exact_dedup", "split_leak_check", "corpus_stats", "pretoken_counts", "mean_loss_perplexity",
     "repetition_stats", "latency_percentiles", "follow_rate", "asof_last_state", "rolling_p99",
     "pack_blocks", "pack_stream", "weighted_interleave", "cap_per_group", "token_budget_cut",
     "identity_split", "topk_filter", "lm_score", "mmi_rerank", "naive_bayes_counts",
     "synth_template_messages", "labelled_corpus", "stream_room_history", "stream_session_stats",
+    "bpe_learn", "bpe_encode", "train_text_classifier", "trace_corpus", "dialogue_corpus_stats",
 ]
+FOLDER_KEY = "BENCH_SHARED_DIR"  # scratch tables and checkpoints; by default a folder that is removed
 
 
 def timed(run) -> float:
@@ -39,11 +42,17 @@ def timed(run) -> float:
 
 
 def main() -> None:
+    with tempfile.TemporaryDirectory(prefix="colloquy-bench-") as own:
+        run_all(os.environ.get(FOLDER_KEY, own))
+
+
+def run_all(shared: str) -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = build_session("bench", f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false",
-        "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "16g"})
+        "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "16g",
+        "spark.checkpoint.dir": shared})
     spark.sparkContext.setLogLevel("ERROR")
     tables = Tables(spark, folder)
     timed(lambda: catalog.PLANS["hash_split"](spark, folder))
@@ -62,6 +71,7 @@ def main() -> None:
         "metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": os.path.basename(folder.rstrip("/")).removeprefix("sf"),
         "cpus": int(cpus), "tokens_encoded": tokens, "tokens_per_sec": rate}))
+    spark.stop()
 
 
 if __name__ == "__main__":
