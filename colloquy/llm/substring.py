@@ -94,7 +94,10 @@ def recompress(words: np.ndarray, firsts: np.ndarray, rounds: int = ROUNDS):
         here[start] = name
         before[start[1:]] = name[:-1]
         l, r = np.full(n, FAR, np.int16), np.full(n, FAR, np.int16)
-        l[start], r[start] = left, right
+        # The key names both symbols, so what decides their outer borders counts, too.
+        named_left, named_right = _meet(left, right, start, n, FAR)
+        first = opens[start]
+        l[start], r[start] = np.where(first, FAR, named_left), np.where(first, FAR, named_right)
         yield here, before, l, r
 
 
