@@ -40,6 +40,8 @@ WIDTH = 5
 T = 128
 ROWS = 4  # coordinates per band
 SIMILAR_PCT = 75
+ALIKE = 0.5             # of the coordinates, for a pair to be measured at all
+MORE_CENTRES = 2        # tried for large open buckets before they are divided
 FEW = 64                # open members that are compared with a whole bucket
 LEVELS = 3              # buckets of one band, of two, of three; then all that is open
 BUCKETS_SENT = 600_000  # most buckets, two short keys each, to be broadcast
@@ -86,13 +88,17 @@ def sketches(sets: list[np.ndarray], t: int = T) -> np.ndarray:
     return out.reshape(-1, t)
 
 
-def band_hashes(rows: np.ndarray, width: int = ROWS) -> np.ndarray:
-    """One 64-bit name per band and set."""
-    parts = rows.reshape(len(rows), -1, width)
-    out = np.broadcast_to(np.arange(parts.shape[1], dtype=U64), parts.shape[:2]).copy()
-    for k in range(width):
-        out = mix(out * U64(0x9E3779B97F4A7C15) + parts[:, :, k])
-    return out.view(np.int64)
+def packed(rows: np.ndarray) -> list[bytes]:
+    """Sketches as T numbers of two bytes each."""
+    low = mix(rows).astype("<u2")
+    return [r.tobytes() for r in low]
+
+
+def bands():
+    """64-bit names of the bands of the column `sketch`."""
+    size = 2 * ROWS
+    return F.transform(F.sequence(F.lit(0), F.lit(T // ROWS - 1)), lambda i: F.xxhash64(
+        F.substring("sketch", i * size + 1, F.lit(size)), i))
 
 
 def set_key(elements: np.ndarray) -> bytes | None:
@@ -104,13 +110,13 @@ def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         for a, b, data, offsets in chunks(batch.column(1)):
             sets = shingle_sets(data, offsets)
             filled = [s for s in sets if len(s)]
-            bands = iter(band_hashes(sketches(filled)) if filled else [])
+            sketch = iter(packed(sketches(filled)) if filled else [])
             yield pa.RecordBatch.from_arrays([
                 batch.column(0).slice(a, b - a),
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([set_key(s) for s in sets], pa.binary()),
-                pa.array([next(bands) if len(s) else None for s in sets], pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "set_key", "bands"])
+                pa.array([next(sketch) if len(s) else None for s in sets], pa.binary())],
+                ["doc_id", "n_shingles", "set_key", "sketch"])
 
 
 def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,6 +128,14 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "elements"])
 
 
+def _alike_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, T) for i in (2, 3))
+            keep = pa.array((x == y).sum(axis=1) >= T * ALIKE)
+            yield batch.select(["a", "b"]).filter(keep)
+
+
 def _compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         shared, either = [], []
@@ -147,19 +161,27 @@ def _sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     return store(made.groupBy("node").agg(F.first("elements").alias("elements")), "near-sets")
 
 
-def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b, shared, either (sizes of intersection and union) of pairs of classes.
-
-    A centre may meet a third of all classes, so it is copied once for every 256 of them.
-    """
+def _side_by_side(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
+    """a, b, x, y: the value of both classes of every pair. A centre may meet a third of all
+    classes, so it is copied once for every 256 of them."""
     parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("parts"))
-    right = sets.withColumnRenamed("node", "b").join(parts, "b").withColumn(
+    right = values.withColumnRenamed("node", "b").join(parts, "b").withColumn(
         "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    left = pairs.join(parts, "b").join(sets.withColumnRenamed("node", "a"), "a").withColumn(
+    left = pairs.join(parts, "b").join(values.withColumnRenamed("node", "a"), "a").withColumn(
         "part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
-    both = left.select("a", "b", "part", F.col("elements").alias("x")).join(
-        right.select("b", "part", F.col("elements").alias("y")), ["b", "part"])
-    return store(both.select("a", "b", "x", "y").mapInArrow(
+    return left.select("a", "b", "part", F.col(name).alias("x")).join(
+        right.select("b", "part", F.col(name).alias("y")), ["b", "part"]).select("a", "b", "x", "y")
+
+
+def measured(pairs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+    """a, b, shared, either (sizes of intersection and union) of the pairs that may be linked.
+
+    Pairs whose sketches agree in fewer than ALIKE of the coordinates are left out: linked
+    ones agree in three quarters, and so few would lie six standard deviations below.
+    """
+    alike = store(_side_by_side(pairs, classes.select("node", "sketch"), "sketch").mapInArrow(
+        _alike_batches, "a binary, b binary"), "near-alike")
+    return store(_side_by_side(alike, sets, "elements").mapInArrow(
         _compare_batches, "a binary, b binary, shared long, either long"), "near-measured")
 
 
@@ -204,53 +226,73 @@ def _buckets(members: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, similar_pct: int = SIMILAR_PCT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept per row."""
     docs = docs.select("doc_id", "text")
-    rows = store(docs.mapInArrow(_sketch_batches, "doc_id long, n_shingles long, set_key binary, bands array<bigint>")
+    rows = store(docs.mapInArrow(_sketch_batches, "doc_id long, n_shingles long, set_key binary, sketch binary")
                  .withColumnRenamed("set_key", "node"), "near-rows")
     classes = store(rows.where("node IS NOT NULL").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "near-classes")
-    met = _buckets(classes.select("node", F.explode("bands").alias("bucket")).withColumn("bands_of", F.array("bucket")))
+        F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "near-classes")
+    met = _buckets(classes.select("node", F.explode(bands()).alias("bucket")).withColumn("bands_of", F.array("bucket")))
     if met.isEmpty():
         return _named(rows, classes, None)
     sets = _sets(met.select("node").distinct(), docs, classes)
-    seen = measured(met.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), sets)
     limit = 1 - similar_pct / 100
-    for level in range(1, LEVELS + 1):
+    seen = labels = None
+
+    def look_at(pairs: DataFrame) -> None:
+        """Measure pairs (a, b) not measured yet, and find the components again."""
+        nonlocal seen, labels
+        pairs = pairs.distinct()
+        if seen is not None:
+            known = seen.select("a", "b").union(seen.select("b", "a"))
+            pairs = pairs.join(known, ["a", "b"], "left_anti")
+        found = measured(store(pairs, "near-pairs"), sets, classes)
+        seen = found if seen is None else store(seen.union(found), "near-seen")
         labels = components(seen.where(F.lit(100) * F.col("shared") >= F.lit(similar_pct) * F.col("either")))
-        distance = seen.select("a", "b", (1 - F.col("shared") / F.col("either")).alias("d"))
-        distance = distance.union(distance.select("b", "a", "d")).toDF("node", "centre", "d")
-        placed = store(_with_roots(met.join(distance, ["node", "centre"], "left"), labels, "node", "centre").withColumn(
-            "d", F.when(F.col("node") == F.col("centre"), 0.0).otherwise(F.col("d"))), "near-placed")
-        # Members outside the component of their centre are open: whom else in the bucket are they linked to?
-        opened = store(placed.groupBy("bucket").agg(F.count_if(F.col("root_node") != F.col("root_centre")).alias("n_open"))
-                       .where("n_open > 0"), "near-open")
+
+    def open_buckets() -> tuple[DataFrame, DataFrame]:
+        """Members with their components, and the buckets with members outside their centre's."""
+        placed = store(_with_roots(met, labels, "node", "centre"), "near-placed")
+        opened = placed.groupBy("bucket").agg(F.count_if(F.col("root_node") != F.col("root_centre")).alias("n_open"))
+        return placed, store(opened.where("n_open > 0"), "near-open")
+
+    for level in range(1, LEVELS + 1):
+        stars = store(met.where("node <> centre").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("n")), "near-stars")
+        # First the centre a class shares most buckets with, then the others it is not yet linked to.
+        look_at(stars.groupBy(F.col("node").alias("a")).agg(F.max(F.struct("n", "centre"))["centre"].alias("b")))
+        look_at(_with_roots(stars, labels, "node", "centre").where("root_node <> root_centre").select(
+            F.col("node").alias("a"), F.col("centre").alias("b")))
+        placed, opened = open_buckets()
+        for turn in range(1, MORE_CENTRES + 1):
+            large = placed.join(small_or_not(opened.where(F.col("n_open") > FEW), BUCKETS_SENT), "bucket")
+            if large.isEmpty():
+                break
+            other = large.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node"))["node"].alias("b"))
+            look_at(large.where("root_node <> root_centre").join(other, "bucket").where("node <> b").select(
+                F.col("node").alias("a"), "b"))
+            placed, opened = open_buckets()
         if opened.isEmpty():
             break
         few = F.lit(True) if level == LEVELS else F.col("n_open") <= FEW
+        distance = seen.select("a", "b", (1 - F.col("shared") / F.col("either")).alias("d"))
+        distance = distance.union(distance.select("b", "a", "d")).toDF("node", "centre", "d")
         inside = placed.join(small_or_not(opened, BUCKETS_SENT), "bucket")
-        y = inside.where(few)
+        y = inside.where(few).join(distance, ["node", "centre"], "left").withColumn(
+            "d", F.when(F.col("node") == F.col("centre"), 0.0).otherwise(F.col("d")))
         x = y.where("root_node <> root_centre")
         x = x.select("bucket", F.col("node").alias("a"), F.col("root_node").alias("ra"), F.col("d").alias("da"))
         y = y.select("bucket", F.col("node").alias("b"), F.col("root_node").alias("rb"), F.col("d").alias("db"))
         near = F.coalesce(F.abs(F.col("da") - F.col("db")) <= limit + 1e-9, F.lit(True))
         pairs = x.join(y, "bucket").where((F.col("ra") != F.col("rb")) & near).select(
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        look_at(pairs)
         many = inside.where(~few).select("bands_of", "node")
-        more = not many.isEmpty()
-        if more:
-            # Classes that are linked share about a third of their bands. Members of a large
-            # open bucket meet again only where they share another band, too.
-            again = many.join(classes.select("node", "bands"), "node").select(
-                "node", "bands_of", F.explode(F.array_except("bands", "bands_of")).alias("other"))
-            again = again.select("node", F.array_sort(F.concat("bands_of", F.array("other"))).alias("bands_of"))
-            met = _buckets(again.withColumn("bucket", F.xxhash64("bands_of")).distinct())
-            star = _with_roots(met.where("node <> centre").select("node", "centre").distinct(), labels, "node", "centre")
-            pairs = pairs.union(star.where("root_node <> root_centre").select("node", "centre"))
-        known = seen.select("a", "b").union(seen.select("b", "a"))
-        fresh = store(pairs.distinct().join(known, ["a", "b"], "left_anti"), "near-pairs")
-        seen = store(seen.union(measured(fresh, sets)), "near-seen")
-        if not more:
-            labels = components(seen.where(F.lit(100) * F.col("shared") >= F.lit(similar_pct) * F.col("either")))
+        if many.isEmpty():
             break
+        # Classes that are linked share about a third of their bands. Members of a large
+        # open bucket meet again only where they share another band, too.
+        again = many.join(classes.select("node", bands().alias("bands")), "node").select(
+            "node", "bands_of", F.explode(F.array_except("bands", "bands_of")).alias("other"))
+        again = again.select("node", F.array_sort(F.concat("bands_of", F.array("other"))).alias("bands_of"))
+        met = _buckets(again.withColumn("bucket", F.xxhash64("bands_of")).distinct())
     return _named(rows, classes, labels)
 
 
