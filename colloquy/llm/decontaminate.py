@@ -7,7 +7,7 @@ at every place are joined to hashes of the documents at every place; around a hi
 documents' words are compared with the item's, and the hit counts if some window of WINDOW
 aligned words has at least MATCHES equal ones.
 
-Words are compared in lower case without punctuation marks. The documents are read once and
+Words are compared in lower case, without punctuation marks. The documents are read once and
 never shuffled: the hashes of the benchmark are broadcast in blocks of a fixed number of
 rows, one pass over the documents for each block.
 
@@ -25,27 +25,28 @@ from pyspark.sql import functions as F
 
 from colloquy.operators.joins import small_or_not
 
-from .common import store, words
+from .common import store
 
 MASKS = ("1100111", "110001011")
 WINDOW = 13
 MATCHES = 10
 BLOCK_ROWS = 400_000  # hashes broadcast at a time; a row is three numbers and a short text
-MARKS = """.,;:!?"'()[]{}«»“”„…"""
+GAPS = r"""[\x20\x09-\x0D.,;:!?"'()\[\]{}«»“”„…]+"""
 
 
 def plain_words(text: Column) -> Column:
-    return words(F.translate(F.lower(text), MARKS, ""))
+    """Words in lower case; punctuation marks part words as blanks do."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), GAPS), lambda w: w != "")
 
 
 def seed_hashes(ws: Column) -> Column:
     """For each mask in turn, a hash per word place; near the end, of the words there are."""
     def of(hs: Column) -> Column:
-        def masked(mask: str) -> Column:
+        def masked(seed: int, mask: str) -> Column:
             reads = [k for k, c in enumerate(mask) if c == "1"]
             return F.transform(hs, lambda h, i: F.xxhash64(
-                F.lit(mask), h, *[F.get(hs, i + k) for k in reads if k]))
-        return F.concat(*[masked(m) for m in MASKS])
+                F.lit(seed), h, *[F.get(hs, i + k) for k in reads if k]))
+        return F.concat(*[masked(k, m) for k, m in enumerate(MASKS)])
     return F.get(F.transform(F.array(F.transform(ws, lambda w: F.xxhash64(w))), of), 0)
 
 
@@ -78,7 +79,7 @@ def best_match(ws: Column, at: Column, near: Column, item_n: Column) -> Column:
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Every row of `docs` with n_words, n_items, best_overlap and contaminated."""
+    """Every row of `docs` with n_items, best_overlap and contaminated."""
     seeds = store(benchmark_seeds(benchmark), "bench-seeds")
     blocks = -(-seeds.count() // BLOCK_ROWS)
     mark = F.struct(F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("text"))
@@ -94,8 +95,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         judged = judged.where(F.col("most") * WINDOW >= F.least(F.lit(WINDOW), F.col("item_n")) * MATCHES)
         best = judged.groupBy("mark", "item").agg(F.max("most").alias("most"))
         found = best if found is None else found.union(best)
-    rest = [c for c in docs.columns if c not in ("n_words", "n_items", "best_overlap", "contaminated")]
-    rows = docs.select(*[F.col(f"`{c}`") for c in rest], mark.alias("_mark"), F.size(plain_words(F.col("text"))).alias("n_words"))
+    rest = [c for c in docs.columns if c not in ("n_items", "best_overlap", "contaminated")]
+    rows = docs.select(*[F.col(f"`{c}`") for c in rest], mark.alias("_mark"))
     if found is None:
         return rows.drop("_mark").withColumns({"n_items": F.lit(0).cast("bigint"), "best_overlap": F.lit(0),
                                                "contaminated": F.lit(False)})
