@@ -13,7 +13,7 @@ GAP = r"[\x20\x09-\x0D]+"
 
 def words(text: Column) -> Column:
     """The words of a text, unchanged; none for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), GAP), lambda w: w != "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), GAP), "")
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

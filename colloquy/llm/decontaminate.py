@@ -36,7 +36,7 @@ GAPS = r"""[\x20\x09-\x0D.,;:!?"'()\[\]{}«»“”„…]+"""
 
 def plain_words(text: Column) -> Column:
     """Words in lower case; punctuation marks part words as blanks do."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), GAPS), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), GAPS), "")
 
 
 def seed_hashes(ws: Column) -> Column:
@@ -44,8 +44,9 @@ def seed_hashes(ws: Column) -> Column:
     def of(hs: Column) -> Column:
         def masked(seed: int, mask: str) -> Column:
             reads = [k for k, c in enumerate(mask) if c == "1"]
+            # The second mask reads backwards, so that its hashes are not the first one's.
             return F.transform(hs, lambda h, i: F.xxhash64(
-                F.lit(seed), h, *[F.get(hs, i + k) for k in reads if k]))
+                *[F.get(hs, i + k) if k else h for k in (reads[::-1] if seed else reads)]))
         return F.concat(*[masked(k, m) for k, m in enumerate(MASKS)])
     return F.get(F.transform(F.array(F.transform(ws, lambda w: F.xxhash64(w))), of), 0)
 
