@@ -36,11 +36,13 @@ def shuffled_split(df: DataFrame, key: str, seed: str, n_val: dict[str, Column])
                              for out, n in n_val.items()}).drop("rn", "_digest")
 
 
-def cap_per_group(df: DataFrame, order: Sequence[str], group: Sequence[str], cap: Column | int,
+def cap_per_group(df: DataFrame, order: Sequence[str], group: Sequence[str], cap: Column | int | None,
                   out: str = "rn", hot_rows: int | None = None) -> DataFrame:
-    """The first `cap` rows of each group."""
-    cap = F.lit(cap) if isinstance(cap, int) else cap
-    return ranked(df, order, group, out, hot_rows).where(F.col(out) <= cap)
+    """The first `cap` rows of each group, numbered; without a cap, all of them."""
+    rows = ranked(df, order, group, out, hot_rows)
+    if cap is None:
+        return rows
+    return rows.where(F.col(out) <= (F.lit(cap) if isinstance(cap, int) else cap))
 
 
 def first_of_copies(df: DataFrame, digest: Column, key: str) -> DataFrame:

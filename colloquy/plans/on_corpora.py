@@ -53,7 +53,10 @@ _VALUE = strip_sql(f"regexp_extract(a, {S(V.TRAILING_VALUE)}, 1)")
 _IDENTITY = sub_sql("lower(split_part(" + sub_sql("identity", r"(?i)\b(?:answer\s+choices|options)\b\s*:?", chr(1)) + ", chr(1), 1))", "[^a-z0-9]+")
 
 
-@query("trace_corpus", f"""
+def trace_sql(cap: int | None = None) -> str:
+    capped = "" if cap is None else (
+        f" WHERE rn <= CASE WHEN held_out THEN greatest({cap} // 40, {TRACE_VAL_LEAST}) ELSE {cap} END")
+    return f"""
     WITH r AS ({RENDERED_SQL}),
     c AS (SELECT doc_id, kind, {squeeze_sql('question')} AS q, {_STEPS} AS steps, {squeeze_sql('answer')} AS a, {_IDENTITY} AS identity FROM r),
     d AS (SELECT doc_id, kind, q, {sub_sql(trailing_sql('steps'), chr(10) + '{3,}', chr(10) * 2)} AS t,
@@ -63,13 +66,17 @@ _IDENTITY = sub_sql("lower(split_part(" + sub_sql("identity", r"(?i)\b(?:answer\
     w(kind, place, weight) AS (VALUES {', '.join(f"('{k}', {i}, {w})" for i, (k, w) in enumerate(KIND_WEIGHTS.items()))})
     SELECT doc_id, kind, held_out, row_number() OVER (PARTITION BY held_out ORDER BY (rn - 1) // weight, place, rn) AS position,
         '{V.REASON} ' || q || chr(10) || '{V.THINK}' AS prompt, ' ' || t || chr(10) || '{V.ANSWER} ' || a AS target
-    FROM f JOIN w USING (kind) WHERE rn <= CASE WHEN held_out THEN greatest({TRACE_CAP} // 40, {TRACE_VAL_LEAST}) ELSE {TRACE_CAP} END""")
-def _(t):
-    """All kinds rendered, cleaned, split by identity, capped and mixed by weight."""
+    FROM f JOIN w USING (kind){capped}"""
+
+
+def trace_corpus(t, cap: int | None = None):
+    """All kinds rendered, cleaned, split by identity and mixed by weight; with a cap, at most
+    so many traces of each kind, and a share of it on the held-out side."""
     shared_dir(t.spark)
     rows = traces.clean_traces(traces.render_all(traces.raw_sources(recut(t.documents)))).checkpoint()
-    cap = F.when(F.col("held_out"), validation_cap(F.lit(TRACE_CAP), V.REASON_HOLDOUT, TRACE_VAL_LEAST)).otherwise(TRACE_CAP)
-    kept = cap_per_group(rows, ["doc_id"], ["kind", "held_out"], cap)
+    limit = None if cap is None else F.when(
+        F.col("held_out"), validation_cap(F.lit(cap), V.REASON_HOLDOUT, TRACE_VAL_LEAST)).otherwise(cap)
+    kept = cap_per_group(rows, ["doc_id"], ["kind", "held_out"], limit)
     order = F.array(*[F.lit(k) for k in _KINDS])
     weights = F.array(*[F.lit(w) for w in KIND_WEIGHTS.values()])
     place = F.array_position(order, F.col("kind")).cast("int") - 1
@@ -77,3 +84,13 @@ def _(t):
     return ranked(mixed, ["round", "place", "rn"], ["held_out"], "position").select(
         "doc_id", "kind", "held_out", "position", R.trace_prompt(F.col("question")).alias("prompt"),
         R.trace_target(F.col("think"), F.col("answer")).alias("target"))
+
+
+@query("trace_corpus", trace_sql(TRACE_CAP))
+def _(t):
+    return trace_corpus(t, TRACE_CAP)
+
+
+@query("trace_corpus_whole", trace_sql())
+def _(t):
+    return trace_corpus(t)
