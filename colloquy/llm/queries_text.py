@@ -124,4 +124,5 @@ def op10(spark, folder):
 @query("op7_pseudo_likelihood")
 def op7(spark, folder):
     docs = table(spark, folder, "documents")
-    return pseudo_lm.score(docs, pseudo_lm.train(docs))
+    words = pseudo_lm.count_words(docs)
+    return pseudo_lm.score(docs, pseudo_lm.train(docs, words=words), words)

@@ -1,0 +1,43 @@
+"""Operators that have to do the whole job, against brute force without their shortcuts."""
+
+import numpy as np
+import pytest
+from colloquy.llm import pseudo_lm
+from colloquy.llm.wordhash import hash_words
+
+
+def rows_of(df, *names):
+    return [tuple(r[n] for n in names) for r in df.collect()]
+
+
+# Pseudo-likelihood
+
+def one_class(n):
+    """Words of one class, found by trying."""
+    found = {}
+    for i in range(40_000):
+        word = f"v{i}".encode()
+        c = int(pseudo_lm.classes(hash_words(np.frombuffer(word, np.uint8), np.array([0, len(word)]))[0])[0])
+        found.setdefault(c, []).append(word.decode())
+        if len(found[c]) == n:
+            return found[c]
+
+
+@pytest.mark.parametrize("head", [1 << 19, 2])
+def test_words_of_one_class_have_their_own_probability(spark, make, monkeypatch, head):
+    monkeypatch.setattr(pseudo_lm, "HEAD", head)
+    often, some, once = one_class(3)
+    docs = make([(1, f"a b {often} c d"), (2, f"a b {some} c d"), (3, f"a b {once} c d"), (4, f"{often} " * 5), (5, f"{some} e"),
+                 (6, None), (2, f"a b {some} c d")])
+    got = {r[0]: r[1] for r in rows_of(pseudo_lm.score(docs, pseudo_lm.initial()), "doc_id", "log_prob")}
+    # Six times, three times and once in the corpus; equal contexts and equal class.
+    assert abs(got[1] - got[2] - np.log(6 / 3)) < 3e-4 and abs(got[2] - got[3] - np.log(3)) < 3e-4
+    assert got[6] == 0
+
+
+def test_vocabulary_grows_and_all_words_are_trained():
+    assert pseudo_lm.codes_for(8) == 32 and pseudo_lm.codes_for(10**8) == 100
+    assert all(pseudo_lm.codes_of(pseudo_lm.initial(codes=c)) == c for c in (32, 33, 57, 100))
+    hashes = np.arange(1000, dtype=np.uint64)
+    seen = np.concatenate([pseudo_lm._masked(hashes, 1000, turn) for turn in range(pseudo_lm.ROUNDS)])
+    assert sorted(seen) == list(range(1000))
