@@ -1,8 +1,10 @@
 """Benchmark decontamination with spaced seeds, with DataFrame functions only.
 
 A mask reads some of the words at a place and ignores the others, so a hash of what it reads
-survives substitutions at the ignored places. Two masks of five words find every 13-word
-window with up to two words substituted, and nearly all with three. Hashes of the benchmark
+survives substitutions at the ignored places. Two masks of four words, used at every place
+they fit, find every window of 9 to 13 words that reaches MATCHES; items of 5 to 8 words get
+three further masks, which the documents are only hashed for if there are such items. So
+every window that counts is found. Hashes of the benchmark
 at every place are joined to hashes of the documents at every place; around a hit the
 documents' words are compared with the item's, and the hit counts if some window of WINDOW
 aligned words has at least MATCHES equal ones.
@@ -13,13 +15,15 @@ rows, one pass over the documents for each block.
 
 Defined cases: null and empty texts and items have no words and match nothing; an item with
 fewer words than WINDOW is compared as a whole, with MATCHES in proportion; one with fewer
-words than a mask reads is too short to be evidence and not searched; documents are rows, so
+words than LEAST is too short to be evidence and not searched; documents are rows, so
 repeated rows have equal results; an item without an id counts as item null; an empty table
 on either side gives no hits; columns of the input that are named like a result are replaced.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +31,9 @@ from colloquy.operators.joins import small_or_not
 
 from .common import store
 
-MASKS = ("1100111", "110001011")
+MASKS = ("11101", "100111")
+SHORT_MASKS = ("1111", "11011", "10111")  # besides, for items with fewer words than SHORT
+LEAST, SHORT = 5, 9
 WINDOW = 13
 MATCHES = 10
 BLOCK_ROWS = 400_000  # hashes broadcast at a time; a row is three numbers and a short text
@@ -39,28 +45,33 @@ def plain_words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), GAPS), "")
 
 
-def seed_hashes(ws: Column) -> Column:
+def seed_hashes(ws: Column, masks: Sequence[str] = MASKS) -> Column:
     """For each mask in turn, a hash per word place; near the end, of the words there are."""
     def of(hs: Column) -> Column:
         def masked(seed: int, mask: str) -> Column:
             reads = [k for k, c in enumerate(mask) if c == "1"]
-            # The second mask reads backwards, so that its hashes are not the first one's.
+            # Every second mask reads backwards, so that its hashes are not the others'.
             return F.transform(hs, lambda h, i: F.xxhash64(
-                *[F.get(hs, i + k) if k else h for k in (reads[::-1] if seed else reads)]))
-        return F.concat(*[masked(k, m) for k, m in enumerate(MASKS)])
+                *[F.get(hs, i + k) if k else h for k in (reads[::-1] if seed % 2 else reads)]))
+        return F.concat(*[masked(k, m) for k, m in enumerate(masks)])
     return F.get(F.transform(F.array(F.transform(ws, lambda w: F.xxhash64(w))), of), 0)
 
 
 def benchmark_seeds(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """h, item, j, item_n, near (the item's words around j), from: where `near` begins."""
-    span = max(map(len, MASKS))
     rows = benchmark.select(F.col(id_col).alias("item"), F.explode(F.array(plain_words(F.col(text_col)))).alias("iw"))
-    rows = rows.where(F.size("iw") >= span).select("item", "iw", F.posexplode(seed_hashes(F.col("iw"))).alias("p", "h"))
-    n = F.size("iw")
-    rows = rows.withColumns({"j": F.col("p") % n, "item_n": n}).where(F.col("j") <= n - span)
-    low = F.greatest(F.lit(0), F.col("j") + span - WINDOW)
-    return rows.select("h", "item", "j", "item_n", low.alias("from"), F.slice(
-        "iw", low + 1, F.least(n, F.col("j") + WINDOW) - low).alias("near"))
+
+    def seeds(some: DataFrame, masks: Sequence[str]) -> DataFrame:
+        out = some.select("item", "iw", F.posexplode(seed_hashes(F.col("iw"), masks)).alias("p", "h"))
+        n = F.size("iw")
+        span = F.get(F.array(*[F.lit(len(m)) for m in masks]), F.floor(F.col("p") / n).cast("int"))
+        out = out.withColumns({"j": F.col("p") % n, "item_n": n, "span": span}).where("j <= item_n - span")
+        # Windows that hold all the words of the mask.
+        low = F.greatest(F.lit(0), F.col("j") + F.col("span") - WINDOW)
+        return out.select("h", "item", "j", "item_n", low.alias("from"), F.slice(
+            "iw", low + 1, F.least(n, F.col("j") + WINDOW) - low).alias("near"))
+    return seeds(rows.where(F.size("iw") >= SHORT), MASKS).union(
+        seeds(rows.where(F.size("iw").between(LEAST, SHORT - 1)), MASKS + SHORT_MASKS))
 
 
 def best_match(ws: Column, at: Column, near: Column, item_n: Column) -> Column:
@@ -82,14 +93,16 @@ def best_match(ws: Column, at: Column, near: Column, item_n: Column) -> Column:
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Every row of `docs` with n_items, best_overlap and contaminated."""
     seeds = store(benchmark_seeds(benchmark), "bench-seeds")
-    blocks = -(-seeds.count() // BLOCK_ROWS)
+    size = seeds.agg(F.count(F.lit(1)).alias("n"), F.min("item_n").alias("least")).first()
+    blocks = -(-size["n"] // BLOCK_ROWS)
+    masks = MASKS + SHORT_MASKS if blocks and size["least"] < SHORT else MASKS
     mark = F.struct(F.col("doc_id").alias("id"), F.xxhash64("doc_id", "text").alias("text"))
     texts = docs.select(mark.alias("mark"), F.explode(F.array(plain_words(F.col("text")))).alias("w"))
     found = None
     for block in range(blocks):
         # A block has about BLOCK_ROWS rows, as many as fit into memory whatever the benchmark.
         some = F.broadcast(seeds.where(F.pmod(F.xxhash64("h"), F.lit(blocks)) == block))
-        hits = texts.select("mark", "w", F.posexplode(seed_hashes(F.col("w"))).alias("p", "h")).join(some, "h")
+        hits = texts.select("mark", "w", F.posexplode(seed_hashes(F.col("w"), masks)).alias("p", "h")).join(some, "h")
         at = F.col("p") % F.size("w") - F.col("j") + F.col("from")
         judged = hits.select("mark", "item", "item_n", best_match(
             F.col("w"), at, F.col("near"), F.col("item_n")).alias("most"))

@@ -1,8 +1,11 @@
 """Operators that have to do the whole job, against brute force without their shortcuts."""
 
+import random
+from itertools import combinations
+
 import numpy as np
 import pytest
-from colloquy.llm import pseudo_lm
+from colloquy.llm import decontaminate, pseudo_lm
 from colloquy.llm.wordhash import hash_words
 
 
@@ -10,6 +13,46 @@ def rows_of(df, *names):
     return [tuple(r[n] for n in names) for r in df.collect()]
 
 
+# Benchmark passages
+
+def slid(doc, item):
+    """Most equal words of any window of the item laid on the document, if enough; else 0."""
+    n, size = len(item), min(decontaminate.WINDOW, len(item))
+    if n < decontaminate.LEAST:
+        return 0
+    best = 0
+    for shift in range(-n + 1, len(doc)):
+        equal = [0 <= shift + q < len(doc) and doc[shift + q] == item[q] for q in range(n)]
+        best = max(best, max(sum(equal[a:a + size]) for a in range(n - size + 1)))
+    return best if best * decontaminate.WINDOW >= size * decontaminate.MATCHES else 0
+
+
+def test_every_pattern_of_substitutions_is_found(spark, make):
+    for sizes in ((9, 10, 11, 12, 13, 17), (5, 6, 7, 8)):
+        items = {n: [f"i{n}w{k}" for k in range(n)] for n in sizes}
+        docs = []
+        for n, item in items.items():
+            window = min(n, decontaminate.WINDOW)
+            spare = window - -(-window * decontaminate.MATCHES // decontaminate.WINDOW)
+            for most in range(spare + 2):
+                patterns = list(combinations(range(window), most))
+                for spots in patterns if most <= spare else patterns[::7]:
+                    docs.append(["a"] * (len(docs) % 3) + ["x" if k in spots else w for k, w in enumerate(item)][:window])
+        bench = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id long, text string")
+        got = dict(rows_of(decontaminate.contamination(make([(i, " ".join(d)) for i, d in enumerate(docs)]), bench), "doc_id", "best_overlap"))
+        assert got == {i: max(slid(d, x) for x in items.values()) for i, d in enumerate(docs)}
+
+
+def test_passages_as_by_sliding(spark, make):
+    rnd = random.Random(4)
+    items = [[f"w{rnd.randrange(9)}" for _ in range(n)] for n in (4, 5, 7, 8, 9, 10, 12, 13, 14, 25)]
+    docs = [[f"w{rnd.randrange(9)}" for _ in range(rnd.choice([0, 3, 6, 20, 90]))] for _ in range(120)]
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = rows_of(decontaminate.contamination(make([(i, " ".join(d)) for i, d in enumerate(docs)]), bench), "doc_id", "n_items", "best_overlap")
+    want = [[slid(d, x) for x in items] for d in docs]
+    assert sorted(got) == [(i, sum(b > 0 for b in row), max(row)) for i, row in enumerate(want)]
+
+
 # Pseudo-likelihood
 
 def one_class(n):
