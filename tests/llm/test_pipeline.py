@@ -6,7 +6,7 @@ import corpus_pipeline as P
 import pytest
 from colloquy.llm import mixing
 from test_sets import brute_components
-from test_text import brute_lines
+from test_llm_text import brute_lines
 
 
 @pytest.fixture(scope="module")
