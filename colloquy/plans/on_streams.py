@@ -23,7 +23,7 @@ def events(t):
 
 
 def replayed(t):
-    return R.Replay(t.spark, t.folder, "events", "ts")
+    return R.Replay(t.spark, t.folder, "events", "ts", "user_id")
 
 
 def k_of(props="props"):
@@ -60,18 +60,18 @@ def _(t):
 def _(t):
     replay = replayed(t)
     rows = replay.stream.select("event_id", "user_id", "ts", F.concat_ws(" ", "event_type", "props").alias("line"))
-    out = R.keyed(rows, "user_id", R.RoomHistory("user_id", ["ts", "event_id"]),
+    out = R.keyed(rows, "user_id", R.RoomHistory("user_id", ["ts", "event_id"], slice_ms=replay.slice_ms),
                   "event_id bigint, user_id bigint, history string")
-    return R.drain(out, "history", replay)
+    return R.on_time(R.drain(out, "history", replay))
 
 
 @query("stream_last_seen", ASOF_SQL)
 def _(t):
     replay = replayed(t)
     rows = replay.stream.select("event_id", "user_id", "ts", "event_type", "value")
-    out = R.keyed(rows, "user_id", R.LastSeen("user_id", ["ts", "event_id"]),
+    out = R.keyed(rows, "user_id", R.LastSeen("user_id", ["ts", "event_id"], slice_ms=replay.slice_ms),
                   "event_id bigint, user_id bigint, seen_image bigint, seen_value double")
-    return R.drain(out, "seen", replay)
+    return R.on_time(R.drain(out, "seen", replay))
 
 
 def suppression_input(rows):
@@ -85,9 +85,9 @@ def suppression_input(rows):
 @query("stream_recent_suppression")
 def _(t):
     replay = replayed(t)
-    out = R.keyed(suppression_input(replay.stream), "user_id", R.RecentSuppression("user_id", ["ts", "event_id"]),
+    out = R.keyed(suppression_input(replay.stream), "user_id", R.RecentSuppression("user_id", ["ts", "event_id"], slice_ms=replay.slice_ms),
                   "event_id bigint, user_id bigint, reply string, score double")
-    return R.drain(out, "suppressed", replay)
+    return R.on_time(R.drain(out, "suppressed", replay))
 
 
 @query("stream_session_stats", SESSION_SQL)

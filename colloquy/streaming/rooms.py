@@ -3,15 +3,22 @@
 The reference for the state rules is sequential per room, so a room is the unit of state.
 Rows may come in any order and any batches: a room holds them by slices of time and handles
 a slice, in order, once the watermark has passed it. So results do not depend on how a table
-is cut into files or batches. `lateness` says how long a row may come after later ones; rows
-older than that are dropped by the watermark. A replayed table waits for everything and is
-closed by one row of a far time. No more than one slice of one room is in memory at once.
+is cut into files or batches. `lateness` says how long a row may come after later ones. A row
+whose slice has been handled, or that has no time, is not placed: it comes out with `late`
+set, in a folder of its own, so late rows are counted and not lost.
+
+What a room holds is appended in parts and never rewritten; each slice has one timer, which
+reads the parts of its own slice only and removes them. No more than one slice of one room is
+in memory at once, and the state is bounded by `lateness` and the length of a slice.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
+from contextlib import contextmanager
+from datetime import timedelta
 from typing import Any
 
 import pandas as pd
@@ -25,9 +32,11 @@ from ..session import scratch_path
 
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-CLOSING_TIME = "2262-01-01 00:00:00"  # near the end of what pandas can hold
-WHOLE_TABLE = "36500 days"  # tables of up to a hundred years, none of it after 2160
+PARTITIONS = "spark.sql.shuffle.partitions"
+LATE = "late"
 SLICE_MS = 24 * 3600 * 1000
+SLICE_ROWS = 100_000  # about as many rows of the busiest room in a slice of a replay
+STORE_ROWS = 10_000   # a replay opens a state store for so many rows, up to the set number
 
 
 # -------------------------------------------------------------------- sources
@@ -45,39 +54,104 @@ def table_stream(spark: SparkSession, folder: str, name: str, batch_bytes: int =
     return stream.parquet(path)
 
 
+def in_time(rows: DataFrame, time: str, lateness: timedelta) -> DataFrame:
+    """A stream whose rows may come up to `lateness` after later ones."""
+    return rows.withWatermark(time, f"{math.ceil(lateness.total_seconds() * 1000)} milliseconds")
+
+
 class Replay:
-    """A table as a stream that can be closed, after which every row has been handled."""
+    """A table as a stream that can be closed, after which every row has been handled.
+
+    Without a `lateness` the stream waits for as long as the table spans, so that no row is
+    late in whatever order the files come. One row of a far time closes it. The slices are as
+    long as the busiest room allows.
+    """
 
-    def __init__(self, spark: SparkSession, folder: str, name: str, time: str, batch_bytes: int = 128 * 1024 * 1024):
+    def __init__(self, spark: SparkSession, folder: str, name: str, time: str, room: str,
+                 batch_bytes: int = 128 * 1024 * 1024, lateness: timedelta | None = None,
+                 slice_ms: int | None = None):
+        at = F.col(time).cast("timestamp")
+        rooms = spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet").groupBy(room).agg(
+            F.count(F.lit(1)).alias("n"), F.min(F.unix_millis(at)).alias("low"), F.max(F.unix_millis(at)).alias("high"))
+        size = rooms.agg(F.max("n").alias("most"), F.sum("n").alias("n"), F.min("low").alias("low"),
+                         F.max("high").alias("high")).first()
+        low, high, most = size["low"] or 0, size["high"] or 0, size["most"] or 0
+        span = high - low + 1
+        self.rows = size["n"] or 0
+        self.slice_ms = slice_ms or max(1000, math.ceil(span / math.ceil((most + 1) / SLICE_ROWS)))
+        wait = timedelta(milliseconds=span) if lateness is None else lateness
+        # Past the last slice, however long the stream waits.
+        end = high + 2 * self.slice_ms + math.ceil(wait.total_seconds() * 1000)
         self.closing = scratch_path(spark, f"{name}-closing")
         table = table_stream(spark, folder, name, batch_bytes)
         self.row = spark.range(1).select(*[
-            (F.lit(CLOSING_TIME) if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema])
+            (F.timestamp_millis(F.lit(end)) if f.name == time else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in table.schema])
         self.row.limit(0).write.parquet(self.closing)
-        end = spark.readStream.schema(table.schema).parquet(self.closing)
-        rows = table.unionByName(end).withColumn(time, F.col(time).cast("timestamp"))
-        self.stream = rows.withWatermark(time, WHOLE_TABLE)
+        last = spark.readStream.schema(table.schema).parquet(self.closing)
+        rows = table.unionByName(last).withColumn(time, F.col(time).cast("timestamp"))
+        self.stream = in_time(rows, time, wait)
+        self.one_batch = _bytes(spark, f"{folder.rstrip('/')}/{name}.parquet") <= batch_bytes
 
     def close(self) -> None:
         self.row.write.mode("append").parquet(self.closing)
 
 
+def _bytes(spark: SparkSession, path: str) -> int:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(where).getLength()
+
+
+@contextmanager
+def state_settings(spark: SparkSession, rows: int | None = None) -> Iterator[None]:
+    """Room state needs the provider named here; a query takes its settings when it starts.
+
+    A small replay (`rows`) opens fewer stores than the session has shuffle partitions.
+    """
+    wanted = {PROVIDER: ROCKSDB}
+    if rows is not None:
+        wanted[PARTITIONS] = str(max(1, min(int(spark.conf.get(PARTITIONS)), math.ceil(rows / STORE_ROWS))))
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def drain(stream: DataFrame, name: str, replay: Replay | None = None) -> DataFrame:
     """Process what is there and return what was appended; `replay` is closed first to get
-    what waits for later rows."""
+    what waits for later rows. Late rows are in a folder of their own (`late_rows`)."""
     spark = stream.sparkSession
     out, marks = scratch_path(spark, name), scratch_path(spark, f"{name}-marks")
+    parts = [c for c in [LATE] if c in stream.columns]
 
     def run() -> None:
-        (stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", marks)
+        writer = stream.writeStream.partitionBy(*parts) if parts else stream.writeStream
+        (writer.format("parquet").option("path", out).option("checkpointLocation", marks)
          .outputMode("append").trigger(availableNow=True).start().awaitTermination())
-    run()
-    if replay is not None:
-        replay.close()
+    if replay is None:
         run()
+    else:
+        with state_settings(spark, replay.rows):
+            if not replay.one_batch:  # else the closing row may come along with all the others
+                run()
+            replay.close()
+            run()
     return spark.read.schema(stream.schema).parquet(out)
 
 
+def on_time(handled: DataFrame) -> DataFrame:
+    return handled.where(f"NOT {LATE}").drop(LATE)
+
+
+def late_rows(handled: DataFrame) -> DataFrame:
+    """The side output: rows that came after their slice had been handled, or without a time."""
+    return handled.where(LATE)
+
+
 def drain_updates(stream: DataFrame, key: str, name: str) -> DataFrame:
     """Process what is there and return the last state of each key.
 
@@ -116,40 +190,63 @@ def event_dispatch(kind: Column, argument: Column, text: Column, room: Column) -
 
 # ------------------------------------------------------------------- room state
 def keyed(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str) -> DataFrame:
-    if stream.sparkSession.conf.get(PROVIDER, None) != ROCKSDB:
-        raise RuntimeError(f"set {PROVIDER} to {ROCKSDB}, as build_session does")
-    return stream.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=T._parse_datatype_string(schema),
+    """The processor's rows and `late`. Started within `state_settings`, as `drain` does."""
+    # As a plain column the time is kept by Spark's own filter of late rows, which drops them.
+    rows = stream.withColumn(processor.order[0], F.col(processor.order[0]).alias(processor.order[0], metadata={}))
+    # Rooms without a name are one room. A null key beside others would take their rows.
+    room = F.coalesce(F.concat(F.lit("r"), F.col(key).cast("string")), F.lit("")).alias("_room")
+    return rows.select("*", room).groupBy("_room").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=T._parse_datatype_string(f"{schema}, {LATE} boolean"),
         outputMode="Append", timeMode="EventTime")
 
 
 class InOrder(StatefulProcessor):
-    """Rows of a room held by slices of time and handled in order, slice after slice."""
+    """Rows of a room held by slices of time and handled in order, slice after slice.
+
+    `parts` is a list of appended parts per slice, `sizes` says how many there are.
+    """
 
     def __init__(self, key: str, order: list[str], slice_ms: int = SLICE_MS):
         self.key, self.order, self.slice_ms = key, order, slice_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "slice bigint", "rows binary")
+        self.sizes = handle.getMapState("sizes", "slice bigint", "n bigint")
+        self.parts = handle.getMapState("parts", "slice bigint, part bigint", "rows binary")
         self.open(handle)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        closed = timerValues.getCurrentWatermarkInMs() // self.slice_ms
+        left = []  # the state belongs to this room only until the call returns
         for pdf in rows:
-            ms = pdf[self.order[0]].to_numpy("datetime64[ms]").astype("int64")
-            for number, part in pdf.groupby(ms // self.slice_ms):
-                at = (int(number),)
-                before = pickle.loads(self.held.getValue(at)[0]) if self.held.containsKey(at) else []
-                self.held.updateValue(at, (pickle.dumps(before + [part]),))
-                self.handle.registerTimer((at[0] + 1) * self.slice_ms)
-        return iter(())
+            at = pdf[self.order[0]].to_numpy("datetime64[ms]").astype("int64") // self.slice_ms
+            late = (at < closed) | pdf[self.order[0]].isna().to_numpy()
+            if late.any():
+                left.append(self.marked(pdf[["event_id", self.key]][late], True))
+            for number, part in pdf[~late].groupby(at[~late]):
+                number = int(number)
+                held = self.sizes.getValue((number,))
+                n = 0 if held is None else held[0]
+                self.parts.updateValue((number, n), (pickle.dumps(part),))
+                self.sizes.updateValue((number,), (n + 1,))
+                if n == 0:
+                    self.handle.registerTimer((number + 1) * self.slice_ms)
+        return iter(left)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        passed = expiredTimerInfo.getExpiryTimeInMs() // self.slice_ms
-        for number in sorted(k[0] for k in self.held.keys() if k[0] < passed):
-            parts = pickle.loads(self.held.getValue((number,))[0])
-            self.held.removeKey((number,))
-            yield self.step(key[0], pd.concat(parts).sort_values(self.order, kind="stable"))
+        number = expiredTimerInfo.getExpiryTimeInMs() // self.slice_ms - 1
+        parts = []
+        for n in range(self.sizes.getValue((number,))[0]):
+            parts.append(pickle.loads(self.parts.getValue((number, n))[0]))
+            self.parts.removeKey((number, n))
+        self.sizes.removeKey((number,))
+        pdf = pd.concat(parts).sort_values(self.order, kind="stable")
+        return iter([self.marked(self.step(pdf[self.key].iloc[0], pdf), False)])
+
+    def marked(self, pdf: pd.DataFrame, late: bool) -> pd.DataFrame:
+        """`pdf` with every column of the output; those a late row has no value for are null."""
+        missing = {name: None for name in self.extra if name not in pdf}
+        return pdf.assign(**missing, **{LATE: late})[["event_id", self.key, *self.extra, LATE]]
 
     def close(self) -> None:
         pass
@@ -158,15 +255,17 @@ class InOrder(StatefulProcessor):
 class RoomHistory(InOrder):
     """Every message with the last lines of its room before it."""
 
-    def __init__(self, key: str, order: list[str], lines: int = V.HISTORY_LINES):
-        super().__init__(key, order)
+    extra = ["history"]
+
+    def __init__(self, key: str, order: list[str], lines: int = V.HISTORY_LINES, slice_ms: int = SLICE_MS):
+        super().__init__(key, order, slice_ms)
         self.n = lines
 
     def open(self, handle: StatefulProcessorHandle) -> None:
         self.lines = handle.getListState("lines", "line string")
 
     def step(self, room: Any, pdf: pd.DataFrame) -> pd.DataFrame:
-        held = [line[0] for line in self.lines.get()] if self.lines.exists() else []
+        held = [line[0] for line in self.lines.get()]
         seen = []
         for line in pdf["line"]:
             seen.append("\n".join(held))
@@ -178,11 +277,13 @@ class RoomHistory(InOrder):
 class LastSeen(InOrder):
     """Questions answered from what the room showed last before them."""
 
+    extra = ["seen_image", "seen_value"]
+
     def open(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "image bigint, value double")
 
     def step(self, room: Any, pdf: pd.DataFrame) -> pd.DataFrame:
-        image, value = self.seen.get() if self.seen.exists() else (None, None)
+        image, value = self.seen.get() or (None, None)
         out = []
         for event_id, kind, shown in zip(pdf["event_id"], pdf["event_type"], pdf["value"]):
             if kind == "click":
@@ -199,15 +300,17 @@ class LastSeen(InOrder):
 class RecentSuppression(InOrder):
     """The best candidate that is not among the replies chosen last in the room."""
 
-    def __init__(self, key: str, order: list[str], recent: int = V.HISTORY_LINES):
-        super().__init__(key, order)
+    extra = ["reply", "score"]
+
+    def __init__(self, key: str, order: list[str], recent: int = V.HISTORY_LINES, slice_ms: int = SLICE_MS):
+        super().__init__(key, order, slice_ms)
         self.n = recent
 
     def open(self, handle: StatefulProcessorHandle) -> None:
         self.chosen = handle.getListState("chosen", "reply string")
 
     def step(self, room: Any, pdf: pd.DataFrame) -> pd.DataFrame:
-        recent = [r[0] for r in self.chosen.get()] if self.chosen.exists() else []
+        recent = [r[0] for r in self.chosen.get()]
         out = []
         for event_id, texts, scores in zip(pdf["event_id"], pdf["texts"], pdf["scores"]):
             fresh = [(s, -i, x) for i, (x, s) in enumerate(zip(texts, scores)) if x.lower() not in recent]

@@ -16,7 +16,7 @@ from colloquy.sources import files, mix, sinks
 
 def test_splits_cover_and_do_not_meet(spark):
     df = spark.range(101).withColumnRenamed("id", "k")
-    for out in (prefix_split(df, ["k"]), shuffled_split(df, "k", "s", F.lit(8))):
+    for out in (prefix_split(df, ["k"]), shuffled_split(df, "k", "s", {"side": F.lit(8)})):
         sides = {}
         for r in out.collect():
             sides.setdefault(r["side"], set()).add(r["k"])
@@ -71,7 +71,7 @@ def test_source_tree(spark, tmp_path):
         (tree / name).parent.mkdir(parents=True, exist_ok=True)
         (tree / name).write_text(body)
     got = files.scan_source_files(spark, str(tree), subdirs=["py"], max_bytes=40)
-    assert sorted(r["path"] for r in got.collect()) == ["py/a.py", "py/g.mjs"]
+    assert sorted(r["path"] for r in got.collect()) == ["py/a.py", "py/f.MJS", "py/g.mjs"]
 
 
 def test_chat_xml(spark, tmp_path):
