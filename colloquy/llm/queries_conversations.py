@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import trie
+from . import repair, trie
 from .common import table
 from .registry import query
 
@@ -51,3 +51,81 @@ FROM w JOIN s ON s.k = w.k AND s.d = w.d LEFT JOIN n p ON w.d > 0 AND p.d = w.d
 @query("op11_prefix_trie", OP11_SQL)
 def op11(spark, folder):
     return trie.prefix_trie(table(spark, folder, "conversations"))
+
+
+def _add(b: str, cost: str, label: str, line: str) -> str:
+    """A walk (cost, audit, text) with one more edit."""
+    return f"CASE WHEN {b} IS NOT NULL THEN struct_pack(c := {b}.c + {cost}, a := {b}.a || '{label}', t := {b}.t || {line}) END"
+
+
+def _least(*walks: str) -> str:
+    return f"list_sort(list_filter([{', '.join(walks)}], lambda x: x IS NOT NULL))[1]"
+
+
+def _inserted(source: str) -> str:
+    """Walks n0 to n3 of `source` after inserts, as b0 to b3."""
+    b2 = _least("n2", *[_add(f"n{s}", "3", "I", "chr(10) || 'user:'") for s in (0, 1, 3)])
+    b3 = _least("n3", _add("b2", "3", "I", "chr(10) || 'assistant:'"))
+    return f"SELECT conv_id, i, n0 AS b0, n1 AS b1, b2, {b3} AS b3 FROM (SELECT *, {b2} AS b2 FROM ({source}))"
+
+
+_LINE = "chr(10) || role || ':' || text"
+_DUE = "chr(10) || '{}:' || text"
+
+
+def _kept(s: int, initial: str) -> str:
+    return f"CASE WHEN stays AND r = '{initial}' THEN {_add(f'b{s}', 'extra', 'K', _LINE)} END"
+
+
+def _reroled(s: int, role: str) -> str:
+    return f"CASE WHEN stays THEN {_add(f'b{s}', '(3 + extra)', 'R', _DUE.format(role))} END"
+
+
+def _gone(s: int) -> str:
+    return _add(f"b{s}", "4", "D", "''")
+
+
+_ONE_ROW = f"""SELECT dp.conv_id, dp.i + 1 AS i, {_gone(0)} AS n0, {_least(_gone(1), _kept(0, 's'))} AS n1,
+    {_least(_gone(2), *[_kept(s, 'u') for s in (0, 1, 3)], *[_reroled(s, 'user') for s in (0, 1, 3)])} AS n2,
+    {_least(_gone(3), _kept(2, 'a'), _reroled(2, 'assistant'))} AS n3
+  FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.pos = dp.i + 1"""
+_NOTHING = "CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR))"
+
+OP13_SQL = f"""
+WITH RECURSIVE {CRC_TABLE},
+d AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc_sql('name')} % 20 AS k
+  FROM (SELECT *, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations), crc_table),
+e AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(0, CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM d),
+o AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text), copy) AS pos,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen FROM e),
+g AS (
+  SELECT *, substr(role, 1, 1) AS r, CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*\z') THEN 'truncated' ELSE '' END AS fault FROM o),
+f AS (
+  SELECT *, fault IN ('', 'truncated') AS stays, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS extra,
+    lag(r) OVER (PARTITION BY conv_id ORDER BY pos) || r AS met FROM g),
+dp AS (
+  {_inserted(f"SELECT conv_id, 0::BIGINT AS i, struct_pack(c := 0::BIGINT, a := '', t := '') AS n0, {_NOTHING} AS n1, {_NOTHING} AS n2, {_NOTHING} AS n3 FROM (SELECT DISTINCT conv_id FROM conversations)")}
+  UNION ALL
+  {_inserted(_ONE_ROW)}),
+w AS (
+  SELECT conv_id, i, {_least('b0', 'b3')} AS best, row_number() OVER (PARTITION BY conv_id ORDER BY i DESC) AS from_end FROM dp),
+n AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank,
+    count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE met NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY 1)
+SELECT w.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, best.c::BIGINT AS cost, best.a AS audit,
+  sha256(substr(best.t, 2)) AS repaired_sha256
+FROM w LEFT JOIN n ON n.conv_id IS NOT DISTINCT FROM w.conv_id WHERE from_end = 1
+"""
+
+
+@query("op13_structure_repair", OP13_SQL)
+def op13(spark, folder):
+    return repair.repair_conversations(table(spark, folder, "conversations"))
