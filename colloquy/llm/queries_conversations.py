@@ -91,7 +91,7 @@ _ONE_ROW = f"""SELECT dp.conv_id, dp.i + 1 AS i, {_gone(0)} AS n0, {_least(_gone
   FROM dp JOIN f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.pos = dp.i + 1"""
 _NOTHING = "CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR))"
 
-OP13_SQL = f"""
+OP13_SQL = rf"""
 WITH RECURSIVE {CRC_TABLE},
 d AS (
   SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc_sql('name')} % 20 AS k
