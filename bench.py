@@ -59,12 +59,11 @@ def run_all(shared: str) -> None:
 
     seconds = {name: timed(lambda n=name: catalog.PLANS[n](spark, folder)) for name in HEADLINE}
 
-    # Text to token ids, the one rate that has a published counterpart.
-    merges = vocabulary.bpe_learn(tables.conversations, "text", n_merges=200)
-    encode = vocabulary.bpe_encoder(merges, [])
-    texts = tables.documents.select(vocabulary.special_pieces(F.col("text"), []).alias("p"))
+    # Text to token ids, the one rate that has a published counterpart, with as many merges.
+    merges = vocabulary.bpe_learn(tables.conversations, "text")
     start = time.time()
-    tokens = texts.select(F.size(encode("p")).alias("n")).agg(F.sum("n")).first()[0]
+    ids = vocabulary.bpe_encode(tables.documents, ["doc_id"], vocabulary.special_pieces(F.col("text"), []), merges, [])
+    tokens = ids.select(F.size("ids").alias("n")).agg(F.sum("n")).first()[0]
     rate = round(tokens / (time.time() - start))
 
     print(json.dumps({

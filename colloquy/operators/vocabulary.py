@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
-from functools import lru_cache, reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.extract import pre_tokens
-from ..session import shared_dir
+from ..session import scratch_path
+from .joins import BROADCAST_ROWS
+from .merges import learn_merges
+
+MERGES = 8000
 
 
 def char_vocab(docs: DataFrame, text: str) -> DataFrame:
@@ -29,82 +33,16 @@ def pretoken_counts(docs: DataFrame, text: str) -> DataFrame:
             .groupBy("piece").agg(F.count(F.lit(1)).alias("n")))
 
 
-# A symbol is the hex of its bytes, set off by blanks on both sides, so that a merge is a
-# literal replacement and symbols never share a border.
-def byte_symbols(piece: Column) -> Column:
-    return F.regexp_replace(F.hex(F.encode(piece, "UTF-8")), "(..)", " $1 ")
-
-
-def _merged(symbols: Column, pair: tuple[str, str]) -> Column:
-    a, b = pair
-    return F.replace(symbols, F.lit(f" {a}  {b} "), F.lit(f" {a}{b} "))
-
-
-def pair_counts(words: DataFrame) -> DataFrame:
-    """(a, b, n, made): adjacent symbols, how often, and the most that merging them can make.
-
-    Merging (a, b) makes pairs (x, ab) and (ab, y). They occur at most as often as the
-    triples (x, a, b) and (a, b, y), so triples are counted and pairs follow from them.
-    """
-    split = words.select("n", F.split(F.trim("symbols"), "  ").alias("s")).where(F.size("s") > 1)
-    places = F.transform(F.sequence(F.lit(0), F.size("s") - 2), lambda i: F.struct(
-        F.get("s", i).alias("a"), F.get("s", i + 1).alias("b"), F.get("s", i + 2).alias("c")))
-    triples = (split.select("n", F.explode(places).alias("p")).groupBy("p.a", "p.b", "p.c")
-               .agg(F.sum("n").alias("n")))
-    inner = F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)
-    views = F.array(
-        F.struct(F.col("a").alias("a"), F.col("b").alias("b"), F.col("n").alias("n"), inner.alias("made")),
-        F.struct(F.col("b").alias("a"), F.col("c").alias("b"), F.lit(0).cast("bigint").alias("n"), inner.alias("made")))
-    return (triples.select(F.explode(views).alias("v")).where("v.b IS NOT NULL").groupBy("v.a", "v.b")
-            .agg(F.sum("v.n").alias("n"), F.max("v.made").alias("made")))
-
-
-def safe_batch(rows: list, room: int) -> list[tuple[str, str]]:
-    """The best pairs that one-by-one merging would take next, in the same order.
-
-    Rows come by falling count, ties by pair. A merge of (a, b) changes only pairs that
-    hold a or b and makes none more frequent than `made`. So a further pair is certain
-    while it shares no symbol with those already taken and is more frequent than all that
-    they can make.
-    """
-    taken: list[tuple[str, str]] = []
-    used: set[str] = set()
-    ceiling = 0
-    for row in rows:
-        a, b, n = row["a"], row["b"], row["n"]
-        if len(taken) == room or taken and (n <= ceiling or a in used or b in used):
-            break
-        taken.append((a, b))
-        used |= {a, b}
-        ceiling = max(ceiling, row["made"])
-    return taken
-
-
-def bpe_learn(docs: DataFrame, text: str, n_merges: int, listed: int = 500,
-              checkpoint_every: int = 12) -> list[tuple[str, str]]:
+def bpe_learn(docs: DataFrame, text: str, n_merges: int = MERGES, **bounds: int) -> list[tuple[str, str]]:
     """Merges by rank, as hex symbol pairs, most frequent pair first, smaller pair on ties.
 
-    Text is read once: it is reduced to distinct word pieces with counts. Each round is
-    one job over that table that counts pairs; the `listed` best reach the driver, which
-    takes every one that is certain (see `safe_batch`).
+    Text is read once: it is reduced to distinct word pieces with counts, from which
+    `operators.merges` learns. Fewer merges come back when no pair is left.
     """
-    shared_dir(docs.sparkSession)
-    words = pretoken_counts(docs, text).select("n", byte_symbols(F.col("piece")).alias("symbols"))
-    # Few bytes but much work per round, so every core gets a share.
-    words = words.repartition(docs.sparkSession.sparkContext.defaultParallelism).checkpoint()
-    merges: list[tuple[str, str]] = []
-    rounds = 0
-    while len(merges) < n_merges:
-        top = pair_counts(words).orderBy(F.desc("n"), "a", "b").limit(listed).collect()
-        if not top:
-            break
-        step = safe_batch(top, n_merges - len(merges))
-        merges += step
-        words = words.withColumn("symbols", reduce(_merged, step, F.col("symbols")))
-        rounds += 1
-        if rounds % checkpoint_every == 0:
-            words = words.checkpoint()
-    return merges
+    path = scratch_path(docs.sparkSession, "bpe-counts")
+    counted = pretoken_counts(docs, text)
+    counted.write.parquet(path)
+    return learn_merges(docs.sparkSession.read.schema(counted.schema).parquet(path), n_merges, **bounds)
 
 
 def bpe_vocab(merges: list[tuple[str, str]], special: list[str]) -> dict[str, int]:
@@ -116,22 +54,27 @@ def bpe_vocab(merges: list[tuple[str, str]], special: list[str]) -> dict[str, in
 
 
 def merge_symbols(piece: str, ranks: dict[tuple[str, str], int]) -> list[str]:
-    """One word piece: the pair of the lowest rank is merged until none is left."""
-    symbols = [f"{b:02X}" for b in piece.encode()]
-    while len(symbols) > 1:
-        best = min(zip(symbols, symbols[1:]), key=lambda p: ranks.get(p, len(ranks)))
-        if best not in ranks:
-            break
-        out, i = [], 0
-        while i < len(symbols):
-            if i + 1 < len(symbols) and (symbols[i], symbols[i + 1]) == best:
-                out.append(symbols[i] + symbols[i + 1])
-                i += 2
-            else:
-                out.append(symbols[i])
-                i += 1
-        symbols = out
-    return symbols
+    """One word piece: the pair of the lowest rank is merged, the first of several, until none is
+    left. A heap of places keeps long pieces from taking the square of their length."""
+    symbols: list[str | None] = [f"{b:02X}" for b in piece.encode()]
+    n = len(symbols)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(ranks[p], i, *p) for i, p in enumerate(zip(symbols, symbols[1:])) if p in ranks]
+    heapq.heapify(heap)
+    while heap:
+        _, i, a, b = heapq.heappop(heap)
+        j = after[i] if symbols[i] == a else n
+        if j >= n or symbols[j] != b:  # one of the two has been merged since
+            continue
+        symbols[i], symbols[j] = a + b, None
+        after[i] = k = after[j]
+        if k < n:
+            before[k] = i
+            if (pair := (symbols[i], symbols[k])) in ranks:
+                heapq.heappush(heap, (ranks[pair], i, *pair))
+        if (h := before[i]) >= 0 and (pair := (symbols[h], symbols[i])) in ranks:
+            heapq.heappush(heap, (ranks[pair], h, *pair))
+    return [s for s in symbols if s is not None]
 
 
 def special_pieces(text: Column, special: list[str]) -> Column:
@@ -146,29 +89,44 @@ def special_pieces(text: Column, special: list[str]) -> Column:
         pre_tokens(gap), F.when(token.isNotNull(), F.array(token)).otherwise(F.array().cast("array<string>")))))
 
 
-def bpe_encoder(merges: list[tuple[str, str]], special: list[str]):
-    """A pandas UDF from word pieces to ids.
-
-    Text stays where it is: no piece is shuffled. Each worker keeps the ids of the pieces
-    it has met, so frequent pieces are merged once. The merges are bounded by the
-    vocabulary size and travel with the function.
-    """
+def piece_ids(counted: DataFrame, merges: list[tuple[str, str]], special: list[str]) -> DataFrame:
+    """(piece, n, ids) of distinct pieces (piece, n): each is merged once."""
     ids = bpe_vocab(merges, special)
     ranks = {pair: i for i, pair in reversed(list(enumerate(merges)))}
     reserved = set(special)
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        @lru_cache(maxsize=200_000)
-        def of(piece: str) -> tuple[int, ...]:
-            if piece in reserved:
-                return (ids[piece],)
-            return tuple(ids[s] for s in merge_symbols(piece, ranks))
+    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.assign(ids=[[ids[p]] if p in reserved else [ids[s] for s in merge_symbols(p, ranks)] for p in b["piece"]])
+    spread = counted.repartition(counted.sparkSession.sparkContext.defaultParallelism, "piece")
+    return spread.select("piece", "n").mapInPandas(encode, "piece string, n bigint, ids array<int>")
+
 
-        for batch in batches:
-            yield batch.map(lambda pieces: [i for p in pieces for i in of(p)])
+def bpe_encode(rows: DataFrame, keys: list[str], pieces: Column, merges: list[tuple[str, str]], special: list[str],
+               keep: list[str] = (), out: str = "ids", block: int = BROADCAST_ROWS) -> DataFrame:
+    """(keys, keep, out): the ids of each row's pieces, by a table piece -> ids built once in Spark.
 
-    return encode
+    `keys` name a row. Up to `block` distinct pieces the table is broadcast. Of a larger one the
+    `block` most frequent pieces are, and the places of the others, none of which is frequent, meet
+    the table in a shuffled join. A row without pieces has no ids.
+    """
+    spark = rows.sparkSession
+    path = scratch_path(spark, "bpe-ids")
+    placed = rows.select(*keys, *keep, F.posexplode_outer(pieces).alias("_at", "piece"))
+    counted = rows.select(F.explode(pieces).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    piece_ids(counted, merges, special).write.parquet(path)
+    table = spark.read.parquet(path)
+    names = [*keys, *keep, "_at"]
+    if table.limit(block + 1).count() <= block:
+        found = placed.join(F.broadcast(table.select("piece", "ids")), "piece", "left").select(*names, "ids")
+    else:
+        often = table.orderBy(F.desc("n"), "piece").limit(block).select("piece", "ids")
+        first = placed.join(F.broadcast(often), "piece", "left")
+        rare = first.where("ids IS NULL AND piece IS NOT NULL").drop("ids").join(table.select("piece", "ids"), "piece")
+        found = first.where("ids IS NOT NULL OR piece IS NULL").select(*names, "ids").unionByName(rare.select(*names, "ids"))
+    places = F.sort_array(F.collect_list(F.struct("_at", "ids")))
+    return found.groupBy(*keys).agg(*[F.first(c).alias(c) for c in keep], F.flatten(F.transform(
+        places, lambda p: F.coalesce(p["ids"], F.array().cast("array<int>")))).alias(out))
 
 
 def bpe_decode(ids: Column, merges: list[tuple[str, str]], special: list[str]) -> Column:

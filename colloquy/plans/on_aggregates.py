@@ -82,7 +82,7 @@ SPECIAL = [V.DIALOG_SEP, V.CHAT, V.END]
 
 @query("bpe_learn")
 def _(t):
-    merges = B.bpe_learn(t.conversations, "text", n_merges=40)
+    merges = B.bpe_learn(t.conversations, "text")
     rows = [(i, a, b) for i, (a, b) in enumerate(merges)]
     return t.spark.createDataFrame(rows, "rank int, a string, b string")
 
@@ -90,9 +90,9 @@ def _(t):
 @query("bpe_encode", f"""
     SELECT conv_id, turn, '{V.CHAT}' || text || '{V.END}' AS decoded, true AS same FROM conversations""")
 def _(t):
-    merges = B.bpe_learn(t.conversations, "text", n_merges=20)
+    merges = B.bpe_learn(t.conversations, "text")
     rows = t.conversations.select("conv_id", "turn", F.concat(F.lit(V.CHAT), "text", F.lit(V.END)).alias("x"))
-    ids = rows.withColumn("ids", B.bpe_encoder(merges, SPECIAL)(B.special_pieces(F.col("x"), SPECIAL)))
+    ids = B.bpe_encode(rows, ["conv_id", "turn"], B.special_pieces(F.col("x"), SPECIAL), merges, SPECIAL, keep=["x"])
     back = B.bpe_decode(F.col("ids"), merges, SPECIAL)
     return ids.select("conv_id", "turn", back.alias("decoded"), (back == F.col("x")).alias("same"))
 
