@@ -11,6 +11,8 @@ from ..operators.joins import fixed_table, spread_join
 from ..operators.scan import running
 from ..operators.splits import every_nth_by_digest
 from ..operators.templates import expand
+from ..session import scratch_path
+from ..sources import shards, sinks
 from .dialect import byte_sql, quote, squeeze_sql, u32_sql
 from .on_extract import conversation_ids, _CONV_IDS
 from .on_filters import CODE_ROWS_SQL, code_rows
@@ -124,12 +126,14 @@ def _(t):
     s AS (SELECT conv_id, turn, k, ids, {u32_sql('crop', "conv_id || '-' || turn || '-' || k")} % (len(ids) - 64) AS start FROM i, range(2) r(k))
     SELECT conv_id, turn, k, start, array_to_string(ids[start + 1:start + 65], ' ') AS crop FROM s""")
 def _(t):
-    from ..functions.hashing import u32
-    rows = conversation_ids(t).where(F.size("ids") > 65).select(
-        "conv_id", "turn", "ids", F.explode(F.array(F.lit(0).cast("bigint"), F.lit(1).cast("bigint"))).alias("k"))
-    start = u32("crop", F.concat_ws("-", "conv_id", "turn", "k")) % (F.size("ids") - 64)
-    return rows.withColumn("start", start).select("conv_id", "turn", "k", "start", F.array_join(
-        F.slice("ids", (F.col("start") + 1).cast("int"), F.lit(65)), " ").alias("crop"))
+    # The ids are written once; a crop then reads its own range of them.
+    path = scratch_path(t.spark, "crops")
+    sinks.write_token_shards(conversation_ids(t).select(
+        F.concat_ws("-", "conv_id", "turn").alias("key"), F.lit("all").alias("split"), "ids"), path)
+    crops = t.spark.read.format(shards.FORMAT).option("crop", 65).option("draws", 2).load(path)
+    ids = F.split("key", "-")
+    return crops.select(F.get(ids, 0).cast("bigint").alias("conv_id"), F.get(ids, 1).cast("bigint").alias("turn"),
+                        "k", "start", F.array_join("ids", " ").alias("crop"))
 
 
 @query("attach_labels", """

@@ -8,9 +8,10 @@ from ..functions import fixed_values as V
 from ..functions import predicates as P
 from ..functions.hashing import held_out
 from ..operators import traces
+from ..operators import vocabulary as B
 from ..operators.dialogues import dialogues
 from ..session import scratch_path
-from ..sources import files, mix, sinks
+from ..sources import files, mix, shards, sinks
 from .dialect import byte_sql, quote
 from .on_extract import RENDERED_SQL, conversation_ids
 from .on_filters import VERDICT_SQL, code_rows
@@ -143,11 +144,20 @@ def _(t):
 
 @query("write_token_shards", f"""
     SELECT CASE WHEN {byte_sql('conv_id::VARCHAR')} % 6 = 0 THEN 'val' ELSE 'train' END AS split,
-        count(*) AS docs, sum(length(text))::BIGINT AS tokens FROM conversations GROUP BY 1""")
+        count(*) AS docs, sum(length(text))::BIGINT AS chars, true AS counted FROM conversations GROUP BY 1""")
 def _(t):
+    # Ids of the learned vocabulary; what is read back is decoded, and counted as it was written.
     side = F.when(held_out(F.col("conv_id").cast("string"), V.ROUTE_HOLDOUT), "val").otherwise("train")
-    docs = conversation_ids(t).select(side.alias("split"), F.concat_ws("-", "conv_id", "turn").alias("key"), "ids")
-    return sinks.write_token_shards(docs, scratch_path(t.spark, "shards"), "key", "ids")
+    merges = B.bpe_learn(t.conversations, "text")
+    rows = t.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("key"), side.alias("split"), "text")
+    path = scratch_path(t.spark, "shards")
+    told = sinks.write_token_shards(B.bpe_encode(rows, ["key", "split"], B.special_pieces(F.col("text"), []), merges, []), path)
+    back = t.spark.read.format(shards.FORMAT).load(path)
+    found = back.groupBy("split").agg(
+        F.count(F.lit(1)).alias("docs"), F.sum(F.length(B.bpe_decode(F.col("ids"), merges, []))).alias("chars"),
+        F.sum(F.size("ids")).alias("n"))
+    return found.join(told, "split").select("split", "docs", "chars", (
+        (F.col("n") == F.col("tokens")) & (F.col("docs") == F.col("written"))).alias("counted"))
 
 
 @query("write_aligned_streams", f"""
@@ -161,11 +171,18 @@ def _(t):
     rows = conversation_ids(t).select("conv_id", "turn", ids.alias("ids"), mask.alias("mask"))
     rows = rows.withColumn("action", sinks.action_targets(F.col("ids"), action, F.lit(7)))
     path = scratch_path(t.spark, "aligned")
-    rows.write.parquet(path)
-    back = t.spark.read.parquet(path)
-    return back.select("conv_id", "turn", F.size("ids").alias("n_ids"),
-                       F.aggregate("mask", F.lit(0), lambda a, m: a + m).alias("supervised"),
-                       (F.array_position("action", 7) - 1).alias("action_at"))
+    key = F.concat_ws("-", "conv_id", "turn")
+    sinks.write_token_shards(rows.select(key.alias("key"), F.lit("all").alias("split"), "ids", "mask"), path)
+    # Actions are wider than a mask and go in a stream of their own, as ids off by one.
+    actions = F.transform("action", lambda a: a + 1)
+    sinks.write_token_shards(rows.select(key.alias("key"), F.lit("all").alias("split"), actions.alias("ids")), f"{path}-actions")
+    back = t.spark.read.format(shards.FORMAT).load(path).join(
+        t.spark.read.format(shards.FORMAT).load(f"{path}-actions").select("key", F.col("ids").alias("action")), "key")
+    ids = F.split("key", "-")
+    return back.select(
+        F.get(ids, 0).cast("bigint").alias("conv_id"), F.get(ids, 1).cast("bigint").alias("turn"), F.size("ids").alias("n_ids"),
+        F.aggregate("mask", F.lit(0), lambda a, m: a + m).alias("supervised"),
+        (F.array_position("action", 8) - 1).alias("action_at"))
 
 
 @query("corpus_metadata", f"""

@@ -9,13 +9,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import shards
 
-def write_token_shards(docs: DataFrame, path: str, key: str, ids: str, split: str = "split") -> DataFrame:
-    """Write (key, ids) by split and return the counts as read back."""
-    docs.select(split, key, ids).write.mode("overwrite").partitionBy(split).parquet(path)
-    written = docs.sparkSession.read.parquet(path)
-    return written.groupBy(split).agg(F.count(F.lit(1)).alias("docs"),
-                                      F.sum(F.size(ids)).cast("bigint").alias("tokens"))
+
+def write_token_shards(docs: DataFrame, path: str) -> DataFrame:
+    """Write (key, split, ids[, mask]) as token shards; (split, written, tokens, supervised) as the
+    tasks that were committed counted them, a few rows per task summed."""
+    spark = shards.register(docs.sparkSession)
+    docs.write.format(shards.FORMAT).mode("overwrite").save(path)
+    return spark.createDataFrame(shards.written_counts(path), "split string, written bigint, tokens bigint, supervised bigint")
 
 
 def aligned(prompt: Column, target: Column, end_id: int) -> tuple[Column, Column]:
