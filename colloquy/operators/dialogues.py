@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions.render import speaker
-from .scan import ranked, sliding
+from .joins import spread_join
+from .scan import running, sliding
+
+FRAGMENT_CHARS = 2048
 
 
 def dialogues(turns: DataFrame) -> DataFrame:
@@ -46,17 +49,54 @@ def two_speaker_turns(turns: DataFrame, limit: int) -> DataFrame:
     return turns.join(kept, "conv_id", "left_semi")
 
 
-def rendered_lines(turns: DataFrame) -> DataFrame:
-    """Each turn as its line of the training text; the last one carries the separator.
+def turns_of(dialogue: DataFrame, key: str, texts: str, speakers: str) -> DataFrame:
+    """Turn rows (conv_id, turn, role, text) of dialogues held as two arrays side by side.
+
+    Arrays of different lengths are taken as long as the longer one, with nulls.
+    """
+    pairs = F.arrays_zip(F.col(speakers).alias("role"), F.col(texts).alias("text"))
+    return dialogue.select(F.col(key).alias("conv_id"), F.posexplode(pairs).alias("turn", "_p")).select(
+        "conv_id", F.col("turn").cast("bigint").alias("turn"), "_p.role", "_p.text")
+
+
+def placed(turns: DataFrame, chars: int = FRAGMENT_CHARS) -> DataFrame:
+    """Turn rows with `at` (from 0), `part` and `n`, the turns of their conversation.
+
+    A part is a run of turns of about `chars` characters: it ends with the first turn that
+    reaches the limit, so it holds at most `chars` characters besides that turn. No task holds
+    a conversation; a long one is placed by blocks.
+    """
+    size = F.length(F.coalesce("text", F.lit(""))).cast("bigint") + 1
+    rows = running(turns, ["turn", "role", "text"], ["conv_id"],
+                   {"at": ("rank", F.lit(None).cast("bigint")), "_to": ("sum", size)})
+    totals = turns.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
+    return spread_join(rows, totals, ["conv_id"], F.col("at"), "inner").select(
+        *turns.columns, (F.col("at") - 1).alias("at"), F.floor((F.col("_to") - size) / chars).alias("part"), "n")
+
+
+def fragments(turns: DataFrame, chars: int = FRAGMENT_CHARS) -> DataFrame:
+    """(conv_id, part, n, turns): dialogues as ordered parts of bounded size.
+
+    `turns` are (at, turn, role, text) structs in order, `n` the turns of the whole dialogue.
+    Parts in order are the dialogue; `last_part` says which one ends it.
+    """
+    whole = F.struct("at", "turn", "role", "text")
+    return placed(turns, chars).groupBy("conv_id", "part").agg(
+        F.first("n").alias("n"), F.sort_array(F.collect_list(whole)).alias("turns"))
+
+
+def last_part() -> Column:
+    return F.element_at("turns", -1)["at"] == F.col("n") - 1
+
+
+def part_lines(head: str, tail: str) -> Column:
+    """A part's lines `A: ..` and `B: ..` by place in the dialogue, with what opens and ends it.
 
-    The lines of a conversation in order are what `render_dialogue` gives as one value,
-    but a conversation of any length needs no row of its own.
+    The lines of all parts in order are what rendering the dialogue as one value gives.
     """
-    placed = ranked(turns, ["turn"], ["conv_id"], "_at")
-    last = turns.groupBy("conv_id").agg(F.max("turn").alias("_last"))
-    line = F.concat(speaker(F.col("_at") - 1), F.lit(": "), "text", F.lit("\n"))
-    end = F.when(F.col("turn") == F.col("_last"), F.lit(f"{V.DIALOG_SEP}\n")).otherwise(F.lit(""))
-    return placed.join(last, "conv_id").withColumn("line", F.concat(line, end)).drop("_at", "_last")
+    lines = F.array_join(F.transform("turns", lambda u: F.concat(speaker(u["at"]), F.lit(": "), u["text"], F.lit("\n"))), "")
+    first = F.get("turns", 0)["at"] == 0
+    return F.concat(F.when(first, F.lit(head)).otherwise(""), lines, F.when(last_part(), F.lit(tail)).otherwise(""))
 
 
 def drop_long_turns(dialogue: DataFrame, limit: int) -> DataFrame:

@@ -20,14 +20,19 @@ def token_budget(docs: DataFrame, order: Sequence[str], n_tokens: str, budget: i
 
 
 def pack_blocks(docs: DataFrame, order: Sequence[str], ids: str, end_id: int, block: int,
-                group: Sequence[str] = ()) -> DataFrame:
+                group: Sequence[str] = (), ends: Column | None = None) -> DataFrame:
     """(group, block_no, ids) full blocks of the documents joined with an end id.
 
     Offsets are a running sum, so every token knows its block without any task holding
     the stream. A document is cut where it crosses a border and only its pieces move;
-    a block collects at most `block` tokens. The incomplete last block is dropped.
+    a block collects at most `block` tokens. The incomplete last block is dropped. Rows may be
+    parts of documents; `ends` then says which one ends its document.
     """
-    closed = docs.withColumn("_ids", F.concat(F.col(ids), F.array(F.lit(end_id))))
+    end = F.array(F.lit(end_id))
+    end = end if ends is None else F.when(ends, end).otherwise(F.array().cast("array<int>"))
+    closed = docs.withColumn("_ids", F.concat(F.col(ids), end))
+    if ends is not None:  # a part may be empty
+        closed = closed.where(F.size("_ids") > 0)
     placed = running(closed, order, group, {"_at": ("sum", F.size("_ids").cast("bigint"))}, inclusive=False)
     first = F.floor(F.col("_at") / block)
     last = F.floor((F.col("_at") + F.size("_ids") - 1) / block)

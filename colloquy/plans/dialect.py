@@ -10,6 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.hashing import u32
+from ..operators.dialogues import FRAGMENT_CHARS
 
 
 # ---- Spark ------------------------------------------------------------------
@@ -109,3 +110,18 @@ def clean_utterance_sql(x: str) -> str:
     for pattern, to in CLEAN_UTTERANCE_STEPS:
         x = sub_sql(x, pattern, to)
     return squeeze_sql(x)
+
+
+def parts_sql(turns: str) -> str:
+    """Turn rows with `pos` (from 0), `part` and `n`, as `operators.dialogues.placed` gives them."""
+    order = "PARTITION BY conv_id ORDER BY turn, role, text"
+    return f"""SELECT *, row_number() OVER ({order}) - 1 AS pos, count(*) OVER (PARTITION BY conv_id) AS n,
+        ((sum(length(coalesce(text, '')) + 1) OVER ({order} ROWS UNBOUNDED PRECEDING) - length(coalesce(text, '')) - 1) // {FRAGMENT_CHARS})::BIGINT AS part
+        FROM ({turns})"""
+
+
+def lines_sql(turns: str, head: str, tail: str) -> str:
+    """(conv_id, part, doc) of turn rows, as `operators.dialogues.part_lines` renders them."""
+    return f"""SELECT conv_id, part, CASE WHEN min(pos) = 0 THEN {head} ELSE '' END
+        || string_agg((CASE WHEN pos % 2 = 0 THEN 'A' ELSE 'B' END) || ': ' || text || chr(10), '' ORDER BY pos)
+        || CASE WHEN max(pos) = max(n) - 1 THEN {tail} ELSE '' END AS doc FROM ({parts_sql(turns)}) GROUP BY conv_id, part"""

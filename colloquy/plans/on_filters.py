@@ -12,7 +12,7 @@ from ..functions.once import keep_computed
 from ..operators import dialogues as D
 from ..operators.joins import fixed_table
 from ..session import shared_dir
-from .dialect import (LEFT, RIGHT, clean_utterance_sql, has_sql, injected, injected_sql, quote, squeeze_sql,
+from .dialect import (LEFT, RIGHT, clean_utterance_sql, has_sql, injected, injected_sql, parts_sql, quote, squeeze_sql,
                       u32_sql, word_sql)
 from .on_text import RECUT_SQL, recut
 from .registry import query
@@ -35,28 +35,31 @@ def _(t):
         F.length("text") <= V.MAX_UTTERANCE_CHARS).alias("short"))
 
 
-@query("filter_long_turns", f"""
-    SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS kept, count(*) AS n_turns
-    FROM (SELECT conv_id, turn, {clean_utterance_sql('text')} AS text FROM conversations WHERE role <> 'system')
-    WHERE length(text) BETWEEN 1 AND 320 GROUP BY conv_id HAVING count(*) >= 2""")
+def _kept_sql(turns: str) -> str:
+    return f"""SELECT conv_id, part, string_agg(text, chr(10) ORDER BY pos) AS kept, count(*) AS n_turns
+    FROM ({parts_sql(turns)}) WHERE n >= 2 GROUP BY conv_id, part"""
+
+
+def kept_parts(turns):
+    """Dialogues of which two turns are left, as parts of bounded size."""
+    return D.fragments(turns).where("n >= 2").select(
+        "conv_id", "part", F.array_join("turns.text", "\n").alias("kept"), F.size("turns").cast("bigint").alias("n_turns"))
+
+
+@query("filter_long_turns", _kept_sql(f"""
+    SELECT conv_id, turn, role, text FROM (SELECT conv_id, turn, role, {clean_utterance_sql('text')} AS text FROM conversations WHERE role <> 'system')
+    WHERE length(text) BETWEEN 1 AND 320"""))
 def _(t):
     # Turns go before they are collected, so only kept text is shuffled.
     turns = keep_computed(t.conversations.where("role <> 'system'"), {
         "text": T.clean_utterance(F.col("text"))},
         lambda r: F.length(r["text"]).between(1, V.MAX_UTTERANCE_CHARS))
-    return D.dialogues(turns).where(F.size("turns") >= 2).select(
-        "conv_id", F.array_join("turns.text", "\n").alias("kept"),
-        F.size("turns").cast("bigint").alias("n_turns"))
+    return kept_parts(turns)
 
 
-@query("filter_system_turns", f"""
-    SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS kept, count(*) AS n_turns FROM conversations
-    WHERE role <> 'system' AND length(text) BETWEEN 1 AND {LONG} GROUP BY conv_id HAVING count(*) >= 2""")
+@query("filter_system_turns", _kept_sql(f"SELECT * FROM conversations WHERE role <> 'system' AND length(text) BETWEEN 1 AND {LONG}"))
 def _(t):
-    turns = t.conversations.where((F.col("role") != "system") & F.length("text").between(1, LONG))
-    return D.dialogues(turns).where(F.size("turns") >= 2).select(
-        "conv_id", F.array_join("turns.text", "\n").alias("kept"),
-        F.size("turns").cast("bigint").alias("n_turns"))
+    return kept_parts(t.conversations.where((F.col("role") != "system") & F.length("text").between(1, LONG)))
 
 
 CRUDE = [("such a Naked truth ", ""), ("", " sexy"), ("cockpit ", ""), ("titan ", " unnude")]

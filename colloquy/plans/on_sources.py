@@ -9,10 +9,10 @@ from ..functions import predicates as P
 from ..functions.hashing import held_out
 from ..operators import traces
 from ..operators import vocabulary as B
-from ..operators.dialogues import dialogues
+from ..operators.dialogues import dialogues, fragments, turns_of
 from ..session import scratch_path
 from ..sources import files, mix, shards, sinks
-from .dialect import byte_sql, quote
+from .dialect import byte_sql, parts_sql, quote
 from .on_extract import RENDERED_SQL, conversation_ids
 from .on_filters import VERDICT_SQL, code_rows
 from .on_text import recut
@@ -25,12 +25,25 @@ def _(t):
     return t.conversations.select("conv_id", "turn", "text").orderBy("conv_id", "turn").limit(200)
 
 
-@query("turns_to_dialogues", """
-    SELECT conv_id, count(*) AS n_turns, string_agg(role, ',' ORDER BY turn) AS roles,
-        string_agg(text, chr(10) ORDER BY turn) AS dialogue FROM conversations GROUP BY conv_id""")
+@query("turns_to_dialogues", f"""
+    SELECT conv_id, part, count(*) AS n_turns, string_agg(role, ',' ORDER BY pos) AS roles,
+        string_agg(text, chr(10) ORDER BY pos) AS dialogue FROM ({parts_sql('SELECT * FROM conversations')}) GROUP BY conv_id, part""")
 def _(t):
-    return dialogues(t.conversations).select(
-        "conv_id", F.size("turns").cast("bigint").alias("n_turns"),
+    return fragments(t.conversations).select(
+        "conv_id", "part", F.size("turns").cast("bigint").alias("n_turns"),
+        F.array_join("turns.role", ",").alias("roles"), F.array_join("turns.text", "\n").alias("dialogue"))
+
+
+@query("array_dialogues", f"""
+    SELECT conv_id, part, count(*) AS n_turns, string_agg(role, ',' ORDER BY pos) AS roles,
+        string_agg(text, chr(10) ORDER BY pos) AS dialogue
+    FROM ({parts_sql('SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS turn, role, text FROM conversations')})
+    GROUP BY conv_id, part""")
+def _(t):
+    # A table that holds a dialogue as two array columns, as some sources do.
+    whole = dialogues(t.conversations).select("conv_id", F.col("turns.text").alias("dialogue"), F.col("turns.role").alias("speakers"))
+    return fragments(turns_of(whole, "conv_id", "dialogue", "speakers")).select(
+        "conv_id", "part", F.size("turns").cast("bigint").alias("n_turns"),
         F.array_join("turns.role", ",").alias("roles"), F.array_join("turns.text", "\n").alias("dialogue"))
 
 

@@ -12,24 +12,23 @@ from ..functions.hashing import held_out, pick
 from ..operators.splits import count_rows, every_nth_by_digest, prefix_split, shuffled_split
 from ..operators.templates import expand
 from .dialect import byte_sql, injected, injected_sql, md5_sql, quote, sub_sql, u32_sql
-from .on_text import DIALOGUES_SQL, OPTIONS, TAGGED_SQL, spoken
+from .on_text import CHAT_SQL, OPTIONS, tagged_chat
 from .registry import query
 
 _HELD_TEXT = f"({byte_sql('lower(trim(text))')} % 6 = 0)"
 
 
 @query("union_corpora", f"""
-    SELECT 'chat' AS corpus, CASE WHEN {byte_sql('conv_id::VARCHAR')} % 6 = 0 THEN 'val' ELSE 'train' END AS split,
-        '{V.CHAT}' || chr(10) || {TAGGED_SQL} || chr(10) || '{V.END}' || chr(10) AS doc FROM ({DIALOGUES_SQL})
-    UNION ALL SELECT 'documents', 'train', text FROM documents WHERE NOT {_HELD_TEXT}""")
+    SELECT 'chat' AS corpus, CASE WHEN {byte_sql('conv_id::VARCHAR')} % 6 = 0 THEN 'val' ELSE 'train' END AS split, part, doc
+    FROM ({CHAT_SQL})
+    UNION ALL SELECT 'documents', 'train', 0::BIGINT, text FROM documents WHERE NOT {_HELD_TEXT}""")
 def _(t):
     side = F.when(held_out(F.col("conv_id").cast("string"), V.ROUTE_HOLDOUT), "val").otherwise("train")
-    chat = spoken(t).select(F.lit("chat").alias("corpus"), side.alias("split"),
-                            R.render_tagged_chat(F.col("turns.text")).alias("doc"))
+    chat = tagged_chat(t).select(F.lit("chat").alias("corpus"), side.alias("split"), "part", "doc")
     # Documents are used for training only.
     key = F.lower(F.trim("text"))
     docs = t.documents.where(~held_out(key, V.ROUTE_HOLDOUT)).select(
-        F.lit("documents").alias("corpus"), F.lit("train").alias("split"), F.col("text").alias("doc"))
+        F.lit("documents").alias("corpus"), F.lit("train").alias("split"), F.lit(0).cast("bigint").alias("part"), F.col("text").alias("doc"))
     return chat.unionByName(docs)
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as V
 from ..functions import render as R
 from ..functions import text as T
-from ..operators.dialogues import dialogues, history_before
-from .dialect import clean_utterance_sql, has_sql, injected, injected_sql, squeeze_sql, strip_sql, sub_sql
+from ..operators.dialogues import fragments, history_before, part_lines
+from .dialect import clean_utterance_sql, has_sql, injected, injected_sql, lines_sql, squeeze_sql, strip_sql, sub_sql
 from .registry import query
 
 # ------------------------------------------------------------------ cleaning
@@ -188,29 +188,27 @@ def _(t):
 
 
 # ----------------------------------------------------------------- rendering
-DIALOGUES_SQL = """
-    SELECT conv_id, list(text ORDER BY turn) AS turns FROM conversations
-    WHERE role <> 'system' GROUP BY conv_id"""
-TAGGED_SQL = """array_to_string(list_transform(turns, lambda u, i:
-        (CASE WHEN i % 2 = 1 THEN 'A' ELSE 'B' END) || ': ' || u), chr(10))"""
+SPOKEN_SQL = "SELECT * FROM conversations WHERE role <> 'system'"
+CHAT_SQL = lines_sql(SPOKEN_SQL, f"'{V.CHAT}' || chr(10)", f"'{V.END}' || chr(10)")
 
 
 def spoken(t):
-    return dialogues(t.conversations.where("role <> 'system'"))
+    """Dialogues as parts of bounded size."""
+    return fragments(t.conversations.where("role <> 'system'"))
 
 
-@query("render_dialogue", f"""
-    SELECT conv_id, {TAGGED_SQL} || chr(10) || '{V.DIALOG_SEP}' || chr(10) AS doc
-    FROM ({DIALOGUES_SQL})""")
+def tagged_chat(t):
+    return spoken(t).select("conv_id", "part", part_lines(f"{V.CHAT}\n", f"{V.END}\n").alias("doc"))
+
+
+@query("render_dialogue", lines_sql(SPOKEN_SQL, "''", f"'{V.DIALOG_SEP}' || chr(10)"))
 def _(t):
-    return spoken(t).select("conv_id", R.render_dialogue(F.col("turns.text")).alias("doc"))
+    return spoken(t).select("conv_id", "part", part_lines("", f"{V.DIALOG_SEP}\n").alias("doc"))
 
 
-@query("render_tagged_chat", f"""
-    SELECT conv_id, '{V.CHAT}' || chr(10) || {TAGGED_SQL} || chr(10) || '{V.END}' || chr(10) AS doc
-    FROM ({DIALOGUES_SQL})""")
+@query("render_tagged_chat", CHAT_SQL)
 def _(t):
-    return spoken(t).select("conv_id", R.render_tagged_chat(F.col("turns.text")).alias("doc"))
+    return tagged_chat(t)
 
 
 def event_fields(events):

@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import fixed_values as V
 from colloquy.functions import render as R
-from colloquy.operators import ranking, synth, traces
 from colloquy.operators import dialogues as D
+from colloquy.operators import ranking, scan, synth, traces
+from colloquy.operators.packing import pack_blocks
 from colloquy.operators.splits import prefix_split, shuffled_split
 from colloquy.operators.templates import expand
 from colloquy.plans.on_synth import GAME
@@ -35,13 +36,43 @@ def test_dialogue_filters(spark):
     assert {r["conv_id"] for r in D.two_speaker_turns(rows, 320).collect()} == {5}
 
 
-def test_lines_are_the_rendered_dialogue(spark):
-    turns = [(c, i * 2, "user" if i % 2 == 0 else "bot", f"turn {i}") for c in (1, 2) for i in range(c + 3)]
-    rows = spark.createDataFrame(turns, "conv_id int, turn int, role string, text string")
-    whole = {r["conv_id"]: r["d"] for r in D.dialogues(rows).select(
-        "conv_id", R.render_dialogue(F.col("turns.text")).alias("d")).collect()}
-    lines = D.rendered_lines(rows).orderBy("conv_id", "turn").collect()
-    assert {c: "".join(r["line"] for r in lines if r["conv_id"] == c) for c in (1, 2)} == whole
+@pytest.mark.parametrize("chars", [1, 25, 2048])
+def test_parts_in_order_are_the_rendered_dialogue(spark, monkeypatch, chars):
+    monkeypatch.setattr(scan, "HOT_ROWS", 20 if chars == 25 else scan.HOT_ROWS)
+    turns = [(c, i * 2, "user" if i % 2 == 0 else "bot", f"turn {i}") for c, n in ((1, 4), (2, 5), (3, 70), (4, 1)) for i in range(n)]
+    rows = spark.createDataFrame(turns, "conv_id int, turn int, role string, text string").repartition(3)
+    whole = {r["conv_id"]: (r["d"], r["c"]) for r in D.dialogues(rows).select(
+        "conv_id", R.render_dialogue(F.col("turns.text")).alias("d"), R.render_tagged_chat(F.col("turns.text")).alias("c")).collect()}
+    parts = D.fragments(rows, chars).select("conv_id", "part", "n", "turns", D.part_lines("", f"{V.DIALOG_SEP}\n").alias("d"),
+                                            D.part_lines(f"{V.CHAT}\n", f"{V.END}\n").alias("c")).orderBy("conv_id", "part").collect()
+    for c, (d, chat) in whole.items():
+        mine = [r for r in parts if r["conv_id"] == c]
+        assert ("".join(r["d"] for r in mine), "".join(r["c"] for r in mine)) == (d, chat)
+        assert sum(len(r["turns"]) for r in mine) == mine[0]["n"]
+    assert all(sum(len(u["text"]) + 1 for u in r["turns"][:-1]) < chars for r in parts)
+
+
+def test_dialogues_held_as_two_arrays(spark):
+    df = spark.createDataFrame([(1, ["a", "b", "c"], ["x", "y", "x"]), (2, ["a"], ["x", "y"]), (3, [], []), (4, None, ["x"])],
+                               "id int, dialogue array<string>, speakers array<string>")
+    got = [tuple(r) for r in D.turns_of(df, "id", "dialogue", "speakers").orderBy("conv_id", "turn").collect()]
+    assert got == [(1, 0, "x", "a"), (1, 1, "y", "b"), (1, 2, "x", "c"), (2, 0, "x", "a"), (2, 1, "y", None)]
+
+
+def test_a_conversation_of_a_million_turns(spark):
+    """No part is larger than its limit; packing takes the parts as they are."""
+    n = 1_000_000
+    rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("bot").alias("role"),
+                                 F.concat(F.lit("t"), F.col("id").cast("string")).alias("text"))
+    parts = D.fragments(rows).select("conv_id", "part", "n", "turns", D.part_lines("", "#\n").alias("doc")).cache()
+    size = parts.agg(F.max(F.length("doc")), F.sum(F.size("turns")), F.sum(F.length("doc")), F.count_if(D.last_part())).first()
+    chars = sum(len(f"A: t{i}\n") for i in range(n)) + 2
+    assert size[0] <= 2 * D.FRAGMENT_CHARS and tuple(size)[1:] == (n, chars, 1)
+    ids = parts.select("part", "n", "turns", F.transform(F.split("doc", ""), lambda c: F.ascii(c)).alias("ids"))
+    blocks = pack_blocks(ids, ["part"], "ids", 300, 4096, ends=D.last_part())
+    got = blocks.agg(F.count(F.lit(1)), F.min(F.size("ids")), F.max("block_no")).first()
+    assert tuple(got) == ((chars + 1) // 4096, 4096, (chars + 1) // 4096 - 1)
+    parts.unpersist()
 
 
 def test_keyed_output(spark):
