@@ -13,10 +13,14 @@ follows the number of rows.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from bisect import bisect_left, insort
+from collections import deque
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 # A group is cut when it has more rows than HOT_ROWS and more than 1/HOT_SHARE of all rows,
 # into blocks of about as many. So there are fewer than HOT_SHARE such groups, and not many
@@ -163,26 +167,74 @@ def ranked(df: DataFrame, order: Sequence[str], group: Sequence[str] = (), out:
     return running(df, order, group, {out: ("rank", F.lit(None).cast("bigint"))}, hot_rows=hot_rows)
 
 
+def _runs(df: DataFrame, order: Sequence[str], group: Sequence[str], n: int, hot_rows: int | None) -> DataFrame | None:
+    """Rows with the run they are in, `_run`, and the one they belong to, `_own`; None if no group is cut.
+
+    A cut group is split into runs of rows; each run also gets the last n rows before it, which
+    only serve as context.
+    """
+    if hot_groups(df, group, hot_rows) is None:
+        return None
+    run = max(4 * n, 8 if hot_rows is not None else 50_000)
+    rows = ranked(df, order, group, "_pos", hot_rows)
+    at = F.floor((F.col("_pos") - 1) / run).cast("bigint")
+    late = (F.col("_pos") - 1) % run >= run - n
+    return rows.withColumn("_own", at).withColumn("_run", F.explode(F.when(late, F.array(at, at + 1)).otherwise(F.array(at))))
+
+
 def sliding(df: DataFrame, order: Sequence[str], group: Sequence[str], n: int,
             values: dict[str, Callable[[Callable], Column]],
             hot_rows: int | None = None) -> DataFrame:
     """Window values that look back at most n rows.
 
-    Each value is a function of `frame(start, end)`. A cut group is split into runs of
-    rows; each run also gets the last n rows before it, which only serve as context.
+    Each value is a function of `frame(start, end)`. Groups are cut into runs (`_runs`).
     """
-    hot = hot_groups(df, group, hot_rows)
-    if hot is None:
+    rows = _runs(df, order, group, n, hot_rows)
+    if rows is None:
         spec = Window.partitionBy(*group).orderBy(*_sorted(order))
         return df.withColumns({o: make(lambda a, b: spec.rowsBetween(a, b))
                                for o, make in values.items()})
-    run = max(4 * n, 8 if hot_rows is not None else 50_000)
-    rows = ranked(df, order, group, "_pos", hot_rows)
-    at = F.floor((F.col("_pos") - 1) / run).cast("bigint")
-    late = (F.col("_pos") - 1) % run >= run - n
-    rows = rows.withColumn("_own", at).withColumn(
-        "_run", F.explode(F.when(late, F.array(at, at + 1)).otherwise(F.array(at))))
     spec = Window.partitionBy(*group, "_run").orderBy("_pos")
     rows = rows.withColumns({o: make(lambda a, b: spec.rowsBetween(a, b))
                              for o, make in values.items()})
     return rows.where("_run = _own").select(*df.columns, *values)
+
+
+def moving_quantile(df: DataFrame, order: Sequence[str], group: Sequence[str], value: str, n: int, share: float,
+                    out: str, hot_rows: int | None = None) -> DataFrame:
+    """The order statistic floor(share * size) of the last n rows' values, the row's own included.
+
+    The values of the last n rows are kept in order from row to row: one goes in, one goes out.
+    Nulls count as rows without a value; a run of nulls only gives null. NaN is the greatest.
+    """
+    cut = _runs(df, order, group, n - 1, hot_rows)
+    rows = df.withColumns({"_run": F.lit(0).cast("bigint"), "_own": F.lit(0).cast("bigint")}) if cut is None else cut.drop("_pos")
+    keyed = rows.withColumns({"_g": F.xxhash64(*group, "_run"), "_v": F.col(value).cast("double")})
+    ready = keyed.repartition(*group, "_run").sortWithinPartitions(*group, "_run", *order)
+    kept = [c for c in ready.columns if c not in ("_g", "_v")]
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, recent, ranks, nans = None, deque(), [], 0
+        for batch in batches:
+            made = []
+            for g, v in zip(batch.column("_g").to_pylist(), batch.column("_v").to_pylist()):
+                if g != last:
+                    last, recent, ranks, nans = g, deque(), [], 0
+                if len(recent) == n and (old := recent.popleft()) is not None:
+                    if old != old:
+                        nans -= 1
+                    else:
+                        del ranks[bisect_left(ranks, old)]
+                recent.append(v)
+                if v is not None:
+                    if v != v:
+                        nans += 1
+                    else:
+                        insort(ranks, v)
+                size = len(ranks) + nans
+                place = int(size * share)
+                made.append(None if size == 0 else ranks[place] if place < len(ranks) else float("nan"))
+            arrays = [batch.column(c) for c in kept] + [pa.array(made, pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*kept, out])
+    schema = StructType([*[ready.schema[c] for c in kept], StructField(out, DoubleType())])
+    return ready.mapInArrow(move, schema).where("_run = _own").select(*df.columns, out)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
@@ -130,6 +133,33 @@ def _(t):
         F.sum(F.when(~bad, F.col("p.k"))).alias("k"))
 
 
+@query("gather_sources", """
+    SELECT source, n_rows, stage FROM (
+        SELECT 'conversations' AS source, (SELECT count(*) FROM conversations) AS n_rows, NULL AS stage
+        UNION ALL SELECT 'documents', (SELECT count(*) FROM documents), NULL
+        UNION ALL SELECT 'missing', 0, 'open' UNION ALL SELECT 'damaged', 0, 'read'
+        UNION ALL SELECT 'half damaged', 0, 'read')""")
+def _(t):
+    # Two good sources, a folder that is not there, and files that are not what they are named.
+    bad = scratch_path(t.spark, "bad")
+    schema = "id string, text string"
+    t.conversations.limit(5).select("text").write.text(bad)
+    half = scratch_path(t.spark, "half")
+    t.conversations.select(F.col("conv_id").cast("string").alias("id"), "text").write.parquet(half)
+    t.conversations.limit(5).select("text").write.mode("append").text(half)
+    sources = {
+        "conversations": lambda: t.conversations.select(F.concat_ws("-", "conv_id", "turn").alias("id"), "text"),
+        "documents": lambda: t.documents.select(F.col("doc_id").cast("string").alias("id"), "text"),
+        "missing": lambda: t.spark.read.parquet(f"{bad}-none"),
+        "damaged": lambda: t.spark.read.schema(schema).parquet(bad),
+        "half damaged": lambda: t.spark.read.schema(schema).parquet(half)}
+    rows, errors = mix.gather(t.spark, sources)
+    counts = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n_rows"))
+    names = t.spark.createDataFrame([(n,) for n in sources], "source string")
+    return names.join(counts, "source", "left").join(errors, "source", "left").select(
+        "source", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), "stage")
+
+
 @query("assert_not_empty", """
     WITH names AS (SELECT DISTINCT source FROM documents),
     c AS (SELECT source, count(*) AS n FROM documents WHERE lang = 'es' AND length(text) < 600 GROUP BY source)
@@ -210,21 +240,30 @@ def _(t):
     return t.spark.read.schema(meta.schema).json(path)
 
 
+def _plain(limit: int):
+    return lambda t: t.conversations.where(F.length("text") <= limit).select("conv_id", "turn", "text")
+
+
+def _trimmed(limit: int):
+    return lambda t: t.conversations.where(F.length("text") <= limit).select("conv_id", "turn", F.trim("text").alias("text"))
+
+
 @query("config_keyed_output", """
-    SELECT step, reused, n_docs FROM (VALUES ('first', false), ('again', true), ('other limit', false)) v(step, reused),
+    SELECT step, reused, n_docs FROM (VALUES ('first', false), ('again', true), ('other limit', false),
+            ('other renderer', false), ('other vocabulary', false), ('first once more', true)) v(step, reused),
         LATERAL (SELECT count(*) AS n_docs FROM conversations
             WHERE length(text) <= CASE WHEN step = 'other limit' THEN 200 ELSE 320 END)""")
 def _(t):
+    # The configuration is the same but for its name; plan, code and vocabulary tell outputs apart.
     root = scratch_path(t.spark, "keyed")
-    parts = None
-    for step, limit in (("first", 320), ("again", 320), ("other limit", 200)):
-        config = {"limit": limit, "table": "conversations", "pattern": V.SENTENCE}
-        path, reused = sinks.keyed_output(
-            t.spark, root, config, lambda n=limit: t.conversations.where(F.length("text") <= n))
-        row = t.spark.read.parquet(f"{path}/data").agg(F.count(F.lit(1)).alias("n_docs")).select(
-            F.lit(step).alias("step"), F.lit(reused).alias("reused"), "n_docs")
-        parts = row if parts is None else parts.unionByName(row)
-    return parts
+    steps = [("first", _plain(320), ()), ("again", _plain(320), ()), ("other limit", _plain(200), ()),
+             ("other renderer", _trimmed(320), ()), ("other vocabulary", _plain(320), [("61", "62")]), ("first once more", _plain(320), ())]
+    rows = []
+    for step, make, vocabulary in steps:
+        path, reused = sinks.keyed_output(t.spark, root, {"table": "conversations"}, lambda m=make: m(t), vocabulary=vocabulary)
+        rows.append(t.spark.read.parquet(f"{path}/data").agg(F.count(F.lit(1)).alias("n_docs")).select(
+            F.lit(step).alias("step"), F.lit(reused).alias("reused"), "n_docs"))
+    return reduce(DataFrame.unionByName, rows)
 
 
 _BUDGET = 20_000

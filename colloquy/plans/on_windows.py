@@ -11,7 +11,7 @@ from ..functions.hashing import md5_order, u32
 from ..functions.text import normalize_ws
 from ..operators import packing as K
 from ..operators import ranking
-from ..operators.scan import Digest, ranked, running, sliding
+from ..operators.scan import Digest, moving_quantile, ranked, running, sliding
 from ..operators.splits import cap_per_group, every_nth_by_digest, interleave_order
 from ..sources.mix import validation_cap
 from .dialect import md5_sql, squeeze_sql, u32_sql
@@ -232,10 +232,7 @@ def _(t):
     SELECT event_id, user_id, list_sort(l)[floor(len(l) * 0.99)::BIGINT + 1] AS p99 FROM h""")
 def _(t):
     rows = t.events.select("event_id", "user_id", "ts", "value")
-    recent = sliding(rows, ["ts", "event_id"], ["user_id"], 199,
-                     {"recent": lambda frame: F.sort_array(F.collect_list("value").over(frame(-199, 0)))})
-    return recent.select("event_id", "user_id", F.get(
-        "recent", F.floor(F.size("recent") * 0.99).cast("int")).alias("p99"))
+    return moving_quantile(rows, ["ts", "event_id"], ["user_id"], "value", 200, 0.99, "p99").select("event_id", "user_id", "p99")
 
 
 @query("alternation_check", """

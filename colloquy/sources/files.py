@@ -34,6 +34,12 @@ def extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
 
 
+def decoded(content: Column) -> Column:
+    """The text of UTF-8 bytes, without those that are not."""
+    raw = content.cast("string")
+    return F.when(F.is_valid_utf8(raw), raw).otherwise(F.replace(F.make_valid_utf8(raw), F.lit("\ufffd"), F.lit("")))
+
+
 def quoted(text: str) -> str:
     return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
@@ -41,10 +47,10 @@ def quoted(text: str) -> str:
 def scan_source_files(spark: SparkSession, root: str, subdirs: list[str] | None = None,
                       skip_dirs: list[str] = V.SKIP_DIRS, exts: list[str] | None = None,
                       max_bytes: int = V.MAX_FILE_BYTES) -> DataFrame:
-    """(path, ext, n_bytes, text) of source files under `root`, paths relative to it.
+    """(path, ext, n_bytes, text, valid) of source files under `root`, paths relative to it.
 
     Names and sizes are tested before any content is read: `length` is pushed to the
-    file listing.
+    file listing. Bytes that are not UTF-8 are left out of the text, and `valid` is false.
     """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
              .where(F.col("length") <= max_bytes))
@@ -59,7 +65,7 @@ def scan_source_files(spark: SparkSession, root: str, subdirs: list[str] | None
         keep = keep & reduce(lambda a, b: a | b, starts)
     return files.where(keep).select(
         inner.alias("path"), extension(inner).alias("ext"), F.col("length").alias("n_bytes"),
-        F.decode("content", "UTF-8").alias("text"))
+        decoded(F.col("content")).alias("text"), F.is_valid_utf8(F.col("content").cast("string")).alias("valid"))
 
 
 def read_nul_blob(spark: SparkSession, path: str) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..operators.joins import fixed_table
+from ..session import scratch_path
 
 SCHEMA = "name string, renderer string, licence string, cap bigint, scan bigint, weight bigint"
 
@@ -32,3 +36,30 @@ def assert_not_empty(rows: DataFrame, names: DataFrame) -> None:
     missing = [r["source"] for r in empty_sources(rows, names).where("empty").take(20)]
     if missing:
         raise RuntimeError(f"no rows from {', '.join(missing)}")
+
+
+def gather(spark: SparkSession, sources: dict[str, Callable[[], DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """(rows, errors): the sources' rows with their `source`, and a row for each that failed.
+
+    Each source is opened and written on its own, so one that is missing, has changed its columns
+    or holds a damaged file costs its own rows only. (source, stage, error): `stage` is `open`,
+    `read`, or `schema` for columns other than those of the first source that could be read. All
+    sources failing is an error.
+    """
+    parts: list[DataFrame] = []
+    errors: list[tuple[str, str, str]] = []
+    for name, open_source in sources.items():
+        stage, path = "open", scratch_path(spark, "source")
+        try:
+            found = open_source()
+            stage = "schema"
+            if parts and found.columns != (columns := [c for c in parts[0].columns if c != "source"]):
+                raise ValueError(f"columns {found.columns}, not {columns}")
+            stage = "read"
+            found.write.parquet(path)
+            parts.append(spark.read.schema(found.schema).parquet(path).withColumn("source", F.lit(name)))
+        except Exception as e:  # whatever a source fails with is reported, not raised
+            errors.append((name, stage, f"{type(e).__name__}: {str(e).splitlines()[0][:200] if str(e) else ''}"))
+    if not parts:
+        raise RuntimeError(f"no source could be read: {errors}")
+    return reduce(DataFrame.unionByName, parts), spark.createDataFrame(errors, "source string, stage string, error string")

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shards
+from .fingerprint import fingerprint
 
 
 def write_token_shards(docs: DataFrame, path: str) -> DataFrame:
@@ -37,29 +37,27 @@ def action_targets(ids: Column, marker: int, action: Column) -> Column:
         ).otherwise(F.array_repeat(blank, F.size(ids)))
 
 
-def config_key(config: dict) -> str:
-    """Digest of everything that decides an output."""
-    return hashlib.md5(json.dumps(config, sort_keys=True).encode()).hexdigest()[:12]
-
-
 def _exists(spark: SparkSession, path: str) -> bool:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
-def keyed_output(spark: SparkSession, root: str, config: dict, build: Callable[[], DataFrame],
-                 cached_only: bool = False) -> tuple[str, bool]:
-    """(path, reused): the output of this configuration, built only if it is not complete.
+def keyed_output(spark: SparkSession, root: str, config: dict, build: Callable[[], DataFrame], cached_only: bool = False,
+                 code: Iterable[Callable] = (), vocabulary: Iterable[tuple[str, str]] = ()) -> tuple[str, bool]:
+    """(path, reused): the output of this configuration, plan, code and vocabulary, built only if
+    it is not complete.
 
-    The data is written first and the configuration last, so a job that died halfway is
-    never taken as complete. Another configuration has another path.
+    `build` makes the plan; it is asked for it each time, since the plan names the output. `code`
+    are Python functions that run inside it. The data is written first and the configuration
+    last, so a job that died halfway is never taken as complete.
     """
-    path = f"{root.rstrip('/')}/{config_key(config)}"
+    plan = build()
+    path = f"{root.rstrip('/')}/{fingerprint(config, plan, code, vocabulary)}"
     if _exists(spark, f"{path}/config/_SUCCESS"):
         return path, True
     if cached_only:
         raise FileNotFoundError(f"no complete output at {path}")
-    build().write.mode("overwrite").parquet(f"{path}/data")
+    plan.write.mode("overwrite").parquet(f"{path}/data")
     meta = spark.createDataFrame([(json.dumps(config, sort_keys=True),)], "config string")
     meta.write.mode("overwrite").json(f"{path}/config")
     return path, False

@@ -1,5 +1,7 @@
 """Splits, sinks and synthesized messages."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,7 +14,7 @@ from colloquy.operators.splits import prefix_split, shuffled_split
 from colloquy.operators.templates import expand
 from colloquy.plans.on_synth import GAME
 from colloquy.session import scratch_path
-from colloquy.sources import files, mix, sinks
+from colloquy.sources import files, fingerprint, mix, sinks
 
 
 def test_splits_cover_and_do_not_meet(spark):
@@ -76,17 +78,71 @@ def test_a_conversation_of_a_million_turns(spark):
 
 
 def test_keyed_output(spark):
-    root, built = scratch_path(spark, "k"), []
+    root, suffix = scratch_path(spark, "k"), "!"
+
+    def build(n=3):
+        return spark.range(n).select(F.transform(F.array("id"), lambda x: x + 1).alias("v"))
 
-    def build():
-        built.append(1)
-        return spark.range(3)
+    def render(x):
+        return x + suffix + V.CHAT
 
-    path, reused = sinks.keyed_output(spark, root, {"a": 1}, build)
-    assert not reused and sinks.keyed_output(spark, root, {"a": 1}, build) == (path, True)
-    assert len(built) == 1 and spark.read.parquet(f"{path}/data").count() == 3
+    def also(x):
+        return render(x) + R.DIGITS if hasattr(R, "DIGITS") else render(x)
+    path, reused = sinks.keyed_output(spark, root, {"a": 1}, build, code=[also])
+    assert not reused and sinks.keyed_output(spark, root, {"a": 1}, build, code=[also]) == (path, True)
+    assert spark.read.parquet(f"{path}/data").count() == 3
     with pytest.raises(FileNotFoundError):
         sinks.keyed_output(spark, root, {"a": 2}, build, cached_only=True)
+    others = [sinks.keyed_output(spark, root, {"a": 1}, lambda: build(4), code=[also])]
+    others.append(sinks.keyed_output(spark, root, {"a": 1}, lambda: build().select(F.transform("v", lambda x: x + 2).alias("v")), code=[also]))
+    others.append(sinks.keyed_output(spark, root, {"a": 1}, build, code=[also], vocabulary=[("61", "62")]))
+    suffix = "?"  # a value the renderer closes over, two functions down
+    others.append(sinks.keyed_output(spark, root, {"a": 1}, build, code=[also]))
+    suffix = "!"
+    assert len({path, *[p for p, _ in others]}) == 5 and not any(r for _, r in others)
+    assert sinks.keyed_output(spark, root, {"a": 1}, build, code=[also]) == (path, True)
+
+
+def test_fingerprints_see_code_and_named_values(monkeypatch):
+    def make(body):
+        space = {"__name__": "made", "LIMIT": 5, "PATTERN": re.compile("a+")}
+        exec(body, space)
+        return space["render"], space
+    first, space = make("def helper(x):\n    return x + LIMIT\ndef render(x):\n    return helper(x) if PATTERN else [helper(y) for y in x]")
+    before = fingerprint.function_print(first)
+    assert fingerprint.function_print(first) == before
+    for name, value in (("LIMIT", 6), ("PATTERN", re.compile("a+", re.I)), ("helper", lambda x: x)):
+        old, space[name] = space[name], value
+        assert fingerprint.function_print(first) != before, name
+        space[name] = old
+    other, _ = make("def helper(x):\n    return x - LIMIT\ndef render(x):\n    return helper(x) if PATTERN else [helper(y) for y in x]")
+    assert fingerprint.function_print(other) != before
+
+
+def test_one_bad_source_does_not_stop_the_rest(spark, tmp_path):
+    spark.range(4).write.parquet(f"{tmp_path}/good")
+    (tmp_path / "good2").mkdir()
+    (tmp_path / "good2" / "x.parquet").write_bytes(b"no parquet")
+    sources = {"missing": lambda: spark.read.parquet(f"{tmp_path}/none"), "good": lambda: spark.read.parquet(f"{tmp_path}/good"),
+               "damaged": lambda: spark.read.schema("id bigint").parquet(f"{tmp_path}/good2"),
+               "other columns": lambda: spark.range(2).withColumnRenamed("id", "x"),
+               "fails late": lambda: spark.range(3).select(F.raise_error(F.lit("late")).cast("bigint").alias("id")),
+               "own fault": lambda: 1 / 0}
+    rows, errors = mix.gather(spark, sources)
+    assert sorted(tuple(r) for r in rows.collect()) == [(i, "good") for i in range(4)]
+    got = {r["source"]: (r["stage"], r["error"]) for r in errors.collect()}
+    assert {k: s for k, (s, _) in got.items()} == {"missing": "open", "damaged": "read", "other columns": "schema", "fails late": "read", "own fault": "open"}
+    assert "ZeroDivisionError" in got["own fault"][1]
+    with pytest.raises(RuntimeError, match="no source"):
+        mix.gather(spark, {"own fault": sources["own fault"]})
+
+
+def test_files_with_invalid_bytes(spark, tmp_path):
+    for name, body in (("a.py", b"ok \xc3\xa9"), ("b.py", b"x\xff\xfe y\xc3(z"), ("d.py", "keeps \ufffd".encode())):
+        (tmp_path / name).write_bytes(body)
+    got = {r["path"]: (r["text"], r["valid"]) for r in files.scan_source_files(spark, str(tmp_path)).collect()}
+    want = {n: (tmp_path / n).read_bytes().decode(errors="ignore") for n in ("a.py", "b.py", "d.py")}
+    assert got == {n: (t, n != "b.py") for n, t in want.items()}
 
 
 def test_action_targets(spark):

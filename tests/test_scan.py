@@ -152,3 +152,17 @@ def test_first_of_copies_is_idempotent(spark):
     again = first_of_copies(once, F.md5("x"), "id")
     assert sorted(r["id"] for r in once.collect()) == [0, 1, 3, 6]
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, once.collect()))
+
+
+@pytest.mark.parametrize("hot_rows", [None, 0])
+def test_moving_quantile(spark, hot_rows):
+    rng = random.Random(3)
+    data = [(g, i, rng.choice([None, float("nan"), *[float(rng.randint(0, 9))] * 8])) for g, n in (("a", 300), ("b", 1), (None, 40), ("c", 7)) for i in range(n)]
+    df = spark.createDataFrame(data, "g string, i int, v double").repartition(5).withColumn("_v2", F.lit("x"))
+    got = {(r["g"], r["i"]): r["q"] for r in scan.moving_quantile(df, ["i"], ["g"], "v", 12, 0.9, "q", hot_rows).collect()}
+    assert len(got) == len(data)
+    for g, i, _ in data:
+        last = [v for k, j, v in data if k == g and i - 12 < j <= i and v is not None]
+        ordered = sorted([v for v in last if v == v]) + [v for v in last if v != v]
+        want = ordered[int(len(ordered) * 0.9)] if ordered else None
+        assert got[g, i] == want or want != want and got[g, i] != got[g, i], (g, i)
