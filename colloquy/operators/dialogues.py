@@ -74,6 +74,13 @@ def placed(turns: DataFrame, chars: int = FRAGMENT_CHARS) -> DataFrame:
         *turns.columns, (F.col("at") - 1).alias("at"), F.floor((F.col("_to") - size) / chars).alias("part"), "n")
 
 
+def rendered_lines(turns: DataFrame) -> DataFrame:
+    """Each turn as its line of the training text; the last one carries the separator."""
+    end = F.when(F.col("at") == F.col("n") - 1, F.lit(f"{V.DIALOG_SEP}\n")).otherwise(F.lit(""))
+    line = F.concat(speaker(F.col("at")), F.lit(": "), "text", F.lit("\n"), end)
+    return placed(turns).withColumn("line", line).drop("at", "part", "n")
+
+
 def fragments(turns: DataFrame, chars: int = FRAGMENT_CHARS) -> DataFrame:
     """(conv_id, part, n, turns): dialogues as ordered parts of bounded size.
 

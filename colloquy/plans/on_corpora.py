@@ -12,8 +12,11 @@ from ..operators import dialogues as D
 from ..operators import traces
 from ..operators.scan import ranked
 from ..operators.splits import cap_per_group, interleave_order
-from ..session import shared_dir
+from ..operators.vocabulary import bpe_learn
+from ..session import scratch_path, shared_dir
+from ..sources.corpus import prepare_traces, trace_rows
 from ..sources.mix import validation_cap
+from ..sources.shards import FORMAT
 from .dialect import S, byte_sql, clean_utterance_sql, squeeze_sql, strip_sql, sub_sql
 from .on_extract import RENDERED_SQL, trailing_sql
 from .on_text import recut
@@ -69,11 +72,15 @@ def trace_sql(cap: int | None = None) -> str:
     FROM f JOIN w USING (kind){capped}"""
 
 
+def cleaned_traces(t):
+    return traces.clean_traces(traces.render_all(traces.raw_sources(recut(t.documents))))
+
+
 def trace_corpus(t, cap: int | None = None):
     """All kinds rendered, cleaned, split by identity and mixed by weight; with a cap, at most
     so many traces of each kind, and a share of it on the held-out side."""
     shared_dir(t.spark)
-    rows = traces.clean_traces(traces.render_all(traces.raw_sources(recut(t.documents)))).checkpoint()
+    rows = cleaned_traces(t).checkpoint()
     limit = None if cap is None else F.when(
         F.col("held_out"), validation_cap(F.lit(cap), V.REASON_HOLDOUT, TRACE_VAL_LEAST)).otherwise(cap)
     kept = cap_per_group(rows, ["doc_id"], ["kind", "held_out"], limit)
@@ -94,3 +101,13 @@ def _(t):
 @query("trace_corpus_whole", trace_sql())
 def _(t):
     return trace_corpus(t)
+
+
+@query("trace_shards", f"""
+    SELECT CASE WHEN held_out THEN 'val' ELSE 'train' END AS split, position, doc_id, prompt, target FROM ({trace_sql()})""")
+def _(t):
+    # Traces to ids of the learned vocabulary, written, and read back as text.
+    merges = bpe_learn(t.conversations, "text")
+    rows = trace_corpus(t)
+    path, _ = prepare_traces(rows, merges, scratch_path(t.spark, "traces"), plan=cleaned_traces(t))
+    return trace_rows(t.spark.read.format(FORMAT).load(path), merges)

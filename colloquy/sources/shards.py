@@ -182,6 +182,26 @@ def remove(system: pafs.FileSystem, folder: str, names: list[str]) -> None:
                 system.delete_file(f"{folder}/{name}.{kind}")
 
 
+NOTE = "_complete"
+
+
+def write_note(path: str, text: str) -> None:
+    """Mark what has been written at `path` as complete, with a note on it."""
+    system, folder = opened(path)
+    temporary = f"{folder}/{NOTE}.{uuid.uuid4().hex}"
+    with system.open_output_stream(temporary) as f:
+        f.write(text.encode())
+    system.move(temporary, f"{folder}/{NOTE}")
+
+
+def read_note(path: str) -> str | None:
+    system, folder = opened(path)
+    if system.get_file_info(f"{folder}/{NOTE}").type == pafs.FileType.NotFound:
+        return None
+    with system.open_input_stream(f"{folder}/{NOTE}") as f:
+        return f.read().decode()
+
+
 def sweep(path: str) -> int:
     """Remove the files that no manifest names; how many there were."""
     system, folder = opened(path)

@@ -47,7 +47,9 @@ def test_parts_in_order_are_the_rendered_dialogue(spark, monkeypatch, chars):
         "conv_id", R.render_dialogue(F.col("turns.text")).alias("d"), R.render_tagged_chat(F.col("turns.text")).alias("c")).collect()}
     parts = D.fragments(rows, chars).select("conv_id", "part", "n", "turns", D.part_lines("", f"{V.DIALOG_SEP}\n").alias("d"),
                                             D.part_lines(f"{V.CHAT}\n", f"{V.END}\n").alias("c")).orderBy("conv_id", "part").collect()
+    lines = D.rendered_lines(rows).orderBy("conv_id", "turn").collect()
     for c, (d, chat) in whole.items():
+        assert "".join(r["line"] for r in lines if r["conv_id"] == c) == d
         mine = [r for r in parts if r["conv_id"] == c]
         assert ("".join(r["d"] for r in mine), "".join(r["c"] for r in mine)) == (d, chat)
         assert sum(len(r["turns"]) for r in mine) == mine[0]["n"]
