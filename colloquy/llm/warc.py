@@ -8,12 +8,15 @@ greatest id, and the others revisit it: their records hold the HTTP head alone.
 Reading: the members of an archive are decompressed one after the other in small blocks, each
 record is framed by its content length, and block and payload digests are verified. No more
 than one record is in memory. A record that breaks off or fails a digest comes with `problem`
-filled in, and reading goes on at the next member.
+filled in, and reading goes on at the next member; where a member cannot be unpacked, at the next
+place where one may start. Damage that follows on damage is reported once.
 
 Defined cases: a null page is an empty payload and a null URL an empty one; a page without an
 id is always a response and nothing refers to it; rows that repeat an id and a payload are
-all responses or all revisits; equal payloads under one id are responses; an empty table
-gives no archive and no rows; further columns are not read.
+all responses or all revisits; equal payloads under one id are responses; of equal payloads the
+greatest id is the response, so there are no ties; an empty table gives no archive and no rows;
+payloads of any length are one record, held whole by one task at a time; further columns are not
+read.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.operators.joins import small_or_not
+from colloquy.operators.joins import small_or_not, spread_join
 from colloquy.session import scratch_path
 
 from .common import store
@@ -40,6 +43,7 @@ LEVEL = 1
 READ_BYTES = 64 << 10
 HEAD_BYTES = 1 << 20      # no record head is longer
 END = b"\r\n\r\n"
+START = b"\x1f\x8b\x08"
 
 RECORD_SCHEMA = ("page_id long, url string, record_type string, refers_to long, payload_bytes long, "
                  "payload_digest string, payload binary, problem string")
@@ -99,8 +103,9 @@ def revisits(pages: DataFrame) -> DataFrame:
     rows = store(pages.select("page_id", _sha().alias("sha"), F.octet_length(F.coalesce("html", F.lit(""))).alias("n"))
                  .where("page_id IS NOT NULL"), "warc-digests")
     most = rows.groupBy("sha", "n").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least"))
-    return rows.join(most.where("least < refers_to"), ["sha", "n"]).where("page_id < refers_to").select(
-        "page_id", "sha", "refers_to").distinct()
+    # One payload may be that of a third of all pages.
+    shared = spread_join(rows, most.where("least < refers_to"), ["sha", "n"], F.col("page_id"), "inner")
+    return shared.where("page_id < refers_to").select("page_id", "sha", "refers_to").distinct()
 
 
 def _sha():
@@ -125,7 +130,7 @@ class Members:
     """The gzip members of a stream, each as an iterator of decompressed pieces."""
 
     def __init__(self, stream):
-        self.stream, self.rest = stream, b""
+        self.stream, self.rest, self.raw = stream, b"", bytearray()
 
     def more(self) -> bool:
         if not self.rest:
@@ -133,15 +138,30 @@ class Members:
         return bool(self.rest)
 
     def pieces(self) -> Iterator[bytes]:
-        unpack = zlib.decompressobj(31)
+        unpack, self.raw = zlib.decompressobj(31), bytearray()
         while not unpack.eof:
             if not self.more():
                 raise EOFError("archive ends inside a record")
             data, self.rest = self.rest, b""
+            self.raw += data
             piece = unpack.decompress(data, READ_BYTES * 4)
             self.rest = unpack.unused_data if unpack.eof else unpack.unconsumed_tail
+            del self.raw[len(self.raw) - len(self.rest):]
             yield piece
 
+    def find_next(self) -> None:
+        """Leave a member that cannot be unpacked, for the next place that looks like a start. A
+        member that lost bytes may have run into the one after it, so its own bytes are searched."""
+        held, start = bytes(self.raw) + self.rest, 1
+        self.raw = bytearray()
+        while (at := held.find(START, start)) < 0:
+            more = self.stream.read(READ_BYTES)
+            if not more:
+                self.rest = b""
+                return
+            held, start = held[max(start, len(held) - len(START) + 1):] + more, 0
+        self.rest = held[at:]
+
 
 def _fields(head: bytes) -> dict[str, str]:
     found = {}
@@ -185,6 +205,24 @@ def read_record(pieces: Iterator[bytes], with_payload: bool) -> tuple:
             payload if with_payload and kind == "response" else None, problem)
 
 
+def next_record(members: Members, with_payload: bool) -> tuple[tuple, bool]:
+    """The next record or what is wrong with it, and whether a place to go on had to be found."""
+    pieces = members.pieces()
+    try:
+        return read_record(pieces, with_payload), False
+    except (zlib.error, EOFError, StopIteration, KeyError, ValueError) as e:
+        found = (None,) * 7 + (f"{type(e).__name__}: {e}",)
+        unpacked = not isinstance(e, (zlib.error, EOFError))
+    try:
+        for _ in pieces if unpacked else ():
+            pass
+    except (zlib.error, EOFError):
+        unpacked = False
+    if not unpacked:
+        members.find_next()
+    return found, not unpacked
+
+
 def _reader(folder_uri: str, with_payload: bool):
     types = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string()]
     names = [f.split()[0] for f in RECORD_SCHEMA.split(", ")]
@@ -197,18 +235,13 @@ def _reader(folder_uri: str, with_payload: bool):
         for batch in batches:
             for path in batch.column(0):
                 with source.open_input_stream(path.as_py(), compression=None) as stream:
-                    members, rows, held = Members(stream), [], 0
+                    members, rows, held, lost = Members(stream), [], 0, False
                     while members.more():
-                        pieces = members.pieces()
-                        try:
-                            rows.append(read_record(pieces, with_payload))
-                        except (zlib.error, EOFError, StopIteration, KeyError, ValueError) as e:
-                            rows.append((None,) * 7 + (f"{type(e).__name__}: {e}",))
-                            if isinstance(e, (zlib.error, EOFError)):
-                                break  # where the next member starts cannot be known
-                            for _ in pieces:
-                                pass
-                        held += len(rows[-1][6] or b"") + 200
+                        found, again = next_record(members, with_payload)
+                        if not (lost and again):
+                            rows.append(found)
+                            held += len(found[6] or b"") + 200
+                        lost = again
                         if held > 4 << 20:
                             yield out(rows)
                             rows, held = [], 0

@@ -254,6 +254,36 @@ def test_one_member_per_record(spark, web):
     assert members == manifest[0]["records"]
 
 
+def read_all(data):
+    """(page_id or None) of what is read from an archive's bytes."""
+    members, out = warc.Members(pa.BufferReader(data)), []
+    while members.more():
+        out.append(warc.next_record(members, True)[0])
+    return out
+
+
+def test_an_archive_flipped_or_cut_at_every_byte(monkeypatch):
+    parts = [warc.record(i, f"http://a/{i}", f"<p>{'page ' * i}{i}</p>".encode(), None if i % 3 else 9) for i in range(1, 5)]
+    data = b"".join(parts)
+    starts = np.cumsum([0, *map(len, parts)])
+    for read_bytes in (64 << 10, 50):
+        monkeypatch.setattr(warc, "READ_BYTES", read_bytes)
+        whole = read_all(data)
+        assert [r[0] for r in whole] == [1, 2, 3, 4] and not any(r[7] for r in whole)
+        for at in range(len(data)):
+            hit = int(np.searchsorted(starts, at, "right"))
+            for bits in (0x01, 0xFF):
+                broken = data[:at] + bytes([data[at] ^ bits]) + data[at + 1:]
+                good = [r for r in read_all(broken) if not r[7]]
+                assert [r for r in whole if r[0] != hit] == [r for r in good if r[0] != hit], (at, bits)
+                assert all(r in whole for r in good)
+            good = [r for r in read_all(data[:at]) if not r[7]]
+            assert good == whole[:hit - 1], at
+            # A byte is missing: the member runs into the next one, which is found again.
+            good = [r for r in read_all(data[:at] + data[at + 1:]) if not r[7]]
+            assert [r for r in whole if r[0] != hit] == [r for r in good if r[0] != hit], at
+
+
 def test_broken_archives(spark, tmp_path):
     good = [warc.record(i, "u", f"payload {i}".encode() * 50, None) for i in range(4)]
     flipped = zlib.decompress(good[1], 31).replace(b"payload 1", b"pXyload 1", 1)
