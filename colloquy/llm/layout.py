@@ -4,24 +4,33 @@ The tree builder closes what HTML lets authors leave open (paragraphs, list item
 cells, the head), so that text stands where a browser would show it. The renderer leaves out
 what is not shown and keeps the layout of the rest: paragraphs and headings apart by a blank
 line, other blocks on lines of their own, list items behind bullets or numbers, table cells
-in aligned columns, preformatted text as it is.
+in aligned columns over the rows and columns they span, preformatted text as it is.
+
+Time is linear in the page, whatever its tags. A quote that never closes does not hide the page:
+from the tag it stands in, quotes no longer group anything. Elements may nest to any depth; those
+deeper than DEPTH stand, with their text, in the one at that depth, and what is hidden stays so.
+Cells are wrapped at WRAP characters, so that one long cell does not widen every row; a word that
+is longer is not cut.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from itertools import zip_longest
 
-TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]{0,65536}\"|'[^']{0,65536}')*+|[^>]*)>", re.S)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+PLAIN = re.compile(r"[^>\"']*")
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-HIDING = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+HIDING = re.compile(r"display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 SPACE = re.compile(r"[ \t\n\r\f]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style xmp iframe noembed noframes title textarea".split())
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A) for tag in RAW}
 HEAD = frozenset("title meta link base style script noscript template".split())
 UNSEEN = frozenset("head script style template noscript iframe noembed noframes datalist title object audio video canvas".split())
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure form fieldset menu hr".split())
@@ -37,15 +46,19 @@ IMPLIED = {
     "tbody": ("thead tbody tfoot tr td th caption", "table"), "tfoot": ("thead tbody tfoot tr td th caption", "table")}
 IMPLIED = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in IMPLIED.items()}
 WALLS = frozenset("table td th caption button template".split())
-DEPTH = 200       # deeper elements are not opened; their text stays
-PAD = 60          # a column is padded to at most this many characters
+DEPTH = 200
+WRAP = 60
+MOST_COLUMNS, MOST_ROWS = 1000, 65534  # the spans that HTML allows
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children", "seen")
+    """`seen` is false for an element that is left out with all it holds; `lit` for one whose own
+    text is invisible, which elements inside it may undo."""
+
+    __slots__ = ("tag", "attributes", "children", "seen", "lit")
 
-    def __init__(self, tag: str, attributes: str = "", seen: bool = True):
-        self.tag, self.attributes, self.children, self.seen = tag, attributes, [], seen
+    def __init__(self, tag: str, attributes: str = "", seen: bool = True, lit: bool = True):
+        self.tag, self.attributes, self.children, self.seen, self.lit = tag, attributes, [], seen, lit
 
     def get(self, name: str) -> str | None:
         for m in ATTRIBUTE.finditer(self.attributes):
@@ -67,107 +80,169 @@ def _shown(tag: str, attributes: str) -> bool:
     return not ("style" in low and HIDING.search(node.get("style") or ""))
 
 
-def tree(page: str) -> Node:
-    """The page's elements, nested as implied tags demand."""
-    root = Node("html")
-    stack = [root]
-
-    def open_(tag: str, attributes: str = "") -> None:
-        node = Node(tag, attributes, _shown(tag, attributes))
-        if len(stack) < DEPTH:
-            stack[-1].children.append(node)
-            stack.append(node)
-        elif not node.seen:
-            stack[-1].children.append(node)
-
-    def close(tags: frozenset, walls: frozenset) -> bool:
+def _lit(tag: str, attributes: str, inherited: bool) -> bool:
+    if "isib" not in attributes and "ISIB" not in attributes.upper():
+        return inherited
+    said = VISIBILITY.findall(Node(tag, attributes).get("style") or "")
+    return said[-1].lower() == "visible" if said else inherited
+
+
+class Tokens:
+    """Tags and the text between them, read once from left to right."""
+
+    def __init__(self, page: str):
+        self.page, self.at, self.grouping, self.last = page, 0, True, page.rfind(">")
+
+    def _end(self, start: int, after: int) -> int:
+        """Where the tag at `start` ends; its name ends at `after`."""
+        page, at = self.page, after
+        while self.grouping:
+            at = PLAIN.match(page, at).end()
+            if at < len(page) and page[at] == ">":
+                return at
+            close = page.find(page[at], at + 1) if at < len(page) else -1
+            if close < 0:
+                self.grouping = False
+            at = close + 1
+        return page.find(">", after)
+
+    def next(self) -> tuple[str, str, str, str] | None:
+        """(text before, "/" of an end tag, name, attributes); the name is empty for what is no tag."""
+        page, start = self.page, self.at
+        look = start
+        while (cut := page.find("<", look)) >= 0 and cut + 1 < len(page):
+            if page.startswith("<!--", cut):
+                end = page.find("-->", cut + 4)
+                self.at = len(page) if end < 0 else end + 3
+                return page[start:cut], "", "", ""
+            if page.startswith("<![CDATA[", cut) and (end := page.find("]]>", cut)) >= 0:
+                self.at = end + 3
+                return page[start:cut] + page[cut + 9:end].replace("&", "&amp;"), "", "", ""
+            if cut > self.last:
+                break  # no tag can end any more
+            if page[cut + 1] in "!?":
+                self.at = page.find(">", cut) + 1
+                return page[start:cut], "", "", ""
+            if (m := NAME.match(page, cut + 1)) is not None:
+                end = self._end(cut, m.end())
+                self.at = end + 1
+                return page[start:cut], m[1], m[2].lower(), page[m.end():end]
+            look = cut + 1
+        return None
+
+    def rest(self) -> str:
+        return self.page[self.at:]
+
+    def raw(self, tag: str) -> str:
+        """The text up to this element's end tag, which is passed over."""
+        m = RAW_END[tag].search(self.page, self.at)
+        end = m.start() if m else len(self.page)
+        data = self.page[self.at:end]
+        after = self.page.find(">", end)
+        self.at = len(self.page) if after < 0 else after + 1
+        return data
+
+
+class Open:
+    """The open elements, and where those of each name stand."""
+
+    def __init__(self):
+        self.nodes = [Node("html")]
+        self.where: dict[str, list[int]] = defaultdict(list)
+
+    @property
+    def top(self) -> Node:
+        return self.nodes[-1]
+
+    def push(self, tag: str, attributes: str = "") -> None:
+        node = Node(tag, attributes, _shown(tag, attributes), _lit(tag, attributes, self.top.lit))
+        if len(self.nodes) < DEPTH:
+            self.top.children.append(node)
+        elif node.seen:
+            node.children = self.top.children  # what is hidden is not attached at all
+        self.where[tag].append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, at: int) -> None:
+        for node in self.nodes[at:]:
+            self.where[node.tag].pop()
+        del self.nodes[at:]
+
+    def wall(self, walls: frozenset) -> int:
+        """Where the innermost of `walls` stands, 0 without one."""
+        return max((at[-1] for tag in walls if (at := self.where.get(tag))), default=0)
+
+    def close(self, tags: frozenset, walls: frozenset) -> None:
         """Close the outermost open element of `tags` inside the innermost of `walls`."""
-        at = 0
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in walls:
-                break
-            if stack[i].tag in tags:
-                at = i
-        if at:
-            del stack[at:]
-        return bool(at)
-
-    def text(data: str) -> None:
-        if stack[-1].tag == "head":
+        if any(self.where.get(tag) for tag in tags):
+            wall = self.wall(walls)
+            inside = [at[i] for tag in tags if (at := self.where.get(tag)) and (i := bisect_right(at, wall)) < len(at)]
+            if inside:
+                self.cut(min(inside))
+
+    def close_last(self, tag: str, walls: frozenset) -> bool:
+        """Close the innermost open element of this tag unless a wall stands after it."""
+        at = self.where.get(tag)
+        if not at or (at[-1] < len(self.nodes) - 1 and self.wall(walls) > at[-1]):
+            return False
+        self.cut(at[-1])
+        return True
+
+    def text(self, data: str) -> None:
+        if self.top.tag == "head":
             if not data.strip():
                 return
-            stack.pop()
-        stack[-1].children.append(html.unescape(data) if "&" in data else data)
-
-    at = 0
-    lower = None
-    while True:
-        m = TOKEN.search(page, at)
-        if m is None:
-            break
-        if m.start() > at:
-            text(page[at:m.start()])
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                text(m[0][9:-3].replace("&", "&amp;"))
+            self.cut(len(self.nodes) - 1)
+        if data and self.top.lit:
+            self.top.children.append(html.unescape(data) if "&" in data else data)
+
+
+def tree(page: str) -> Node:
+    """The page's elements, nested as implied tags demand."""
+    tokens, stack = Tokens(page), Open()
+    root = stack.top
+    while (found := tokens.next()) is not None:
+        before, end, tag, attributes = found
+        stack.text(before)
+        if not tag:
             continue
-        tag = m[2].lower()
-        if stack[-1].tag == "head" and not m[1] and tag not in HEAD:
-            stack.pop()
-        if m[1]:
+        if stack.top.tag == "head" and not end and tag not in HEAD:
+            stack.cut(len(stack.nodes) - 1)
+        if end:
             if tag == "br":
-                stack[-1].children.append(Node("br"))
+                stack.top.children.append(Node("br"))
             elif tag in ("html", "body"):
                 pass  # what follows still belongs to the page
             elif tag in BLOCK or tag in UNSEEN:
                 walls = frozenset() if tag in WALLS else WALLS - {tag}
-                if not _close_last(stack, tag, walls) and tag == "p":
-                    stack[-1].children.append(Node("p"))
+                if not stack.close_last(tag, walls) and tag == "p":
+                    stack.top.children.append(Node("p"))
             else:
-                _close_last(stack, tag, BLOCK)
+                stack.close_last(tag, BLOCK)
             continue
         if tag in ("html", "body"):
-            if not _shown(tag, m[3]):
-                open_("div", m[3])
+            if not _shown(tag, attributes) or not _lit(tag, attributes, True):
+                stack.push("div", attributes)
             continue
         if tag in CLOSES_P:
-            close(frozenset(["p"]), WALLS)
+            stack.close(frozenset(["p"]), WALLS)
         if tag in IMPLIED:
-            close(*IMPLIED[tag])
-        if tag in ("td", "th") and stack[-1].tag != "tr" and any(n.tag == "table" for n in stack):
-            open_("tr")
+            stack.close(*IMPLIED[tag])
+        if tag in ("td", "th") and stack.top.tag != "tr" and stack.where.get("table"):
+            stack.push("tr")
         if tag in VOID:
-            stack[-1].children.append(Node(tag, m[3], _shown(tag, m[3])))
+            stack.top.children.append(Node(tag, attributes, _shown(tag, attributes)))
             continue
-        open_(tag, m[3])
+        stack.push(tag, attributes)
         if tag in RAW:
-            if lower is None:
-                lower = page.lower() if len(page.lower()) == len(page) else page
-            end = lower.find("</" + tag, at)
-            end = len(page) if end < 0 else end
-            data = page[at:end]
-            if stack[-1].tag == tag:
-                stack[-1].children.append(html.unescape(data) if tag in ("title", "textarea") else data)
-                stack.pop()
-            after = page.find(">", end)
-            at = len(page) if after < 0 else after + 1
-    if at < len(page):
-        text(page[at:])
+            data = tokens.raw(tag)
+            if stack.top.lit:
+                stack.top.children.append(html.unescape(data) if tag in ("title", "textarea") else data)
+            stack.cut(len(stack.nodes) - 1)
+    stack.text(tokens.rest())
     return root
 
 
-def _close_last(stack: list[Node], tag: str, walls: frozenset) -> bool:
-    """Close the innermost open element of this tag unless a wall stands before it."""
-    for i in range(len(stack) - 1, 0, -1):
-        if stack[i].tag == tag:
-            del stack[i:]
-            return True
-        if stack[i].tag in walls:
-            return False
-    return False
-
-
 class Lines:
     """Lines of text with blank lines between blocks that stand apart."""
 
@@ -273,9 +348,34 @@ def _list(node: Node) -> list[str]:
     return lines
 
 
-def _rows(node: Node, before: list[str]) -> list[list[tuple[list[str], int]]]:
-    """Rows of cells (lines, columns); captions and text outside cells go to `before`."""
-    rows = []
+class Cell:
+    __slots__ = ("lines", "columns", "rows")
+
+    def __init__(self, node: Node):
+        spans = node.tag in ("td", "th")
+        self.lines = [part for line in rendered(node) for part in wrapped(line)]
+        self.columns = min(max(_number(node.get("colspan"), 1), 1), MOST_COLUMNS) if spans else 1
+        self.rows = min(max(_number(node.get("rowspan"), 1), 0), MOST_ROWS) if spans else 1
+
+
+def wrapped(line: str) -> list[str]:
+    """A line in pieces of at most WRAP characters, cut at blanks."""
+    if len(line) <= WRAP:
+        return [line]
+    out, now = [], ""
+    for word in line.split(" "):
+        if now and len(now) + 1 + len(word) > WRAP:
+            out.append(now)
+            now = word
+        else:
+            now = f"{now} {word}" if now else word
+    return [*out, now] if now else out
+
+
+def _rows(node: Node, before: list[str]) -> list[list[list[Cell]]]:
+    """Groups of rows of cells; captions and text outside cells go to `before`."""
+    groups: list[list[list[Cell]]] = []
+    own: list[list[Cell]] = []
     for child in node.children:
         if isinstance(child, str):
             if child.strip():
@@ -289,37 +389,68 @@ def _rows(node: Node, before: list[str]) -> list[list[tuple[list[str], int]]]:
                     if cell.strip():
                         before.append(SPACE.sub(" ", cell).strip())
                 elif cell.seen:
-                    span = min(max(_number(cell.get("colspan"), 1), 1), 100) if cell.tag in ("td", "th") else 1
-                    cells.append((rendered(cell), span))
-            if any(lines for lines, _ in cells):
-                rows.append(cells)
+                    cells.append(Cell(cell))
+            own.append(cells)
         elif child.tag in ("thead", "tbody", "tfoot", "colgroup"):
-            rows += _rows(child, before)
+            groups += [own, *_rows(child, before)]
+            own = []
         else:
             shell = Node("div")
             shell.children = [child]
             before += rendered(shell)
-    return rows
+    return [g for g in [*groups, own] if g]
+
+
+def _placed(group: list[list[Cell]]) -> list[list[tuple[int, int, list[str]]]]:
+    """Rows of (column, columns, lines): a cell stands in its first row, and its columns are taken
+    in the others, with no lines. Spans end with the group."""
+    out, taken = [], {}  # taken: column -> (rows left, columns); rows 0 means to the end
+    for cells in group:
+        row, at, waiting = [], 0, iter(cells)
+        cell = next(waiting, None)
+        held = sorted(taken)
+        while cell is not None or held:
+            if held and (cell is None or held[0] <= at):
+                column = held.pop(0)
+                row.append((column, taken[column][1], []))
+                at = max(at, column + taken[column][1])
+                continue
+            row.append((at, cell.columns, cell.lines))
+            if cell.rows != 1:
+                taken[at] = (cell.rows, cell.columns)
+            at += cell.columns
+            cell = next(waiting, None)
+        new = {}
+        for column, (left, columns) in taken.items():
+            if left == 0:
+                new[column] = (0, columns)
+            elif left > 1:
+                new[column] = (left - 1, columns)
+        taken = new
+        out.append(sorted(row, key=lambda c: c[0]))
+    return out
 
 
 def _table(node: Node) -> list[str]:
     before: list[str] = []
-    rows = _rows(node, before)
+    rows = [row for group in _rows(node, before) for row in _placed(group)]
+    rows = [row for row in rows if any(lines for _, _, lines in row)]
     widths: dict[int, int] = {}
-    for cells in rows:
-        at = 0
-        for lines, span in cells:
+    for row in rows:
+        for at, span, lines in row:
             if span == 1:
-                widths[at] = max(widths.get(at, 0), min(PAD, max(map(len, lines), default=0)))
-            at += span
+                widths[at] = max(widths.get(at, 0), min(WRAP, max(map(len, lines), default=0)))
+    columns = sorted(widths)
+    total = [0]
+    for at in columns:
+        total.append(total[-1] + widths[at])
     out = before
-    for cells in rows:
-        for parts in zip_longest(*[lines for lines, _ in cells], fillvalue=""):
-            line, at = [], 0
-            for (_, span), part in zip(cells, parts):
-                width = sum(widths.get(at + k, 0) for k in range(span)) + 3 * (span - 1)
-                line.append(part.ljust(width))
-                at += span
+    for row in rows:
+        for parts in zip_longest(*[lines for _, _, lines in row], fillvalue=""):
+            line = []
+            for (at, span, _), part in zip(row, parts):
+                i, j = bisect_right(columns, at - 1), bisect_right(columns, at + span - 1)
+                line.append(part.ljust(total[j] - total[i] + 3 * max(j - i - 1, 0)))
             out.append(" | ".join(line).rstrip())
     return out
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -314,9 +315,86 @@ CASES = [
     ("a < b and <3 <a href='x>y'>link</a", "a < b and <3 link</a"),
     ("<select><option>one<option>two</select>", "one\ntwo"),
     ("", ""), ("<", "<"), ("<!--", ""), ("<script>never ends", ""),
+    ("<p>İ</p><SCRIPT>x</SCRIPT><p>rest</p>", "İ\n\nrest"), ("<script>a</ſcript>b</script>c", "c"),
+    ("<script>'</scripty>'</script\n>c", "c"), ("<title>t</TITLE >x", "x"),
+    ("<table><tr><td rowspan=2>A<td>B<tr><td>C<tr><td>D<td>E</table>", "A | B\n  | C\nD | E"),
+    ("<table><tr><td>a<td rowspan=0>b<td>c<tr><td>d<td>e<tr><td>f<td>g</table>", "a | b | c\nd |   | e\nf |   | g"),
+    ("<table><tbody><tr><td rowspan=9>a<td>b<tbody><tr><td>c<td>d</table>", "a | b\nc | d"),
+    ("<table><tr><td rowspan=2 colspan=2>wide<td>x<tr><td>y<tr><td>1<td>2<td>3</table>", "wide  | x\n      | y\n1 | 2 | 3"),
+    ("<table><tr><td colspan=100000>all<tr><td>b<td>c</table>", "all\nb | c"),
+    ("<table><tr><td>" + "word " * 20 + "<td>x<tr><td>a<td>b</table>",
+     " ".join(["word"] * 12).ljust(59) + " | x\n" + " ".join(["word"] * 8).ljust(59) + " |\n" + "a".ljust(59) + " | b"),
+    ("<div style='visibility:hidden'>no<b style='visibility: visible'>yes</b>no</div>z", "yes\nz"),
+    ("<p style='visibility:hidden'>no<p>yes", "yes"),
+    ("<i title=\"" + "x" * 70_000 + "<b>no</b>\">yes</i>", "yes"),
+    ("<a href='x>y>z", "y>z"), ("<a \">x</a><b title='q>r'>y</b>", "xr'>y"),
+    ("<div>" * 300 + "a<div hidden>no<div>no</div>no</div>b" + "</div>" * 300 + "c", "ab\nc"),
+    ("<b>" * 5000 + "deep" + "</b>" * 5000, "deep"), ("<![CDATA[a<b>&amp;]]>", "a<b>&amp;"),
 ]
 
 
+@pytest.mark.parametrize("page", ["<a '" * 40_000, "<a '" * 40_001 + ">", "<![CDATA[" * 40_000, "<script>" * 40_000, "<!--" * 40_000,
+                                  "<b>" * 40_000 + "</i>" * 40_000, "<p><b>" * 40_000, "<i><div>" + "<b>" * 40_000 + "</i>" * 40_000, "<" * 200_000,
+                                  "<a x=\"<a '>\" '" * 20_000 + "\"", "<p>" + "<table><b>" * 5_000 + "<p>" * 40_000])
+def test_time_is_linear_whatever_the_tags(page):
+    start = time.process_time()
+    layout.page_text(page)
+    assert time.process_time() - start < 4
+
+
+def grown(draw, words, depth, lit=True, seen=True):
+    """A random page part and the words of it that show, in order."""
+    kind = draw.choice(["text"] * 4 + ["block", "block", "inline", "hidden", "unlit", "lit", "list", "comment", "script"] if depth else ["text"])
+    if kind == "text":
+        word = f"w{len(words)}"
+        words.append(word if lit and seen else None)
+        return f" {word} "
+    if kind in ("comment", "script"):
+        return draw.choice(["<!-- no <b> -->", "<script>if (a < b) 'no</b>'</script>", "<STYLE>no{}</STYLE >"]) if kind == "script" else "<!-- <p hidden> -->"
+    tag = {"block": draw.choice(["div", "section", "blockquote", "article"]), "inline": draw.choice(["b", "i", "span"]), "list": "ul"}.get(kind, draw.choice(["div", "span"]))
+    mark = {"hidden": draw.choice([" hidden", " style='DISPLAY :none'"]), "unlit": " style=\"visibility: hidden\"", "lit": " style=visibility:visible"}.get(kind, draw.choice(["", " title='a>b'"]))
+    lit, seen = {"unlit": False, "lit": True}.get(kind, lit), seen and kind != "hidden"
+    inner = [grown(draw, words, depth - 1, lit, seen) for _ in range(draw.randint(1, 4))]
+    body = "".join(f"<li>{x}" for x in inner) if kind == "list" else "".join(inner)
+    return f"<{tag}{mark}>{body}</{tag.upper()}>"
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_random_pages_show_the_words_that_are_not_hidden(seed):
+    draw, words = random.Random(seed), []
+    page = "".join(grown(draw, words, 6) for _ in range(8))
+    shown = [w for w in layout.page_text(page)[1].replace("- ", " ").replace(">", " ").split()]
+    assert shown == [w for w in words if w], page
+
+
+def test_random_tables_keep_their_columns():
+    """Cells stand where a grid filled cell by cell puts them."""
+    for seed in range(60):
+        draw = random.Random(seed)
+        grid, rows = {}, []
+        n = draw.randint(1, 5)
+        for r in range(n):
+            cells, c = [], 0
+            for _ in range(draw.randint(1, 4)):
+                while (r, c) in grid:
+                    c += 1
+                down, wide = draw.choice([1, 1, 1, 2, 3]), draw.choice([1, 1, 1, 2])
+                if any((r, c + k) in grid for k in range(wide)):
+                    wide = 1
+                for i in range(down):
+                    for k in range(wide):
+                        grid[r + i, c + k] = f"t{r}x{c}" if i == k == 0 else ""
+                cells.append(f"<td rowspan={down} colspan='{wide}'>t{r}x{c}")
+                c += wide
+            rows.append("<tr>" + "".join(cells))
+        for line in layout.page_text("<table>" + "".join(rows) + "</table>")[1].split("\n"):
+            for place, word in ((line.index(w), w) for w in line.replace("|", " ").split()):
+                row, column = map(int, word[1:].split("x"))
+                assert grid[row, column] == word
+                before = [w for w in line[:place].replace("|", " ").split()]
+                assert before == sorted((g for (i, k), g in grid.items() if i == row and k < column and g), key=lambda g: int(g.split("x")[1]))
+
+
 @pytest.mark.parametrize("page,text", CASES)
 def test_layout(page, text):
     assert layout.page_text(page)[1] == text
