@@ -216,11 +216,19 @@ def _with_roots(df: DataFrame, labels: DataFrame | None, *columns: str) -> DataF
 
 
 def _buckets(members: DataFrame) -> DataFrame:
-    """bucket, node, centre of the buckets with two classes or more; the centre is the least
-    class, so that copies of one text mostly share one centre in all their buckets."""
-    crowded = store(members.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n"))
-                    .where("n > 1").select("bucket", "centre"), "near-buckets")
-    return store(members.join(small_or_not(crowded, BUCKETS_SENT), "bucket"), "near-met")
+    """bucket, node, centre of the buckets with two classes or more.
+
+    The centre is the class whose buckets are the most crowded in sum. What copies of a text have
+    in common is the text, so that is the text itself or a copy close to it: the one that most of
+    them can be linked to, and the same one in nearly all their buckets.
+    """
+    crowded = store(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-buckets")
+    inside = store(members.join(small_or_not(crowded, BUCKETS_SENT), "bucket"), "near-inside")
+    weight = inside.groupBy("node").agg(F.sum("n").alias("weight"))
+    # A bucket's greatest member; ties by name.
+    heads = inside.drop("n").join(small_or_not(weight, BUCKETS_SENT), "node").groupBy("bucket").agg(
+        F.max(F.struct("weight", "node"))["node"].alias("centre"))
+    return store(inside.drop("n").join(small_or_not(heads, BUCKETS_SENT), "bucket"), "near-met")
 
 
 def near_duplicates(docs: DataFrame, similar_pct: int = SIMILAR_PCT) -> DataFrame:
