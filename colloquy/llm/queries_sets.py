@@ -69,22 +69,14 @@ WITH d AS (
 b AS (
   SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')),
     '[\x20\x09-\x0D.,;:!?"''()\[\]{}«»“”„…]+'), lambda x: x <> '') AS v FROM benchmark),
-m AS (SELECT * FROM (VALUES (1, [0, 1, 4, 5, 6]), (2, [0, 1, 5, 7, 8])) AS t(mask, reads)),
-bs AS (
-  SELECT mask, item_id, j, array_to_string(list_transform(reads, lambda r: v[j + 1 + r]), ' ') AS h
-  FROM (SELECT item_id, v, unnest(range(0, len(v) - 8)) AS j FROM b WHERE len(v) >= 9), m),
-ds AS (
-  SELECT mask, doc_id, i, array_to_string(list_transform(reads, lambda r: w[i + 1 + r]), ' ') AS h
-  FROM (SELECT doc_id, w, unnest(range(0, len(w))) AS i FROM d), m WHERE i + reads[5] < len(w)),
-hits AS (
-  SELECT DISTINCT doc_id, item_id, i - j AS shift, j FROM ds JOIN bs ON ds.mask = bs.mask AND ds.h = bs.h),
-near AS (
-  SELECT DISTINCT doc_id, item_id, shift, unnest(range(greatest(0, j - 4),
-    least(j, len(v) - least(13, len(v))) + 1)) AS a FROM hits JOIN b USING (item_id)),
+dw AS (SELECT doc_id, unnest(w) AS t, generate_subscripts(w, 1) AS i FROM d),
+bw AS (SELECT item_id, len(v) AS n, unnest(v) AS t, generate_subscripts(v, 1) AS j FROM b WHERE len(v) >= 5),
+g AS (
+  SELECT doc_id, item_id, n, i - j AS shift, list(j) AS js FROM dw JOIN bw ON dw.t = bw.t
+  GROUP BY 1, 2, 3, 4 HAVING count(*) * 13 >= least(13, n) * 10),
 o AS (
-  SELECT doc_id, item_id, least(13, len(v)) AS size, len(list_filter(range(0, least(13, len(v))),
-    lambda k: shift + a + k >= 0 AND coalesce(w[shift + a + k + 1] = v[a + k + 1], false))) AS same
-  FROM near JOIN b USING (item_id) JOIN d USING (doc_id)),
+  SELECT doc_id, item_id, least(13, n) AS size, list_max(list_transform(js, lambda x: len(list_filter(js, lambda y:
+    y >= least(x, n - least(13, n) + 1) AND y < least(x, n - least(13, n) + 1) + least(13, n))))) AS same FROM g),
 f AS (
   SELECT doc_id, count(DISTINCT item_id) AS n_items, max(same) AS best FROM o WHERE same * 13 >= size * 10 GROUP BY 1)
 SELECT d.doc_id, coalesce(n_items, 0)::BIGINT AS n_items,

@@ -204,11 +204,12 @@ def test_contamination(spark, make):
     assert all((n > 0) == c for _, c, n in got)
 
 
-def test_blocks_of_the_benchmark_change_nothing(spark, sf, monkeypatch):
+def test_a_benchmark_too_large_to_send_and_a_coarse_sieve_change_nothing(spark, sf, monkeypatch):
     read = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
     names = ("doc_id", "n_items", "best_overlap")
     want = rows_of(decontaminate.contamination(read("documents"), read("benchmark")), *names)
-    monkeypatch.setattr(decontaminate, "BLOCK_ROWS", 900)
+    monkeypatch.setattr(decontaminate, "SENT_ROWS", 0)
+    monkeypatch.setattr(decontaminate, "MOST_LONGS", 2)
     assert sorted(rows_of(decontaminate.contamination(read("documents"), read("benchmark")), *names)) == sorted(want)
 
 
