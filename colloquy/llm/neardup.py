@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from colloquy.operators.joins import small_or_not
 
-from .common import store
+from .common import inner_tables, store
 from .wordhash import U64, chunks, hash_words, mix, window_hashes, window_starts
 
 WIDTH = 5
@@ -181,8 +181,8 @@ def measured(pairs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame
     """
     alike = store(_side_by_side(pairs, classes.select("node", "sketch"), "sketch").mapInArrow(
         _alike_batches, "a binary, b binary"), "near-alike")
-    return store(_side_by_side(alike, sets, "elements").mapInArrow(
-        _compare_batches, "a binary, b binary, shared long, either long"), "near-measured")
+    return _side_by_side(alike, sets, "elements").mapInArrow(
+        _compare_batches, "a binary, b binary, shared long, either long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -238,9 +238,17 @@ def near_duplicates(docs: DataFrame, similar_pct: int = SIMILAR_PCT) -> DataFram
                  .withColumnRenamed("set_key", "node"), "near-rows")
     classes = store(rows.where("node IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "near-classes")
+    with inner_tables(docs.sparkSession):
+        labels = class_roots(docs, classes, similar_pct)
+    return _named(rows, classes, labels)
+
+
+def class_roots(docs: DataFrame, classes: DataFrame, similar_pct: int) -> DataFrame | None:
+    """node, root of the classes that are linked; None if no two classes share a band."""
     met = _buckets(classes.select("node", F.explode(bands()).alias("bucket")).withColumn("bands_of", F.array("bucket")))
     if met.isEmpty():
-        return _named(rows, classes, None)
+        return None
+    spark = docs.sparkSession
     sets = _sets(met.select("node").distinct(), docs, classes)
     limit = 1 - similar_pct / 100
     seen = labels = None
@@ -248,13 +256,15 @@ def near_duplicates(docs: DataFrame, similar_pct: int = SIMILAR_PCT) -> DataFram
     def look_at(pairs: DataFrame) -> None:
         """Measure pairs (a, b) not measured yet, and find the components again."""
         nonlocal seen, labels
-        pairs = pairs.distinct()
-        if seen is not None:
-            known = seen.select("a", "b").union(seen.select("b", "a"))
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        found = measured(store(pairs, "near-pairs"), sets, classes)
-        seen = found if seen is None else store(seen.union(found), "near-seen")
-        labels = components(seen.where(F.lit(100) * F.col("shared") >= F.lit(similar_pct) * F.col("either")))
+        with inner_tables(spark):
+            pairs = pairs.distinct()
+            if seen is not None:
+                known = seen.select("a", "b").union(seen.select("b", "a"))
+                pairs = pairs.join(known, ["a", "b"], "left_anti")
+            found = store(measured(store(pairs, "near-pairs"), sets, classes), "near-found", keep=True)
+            seen = found if seen is None else seen.union(found)
+            links = seen.where(F.lit(100) * F.col("shared") >= F.lit(similar_pct) * F.col("either"))
+            labels = store(components(links), "near-roots", keep=True)
 
     def open_buckets() -> tuple[DataFrame, DataFrame]:
         """Members with their components, and the buckets with members outside their centre's."""
@@ -301,7 +311,7 @@ def near_duplicates(docs: DataFrame, similar_pct: int = SIMILAR_PCT) -> DataFram
             "node", "bands_of", F.explode(F.array_except("bands", "bands_of")).alias("other"))
         again = again.select("node", F.array_sort(F.concat("bands_of", F.array("other"))).alias("bands_of"))
         met = _buckets(again.withColumn("bucket", F.xxhash64("bands_of")).distinct())
-    return _named(rows, classes, labels)
+    return store(labels, "near-labels", keep=True)
 
 
 def _named(rows: DataFrame, classes: DataFrame, labels: DataFrame | None) -> DataFrame:
