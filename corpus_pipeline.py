@@ -4,6 +4,14 @@ Every stage works on all rows its predecessor kept and, but for the last, return
 of `documents`. Rejected documents and near copies are gone, documents with benchmark
 passages too; the mix repeats documents of sources that weigh more than their share and
 leaves some of the others out; the last stage places what is left into shards.
+
+Defined results, for every stage. Null and empty texts have no words, so quality rules reject
+them; a row without a doc_id is judged like any other, is never a near copy to be dropped, and
+keeps its place in mix and shards. Texts of any length are taken whole. Rows that repeat an id
+and a text are one document to near-duplicate removal, and rows of their own to every other
+stage. Ties go to the smallest doc_id among near copies, and to the order of the operators'
+docstrings elsewhere. An empty table passes every stage as an empty table. Of the input only the
+columns of `documents` are read, whatever others are named.
 """
 
 from __future__ import annotations
@@ -12,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.llm import decontaminate, mixing, neardup, quality, sharding
-from colloquy.llm.common import store, table
+from colloquy.llm.common import inner_tables, store, table
 from colloquy.operators.joins import small_or_not
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,7 +36,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays; rows that repeat an id and a text
     are one document."""
-    gone = store(neardup.near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct(), "pipe-gone")
+    with inner_tables(spark):
+        judged = neardup.near_duplicates(docs).where("NOT kept AND doc_id IS NOT NULL")
+        gone = store(judged.select("doc_id").distinct(), "pipe-gone", keep=True)
     # One number per row. Beyond the checked size the join is shuffled.
     return docs.join(small_or_not(gone), "doc_id", "left_anti").select(*COLUMNS)
 
