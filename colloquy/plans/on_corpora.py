@@ -109,5 +109,5 @@ def _(t):
     # Traces to ids of the learned vocabulary, written, and read back as text.
     merges = bpe_learn(t.conversations, "text")
     rows = trace_corpus(t)
-    path, _ = prepare_traces(rows, merges, scratch_path(t.spark, "traces"), plan=cleaned_traces(t))
+    path, _ = prepare_traces(rows, merges, scratch_path(t.spark, "traces"), plan=cleaned_traces(t), required=())
     return trace_rows(t.spark.read.format(FORMAT).load(path), merges)

@@ -43,13 +43,14 @@ def budgets(tokens: int | None) -> tuple[int, int] | None:
 
 
 def prepare_traces(traces: DataFrame, merges: list[tuple[str, str]], root: str, tokens: int | None = None,
-                   special: list[str] = TAGS, cached_only: bool = False, plan: DataFrame | None = None) -> tuple[str, list[dict]]:
+                   special: list[str] = TAGS, cached_only: bool = False, plan: DataFrame | None = None,
+                   required: Sequence[str] = ("train", "val")) -> tuple[str, list[dict]]:
     """(path, metadata) of the shards of traces (doc_id, kind, held_out, position, prompt, target).
 
     Each side is taken in order of `position` until its budget is reached; the trace that reaches
     it is kept, and without a budget all are. Metadata are one entry per side with its traces,
-    tokens and traces per kind; a kind that gave none counts 0. A side without traces is an error,
-    and nothing is left that could be taken for a finished output. `plan` names the output where
+    tokens and traces per kind; a kind that gave none counts 0. A `required` side without traces is
+    an error, and nothing is left that could be taken for a finished output. `plan` names the output where
     the lineage of `traces` has been cut; it holds what was cut off.
     """
     spark = shards.register(traces.sparkSession)
@@ -72,12 +73,12 @@ def prepare_traces(traces: DataFrame, merges: list[tuple[str, str]], root: str,
     ordered = ids.repartitionByRange("held_out", "position").sortWithinPartitions("held_out", "position")
     ordered.select(name.alias("key"), side.alias("split"), "ids", "mask").write.format(shards.FORMAT).mode("overwrite").save(path)
     written = {s: {"split": s, "docs": d, "tokens": n, "supervised": m} for s, d, n, m in shards.written_counts(path)}
-    if missing := [s for s in ("train", "val") if s not in written]:
+    if missing := [s for s in required if s not in written]:
         raise RuntimeError(f"no traces for {', '.join(missing)}; the output is not complete")
     kinds = [r["kind"] for r in traces.select("kind").distinct().collect()]  # as many as there are renderers
     back = spark.read.format(shards.FORMAT).load(path).select("split", F.element_at(F.split("key", ":"), -1).alias("kind"))
     kept = {(r["split"], r["kind"]): r["count"] for r in back.groupBy("split", "kind").count().collect()}
-    meta = [{**written[s], "kinds": {k: kept.get((s, k), 0) for k in sorted(kinds)}} for s in ("train", "val")]
+    meta = [{**written[s], "kinds": {k: kept.get((s, k), 0) for k in sorted(kinds)}} for s in ("train", "val") if s in written]
     shards.write_note(path, json.dumps(meta))  # last: an output without it is not complete
     return path, meta
 
