@@ -8,17 +8,19 @@ concentrates around the Jaccard similarity as independent samples would.
 
 Documents with equal sets are one class from the start. Classes that share a band of
 coordinates meet in a bucket; all of them are compared with the bucket's centre, on full
-sets. What is linked there needs no further comparison. The rest is exact too, without all
-pairs of a bucket: Jaccard distance is a metric, so two members whose distances to the
-centre differ by more than the limit cannot be linked; members already in one component need
-no link. A bucket in which few members are open is finished by comparing those with all members
-that neither rule rules out. In a bucket with many, linked members also share about a third
-of their other bands, so they meet again in buckets of two bands, and of three after that.
+sets. Members already in one component need no further comparison. What is left open is
+exact too, without all pairs of a bucket: two sets that are linked share so many shingles
+that they share one among the first few of each, whatever the order. Taken from the rarest
+on, those of a copy far from the centre are its own edits, which other copies lack, so only
+classes that have edits in common are measured. Members that no bucket holds together can be
+found that way as well; none that a bucket holds together is lost.
 
 Defined cases: a null or empty text has an empty set, is linked with nothing and is its own
 component; rows with a null id can link others but have no id to give; rows that share an id
 are one document for `kept`; a component without any id has a null component_id and its rows
-are kept; an empty table gives no rows; further columns are not read.
+are kept; texts of any length are sketched whole, and a set is one value of 8 bytes a shingle;
+ties between centres go by the names of classes and do not show in the result; an empty table
+gives no rows; further columns are not read.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,10 +43,8 @@ WIDTH = 5
 T = 128
 ROWS = 4  # coordinates per band
 SIMILAR_PCT = 75
-ALIKE = 0.5             # of the coordinates, for a pair to be measured at all
-MORE_CENTRES = 2        # tried for large open buckets before they are divided
-FEW = 64                # open members that are compared with a whole bucket
-LEVELS = 3              # buckets of one band, of two, of three; then all that is open
+SLACK = 0.25            # by which agreeing coordinates may fall short of the similarity asked for
+GROW = 1.02             # sizes of sets are dealt into ranges whose ends differ by this factor
 BUCKETS_SENT = 600_000  # most buckets, two short keys each, to be broadcast
 FULL = U64(0xFFFFFFFFFFFFFFFF)
 SEEDS = mix(np.arange(1, 2 * T + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
@@ -128,12 +129,31 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "elements"])
 
 
-def _alike_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _alike_batches(least: float):
+    def sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, T) for i in (2, 3))
+                keep = pa.array((x == y).sum(axis=1) >= T * least)
+                yield batch.select(["a", "b"]).filter(keep)
+    return sift
+
+
+def _token_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """id, token: one row per shingle of every set."""
     for batch in batches:
-        if batch.num_rows:
-            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, T) for i in (2, 3))
-            keep = pa.array((x == y).sum(axis=1) >= T * ALIKE)
-            yield batch.select(["a", "b"]).filter(keep)
+        blobs = batch.column(1)
+        counts = pc.fill_null(pc.binary_length(blobs), 0).to_numpy(zero_copy_only=False) // 8
+        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        ends = np.cumsum(counts)
+        a = 0
+        while a < len(ids):  # half a million shingles at a time, one set at least
+            done = ends[a - 1] if a else 0
+            b = max(a + 1, int(np.searchsorted(ends, done + 500_000, "right")))
+            data = b"".join(v.as_py() for v in blobs.slice(a, b - a) if v.is_valid)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[a:b], counts[a:b])),
+                                              pa.array(np.frombuffer(data, np.int64))], ["id", "token"])
+            a = b
 
 
 def _compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,14 +193,14 @@ def _side_by_side(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
         right.select("b", "part", F.col(name).alias("y")), ["b", "part"]).select("a", "b", "x", "y")
 
 
-def measured(pairs: DataFrame, sets: DataFrame, classes: DataFrame) -> DataFrame:
+def measured(pairs: DataFrame, sets: DataFrame, classes: DataFrame, similar_pct: int) -> DataFrame:
     """a, b, shared, either (sizes of intersection and union) of the pairs that may be linked.
 
-    Pairs whose sketches agree in fewer than ALIKE of the coordinates are left out: linked
-    ones agree in three quarters, and so few would lie six standard deviations below.
+    Pairs whose sketches agree in too few coordinates are left out: linked ones agree in three
+    quarters, and half would lie six standard deviations below.
     """
     alike = store(_side_by_side(pairs, classes.select("node", "sketch"), "sketch").mapInArrow(
-        _alike_batches, "a binary, b binary"), "near-alike")
+        _alike_batches(similar_pct / 100 - SLACK), "a binary, b binary"), "near-alike")
     return _side_by_side(alike, sets, "elements").mapInArrow(
         _compare_batches, "a binary, b binary, shared long, either long")
 
@@ -243,14 +263,63 @@ def near_duplicates(docs: DataFrame, similar_pct: int = SIMILAR_PCT) -> DataFram
     return _named(rows, classes, labels)
 
 
+def _least_shared(nx, ny, similar_pct: int):
+    """Shingles that linked sets of these sizes share at least."""
+    return F.ceil(F.lit(similar_pct) * (nx + ny) / F.lit(100 + similar_pct) - 1e-9)
+
+
+def _first_shingles(members: DataFrame, sets: DataFrame, similar_pct: int) -> DataFrame:
+    """token, own, other, id, root, n, place: for each range `other` of sizes a member's partner may
+    have, the shingles among which it shares one with every such partner it is linked to.
+
+    Shingles come in one order for all, those in the fewest members first; `place` counts from 0
+    and includes the ones that no other member has, which are left out.
+    """
+    named = sets.join(members.select("node", "id"), "node").select("id", "elements")
+    tokens = named.mapInArrow(_token_batches, "id long, token long")
+    common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
+    order = tokens.join(common, "token").groupBy("id").agg(
+        F.sort_array(F.collect_list(F.struct("held", "token"))).alias("shared"))
+    low = F.greatest(F.lit(1.0), F.pow(F.lit(GROW), F.col("other")) - 1e-6)
+    high = F.pow(F.lit(GROW), F.col("other") + 1) + 1e-6
+    share = similar_pct / 100
+    wide = order.join(members.select("id", "root", "n", "own", "others"), "id").withColumn(
+        "other", F.explode("others")).where((high >= F.col("n") * share) & (low * share <= F.col("n")))
+    alone = F.col("n") - F.size("shared")
+    need = F.greatest(F.ceil(F.col("n") * share - 1e-9), _least_shared(F.col("n"), low, similar_pct))
+    first = F.slice("shared", 1, F.greatest(F.lit(0), (F.col("n") - need + 1 - alone).cast("int")))
+    return wide.select("id", "root", "n", "own", "other", alone.alias("alone"), F.posexplode(first).alias("i", "one")).select(
+        F.col("one.token").alias("token"), "own", "other", "id", "root", "n", (F.col("alone") + F.col("i")).alias("place"))
+
+
+def _sharing(first: DataFrame, similar_pct: int) -> DataFrame:
+    """x, y: members of different components that may be linked, by id.
+
+    Of the members that meet under a shingle, those of the component with the most of them are
+    not compared with each other.
+    """
+    key = ["token", "low", "high"]
+    first = first.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")})
+    most = first.groupBy(*key, "root").agg(F.count(F.lit(1)).alias("m")).groupBy(*key).agg(
+        F.max(F.struct("m", "root")).alias("most"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+    x = first.join(most, key).where("root <> most.root").select(
+        "token", F.col("own").alias("own_x"), F.col("other").alias("own_y"), F.col("id").alias("x"),
+        F.col("root").alias("root_x"), F.col("n").alias("nx"), F.col("place").alias("px"))
+    y = first.select("token", F.col("own").alias("own_y"), F.col("other").alias("own_x"), F.col("id").alias("y"),
+                     F.col("root").alias("root_y"), F.col("n").alias("ny"), F.col("place").alias("py"))
+    need = _least_shared(F.col("nx"), F.col("ny"), similar_pct)
+    can = (F.col("px") <= F.col("nx") - need) & (F.col("py") <= F.col("ny") - need)
+    met = x.join(y, ["token", "own_x", "own_y"]).where((F.col("root_x") != F.col("root_y")) & can)
+    return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+
+
 def class_roots(docs: DataFrame, classes: DataFrame, similar_pct: int) -> DataFrame | None:
     """node, root of the classes that are linked; None if no two classes share a band."""
-    met = _buckets(classes.select("node", F.explode(bands()).alias("bucket")).withColumn("bands_of", F.array("bucket")))
+    met = _buckets(classes.select("node", F.explode(bands()).alias("bucket")))
     if met.isEmpty():
         return None
     spark = docs.sparkSession
     sets = _sets(met.select("node").distinct(), docs, classes)
-    limit = 1 - similar_pct / 100
     seen = labels = None
 
     def look_at(pairs: DataFrame) -> None:
@@ -261,56 +330,30 @@ def class_roots(docs: DataFrame, classes: DataFrame, similar_pct: int) -> DataFr
             if seen is not None:
                 known = seen.select("a", "b").union(seen.select("b", "a"))
                 pairs = pairs.join(known, ["a", "b"], "left_anti")
-            found = store(measured(store(pairs, "near-pairs"), sets, classes), "near-found", keep=True)
+            found = store(measured(store(pairs, "near-pairs"), sets, classes, similar_pct), "near-found", keep=True)
             seen = found if seen is None else seen.union(found)
             links = seen.where(F.lit(100) * F.col("shared") >= F.lit(similar_pct) * F.col("either"))
             labels = store(components(links), "near-roots", keep=True)
 
-    def open_buckets() -> tuple[DataFrame, DataFrame]:
-        """Members with their components, and the buckets with members outside their centre's."""
-        placed = store(_with_roots(met, labels, "node", "centre"), "near-placed")
-        opened = placed.groupBy("bucket").agg(F.count_if(F.col("root_node") != F.col("root_centre")).alias("n_open"))
-        return placed, store(opened.where("n_open > 0"), "near-open")
-
-    for level in range(1, LEVELS + 1):
-        stars = store(met.where("node <> centre").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("n")), "near-stars")
-        # First the centre a class shares most buckets with, then the others it is not yet linked to.
-        look_at(stars.groupBy(F.col("node").alias("a")).agg(F.max(F.struct("n", "centre"))["centre"].alias("b")))
-        look_at(_with_roots(stars, labels, "node", "centre").where("root_node <> root_centre").select(
-            F.col("node").alias("a"), F.col("centre").alias("b")))
-        placed, opened = open_buckets()
-        for turn in range(1, MORE_CENTRES + 1):
-            large = placed.join(small_or_not(opened.where(F.col("n_open") > FEW), BUCKETS_SENT), "bucket")
-            if large.isEmpty():
-                break
-            other = large.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node"))["node"].alias("b"))
-            look_at(large.where("root_node <> root_centre").join(other, "bucket").where("node <> b").select(
-                F.col("node").alias("a"), "b"))
-            placed, opened = open_buckets()
-        if opened.isEmpty():
-            break
-        few = F.lit(True) if level == LEVELS else F.col("n_open") <= FEW
-        distance = seen.select("a", "b", (1 - F.col("shared") / F.col("either")).alias("d"))
-        distance = distance.union(distance.select("b", "a", "d")).toDF("node", "centre", "d")
-        inside = placed.join(small_or_not(opened, BUCKETS_SENT), "bucket")
-        y = inside.where(few).join(distance, ["node", "centre"], "left").withColumn(
-            "d", F.when(F.col("node") == F.col("centre"), 0.0).otherwise(F.col("d")))
-        x = y.where("root_node <> root_centre")
-        x = x.select("bucket", F.col("node").alias("a"), F.col("root_node").alias("ra"), F.col("d").alias("da"))
-        y = y.select("bucket", F.col("node").alias("b"), F.col("root_node").alias("rb"), F.col("d").alias("db"))
-        near = F.coalesce(F.abs(F.col("da") - F.col("db")) <= limit + 1e-9, F.lit(True))
-        pairs = x.join(y, "bucket").where((F.col("ra") != F.col("rb")) & near).select(
-            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        look_at(pairs)
-        many = inside.where(~few).select("bands_of", "node")
-        if many.isEmpty():
-            break
-        # Classes that are linked share about a third of their bands. Members of a large
-        # open bucket meet again only where they share another band, too.
-        again = many.join(classes.select("node", bands().alias("bands")), "node").select(
-            "node", "bands_of", F.explode(F.array_except("bands", "bands_of")).alias("other"))
-        again = again.select("node", F.array_sort(F.concat("bands_of", F.array("other"))).alias("bands_of"))
-        met = _buckets(again.withColumn("bucket", F.xxhash64("bands_of")).distinct())
+    stars = store(met.where("node <> centre").groupBy("node", "centre").agg(F.count(F.lit(1)).alias("n")), "near-stars")
+    # First the centre a class shares most buckets with, then the others it is not yet linked to.
+    look_at(stars.groupBy(F.col("node").alias("a")).agg(F.max(F.struct("n", "centre"))["centre"].alias("b")))
+    look_at(_with_roots(stars, labels, "node", "centre").where("root_node <> root_centre").select(
+        F.col("node").alias("a"), F.col("centre").alias("b")))
+    # Members of buckets with more than their centre's component, the ranges of sizes they meet.
+    sizes = sets.select("node", (F.length("elements") / 8).cast("long").alias("n")).withColumn(
+        "own", F.floor(F.log("n") / F.log(F.lit(GROW))).cast("int"))
+    placed = store(_with_roots(met, labels, "node", "centre").join(sizes, "node"), "near-placed")
+    opened = store(placed.groupBy("bucket").agg(
+        F.max(F.col("root_node") != F.col("root_centre")).alias("open"), F.collect_set("own").alias("others")).where(
+        "open").drop("open"), "near-open")
+    members = store(placed.join(small_or_not(opened, BUCKETS_SENT), "bucket").groupBy("node").agg(
+        F.first("root_node").alias("root"), F.first("n").alias("n"), F.first("own").alias("own"),
+        F.array_distinct(F.flatten(F.collect_list("others"))).alias("others")).withColumn(
+        "id", F.monotonically_increasing_id()), "near-members")
+    first = store(_first_shingles(members, sets, similar_pct), "near-first")
+    name = members.select("id", "node")
+    look_at(_sharing(first, similar_pct).join(name.toDF("x", "a"), "x").join(name.toDF("y", "b"), "y").select("a", "b"))
     return store(labels, "near-labels", keep=True)
 
 

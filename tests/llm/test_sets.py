@@ -139,14 +139,60 @@ def near_copies(seed, n, edits):
     return list({i: (i, t) for i, t in rows}.values())
 
 
-@pytest.mark.parametrize("few", [neardup.FEW, 0])
-def test_components(make, monkeypatch, few):
-    monkeypatch.setattr(neardup, "FEW", few)
+def test_components(make):
     rows = near_copies(7, 250, [0, 1, 2, 3, 4, 6])
     got = rows_of(neardup.near_duplicates(make(rows)), "doc_id", "n_shingles", "component_id", "kept")
     assert sorted(got, key=repr) == brute_components(rows)
 
 
+def far_copies(seed, families, far):
+    """Copies of a text too far from it to be linked, and copies of those, whole, cut and edited."""
+    rnd = random.Random(seed)
+
+    def edited(ws, n):
+        ws = list(ws)
+        for i in rnd.sample(range(len(ws)), n):
+            ws[i] = f"v{rnd.randrange(200)}"
+        return ws
+    texts = []
+    for _ in range(families):
+        base = [f"w{rnd.randrange(3000)}" for _ in range(rnd.choice([90, 160]))]
+        texts += [edited(base, rnd.randrange(3)) for _ in range(12)] + [base[:n] for n in (60, 65, 70, 85)]
+        for _ in range(far):
+            copy = edited(base, len(base) // 12 + rnd.randrange(5))
+            texts += [copy] + [edited(copy, rnd.randrange(4)) for _ in range(rnd.randrange(4))]
+    rnd.shuffle(texts)
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_links_far_from_the_centre(make):
+    rows = far_copies(11, 5, 25)
+    got = rows_of(neardup.near_duplicates(make(rows)), "doc_id", "n_shingles", "component_id", "kept")
+    want = brute_components(rows)
+    assert len({r[2] for r in want}) > 40  # most far copies stay apart, with their own copies
+    assert sorted(got, key=repr) == want
+
+
+def test_sharing_finds_every_link_between_components(spark):
+    rnd = np.random.default_rng(5)
+    base = rnd.integers(1, 2**62, 200).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rnd.permutation(base)[:rnd.integers(100, 200)],
+                                      rnd.integers(1, 60, rnd.integers(1, 60)).astype(np.uint64)])) for _ in range(120)]
+    own = [int(np.floor(np.log(len(s)) / np.log(neardup.GROW))) for s in sets]
+    nodes = [(bytes([i]), i, bytes([i % 7]), len(s), own[i], sorted(set(own))) for i, s in enumerate(sets)]
+    members = spark.createDataFrame(nodes, "node binary, id long, root binary, n long, own int, others array<int>")
+    blobs = spark.createDataFrame([(bytes([i]), s.tobytes()) for i, s in enumerate(sets)], "node binary, elements binary")
+    for pct in (60, 75, 90):
+        got = {tuple(r) for r in neardup._sharing(neardup._first_shingles(members, blobs, pct), pct).collect()}
+        want = set()
+        for x in range(len(sets)):
+            for y in range(x + 1, len(sets)):
+                same = len(np.intersect1d(sets[x], sets[y]))
+                if x % 7 != y % 7 and 100 * same >= pct * (len(sets[x]) + len(sets[y]) - same):
+                    want.add((x, y))
+        assert want <= got and (pct == 90 or want)
+
+
 def test_components_of_odd_rows(odd, empty):
     got = rows_of(neardup.near_duplicates(odd), "doc_id", "n_shingles", "component_id", "kept")
     want = brute_components(rows_of(odd, "doc_id", "text"))
