@@ -27,11 +27,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.operators.joins import small_or_not
@@ -45,6 +45,7 @@ ROWS = 4  # coordinates per band
 SIMILAR_PCT = 75
 SLACK = 0.25            # by which agreeing coordinates may fall short of the similarity asked for
 GROW = 1.02             # sizes of sets are dealt into ranges whose ends differ by this factor
+BATCH = 512             # pairs of sets in a worker at a time
 BUCKETS_SENT = 600_000  # most buckets, two short keys each, to be broadcast
 FULL = U64(0xFFFFFFFFFFFFFFFF)
 SEEDS = mix(np.arange(1, 2 * T + 1, dtype=U64) * U64(0x9E3779B97F4A7C15))
@@ -126,7 +127,7 @@ def _set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sets = [s for s in shingle_sets(data, offsets) if len(s)]
             yield pa.RecordBatch.from_arrays([
                 pa.array([set_key(s) for s in sets], pa.binary()),
-                pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "elements"])
+                pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "elements"])
 
 
 def _alike_batches(least: float):
@@ -139,28 +140,11 @@ def _alike_batches(least: float):
     return sift
 
 
-def _token_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, token: one row per shingle of every set."""
-    for batch in batches:
-        blobs = batch.column(1)
-        counts = pc.fill_null(pc.binary_length(blobs), 0).to_numpy(zero_copy_only=False) // 8
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
-        ends = np.cumsum(counts)
-        a = 0
-        while a < len(ids):  # half a million shingles at a time, one set at least
-            done = ends[a - 1] if a else 0
-            b = max(a + 1, int(np.searchsorted(ends, done + 500_000, "right")))
-            data = b"".join(v.as_py() for v in blobs.slice(a, b - a) if v.is_valid)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids[a:b], counts[a:b])),
-                                              pa.array(np.frombuffer(data, np.int64))], ["id", "token"])
-            a = b
-
-
 def _compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         shared, either = [], []
         for x, y in zip(batch.column(2), batch.column(3)):
-            x, y = np.frombuffer(x.as_buffer(), U64), np.frombuffer(y.as_buffer(), U64)
+            x, y = (v.values.to_numpy().view(U64) for v in (x, y))
             if len(x) > len(y):
                 x, y = y, x
             at = np.searchsorted(y, x)
@@ -177,17 +161,17 @@ def _sets(nodes: DataFrame, docs: DataFrame, classes: DataFrame) -> DataFrame:
     with that id give sets that nothing asks for."""
     wanted = nodes.join(classes, "node").select(F.xxhash64("doc_id").alias("rep")).distinct()
     made = docs.withColumn("rep", F.xxhash64("doc_id")).join(small_or_not(wanted), "rep", "left_semi")
-    made = made.select("text").mapInArrow(_set_batches, "node binary, elements binary").join(nodes, "node", "left_semi")
+    made = made.select("text").mapInArrow(_set_batches, "node binary, elements array<long>").join(nodes, "node", "left_semi")
     return store(made.groupBy("node").agg(F.first("elements").alias("elements")), "near-sets")
 
 
 def _side_by_side(pairs: DataFrame, values: DataFrame, name: str) -> DataFrame:
     """a, b, x, y: the value of both classes of every pair. A centre may meet a third of all
     classes, so it is copied once for every 256 of them."""
-    parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("parts"))
+    parts = small_or_not(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("parts")))
     right = values.withColumnRenamed("node", "b").join(parts, "b").withColumn(
         "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    left = pairs.join(parts, "b").join(values.withColumnRenamed("node", "a"), "a").withColumn(
+    left = values.withColumnRenamed("node", "a").join(small_or_not(pairs.join(parts, "b")), "a").withColumn(
         "part", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int"))
     return left.select("a", "b", "part", F.col(name).alias("x")).join(
         right.select("b", "part", F.col(name).alias("y")), ["b", "part"]).select("a", "b", "x", "y")
@@ -258,7 +242,7 @@ def near_duplicates(docs: DataFrame, similar_pct: int = SIMILAR_PCT) -> DataFram
                  .withColumnRenamed("set_key", "node"), "near-rows")
     classes = store(rows.where("node IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch")), "near-classes")
-    with inner_tables(docs.sparkSession):
+    with inner_tables(docs.sparkSession), short_batches(docs.sparkSession):
         labels = class_roots(docs, classes, similar_pct)
     return _named(rows, classes, labels)
 
@@ -276,7 +260,7 @@ def _first_shingles(members: DataFrame, sets: DataFrame, similar_pct: int) -> Da
     and includes the ones that no other member has, which are left out.
     """
     named = sets.join(members.select("node", "id"), "node").select("id", "elements")
-    tokens = named.mapInArrow(_token_batches, "id long, token long")
+    tokens = named.select("id", F.explode("elements").alias("token"))
     common = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
     order = tokens.join(common, "token").groupBy("id").agg(
         F.sort_array(F.collect_list(F.struct("held", "token"))).alias("shared"))
@@ -313,6 +297,18 @@ def _sharing(first: DataFrame, similar_pct: int) -> DataFrame:
     return met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
 
 
+@contextmanager
+def short_batches(spark: SparkSession) -> Iterator[None]:
+    """Tasks run inside get BATCH rows at a time, since a pair of sets can fill hundreds of kilobytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(BATCH))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def class_roots(docs: DataFrame, classes: DataFrame, similar_pct: int) -> DataFrame | None:
     """node, root of the classes that are linked; None if no two classes share a band."""
     met = _buckets(classes.select("node", F.explode(bands()).alias("bucket")))
@@ -341,7 +337,7 @@ def class_roots(docs: DataFrame, classes: DataFrame, similar_pct: int) -> DataFr
     look_at(_with_roots(stars, labels, "node", "centre").where("root_node <> root_centre").select(
         F.col("node").alias("a"), F.col("centre").alias("b")))
     # Members of buckets with more than their centre's component, the ranges of sizes they meet.
-    sizes = sets.select("node", (F.length("elements") / 8).cast("long").alias("n")).withColumn(
+    sizes = sets.select("node", F.size("elements").cast("long").alias("n")).withColumn(
         "own", F.floor(F.log("n") / F.log(F.lit(GROW))).cast("int"))
     placed = store(_with_roots(met, labels, "node", "centre").join(sizes, "node"), "near-placed")
     opened = store(placed.groupBy("bucket").agg(

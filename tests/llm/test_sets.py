@@ -181,7 +181,8 @@ def test_sharing_finds_every_link_between_components(spark):
     own = [int(np.floor(np.log(len(s)) / np.log(neardup.GROW))) for s in sets]
     nodes = [(bytes([i]), i, bytes([i % 7]), len(s), own[i], sorted(set(own))) for i, s in enumerate(sets)]
     members = spark.createDataFrame(nodes, "node binary, id long, root binary, n long, own int, others array<int>")
-    blobs = spark.createDataFrame([(bytes([i]), s.tobytes()) for i, s in enumerate(sets)], "node binary, elements binary")
+    blobs = spark.createDataFrame([(bytes([i]), s.view(np.int64).tolist()) for i, s in enumerate(sets)],
+                                  "node binary, elements array<long>")
     for pct in (60, 75, 90):
         got = {tuple(r) for r in neardup._sharing(neardup._first_shingles(members, blobs, pct), pct).collect()}
         want = set()
