@@ -129,10 +129,11 @@ def _load(spark: SparkSession, folder: str, number: int, shape: tuple[int, int])
 
 def _save(spark: SparkSession, folder: str, number: int, weights: np.ndarray, macro: float, loss: float) -> None:
     at = np.nonzero(weights.any(1))[0]
-    spark.createDataFrame(pd.DataFrame({"at": at, "w": list(weights[at])}), "at bigint, w array<double>").coalesce(
+    # Plain lists: a session without Arrow takes no numpy values inside an array.
+    spark.createDataFrame(list(zip(at.tolist(), weights[at].tolist())), "at bigint, w array<double>").coalesce(
         1).write.mode("overwrite").parquet(f"{folder}/round={number}/weights")
     # Written last: a round without it has not been finished.
-    spark.createDataFrame([(macro, loss)], "macro double, loss double").write.mode("overwrite").parquet(f"{folder}/round={number}/score")
+    spark.createDataFrame([(float(macro), float(loss))], "macro double, loss double").write.mode("overwrite").parquet(f"{folder}/round={number}/score")
 
 
 def train_in_rounds(train: DataFrame, held: DataFrame, tokens: Column, label: str, folder: str | None = None,

@@ -73,3 +73,15 @@ def test_nothing_to_learn_from(spark, sides):
         run((sides[0].limit(0), sides[1]))
     with pytest.raises(ValueError, match="no held-out rows"):
         run((sides[0], sides[1].limit(0)))
+
+
+def test_rounds_are_kept_by_a_session_without_arrow(spark, sides):
+    key = "spark.sql.execution.arrow.pyspark.enabled"
+    before, folder = spark.conf.get(key), scratch_path(spark, "cls")
+    spark.conf.set(key, "false")
+    try:
+        model = run(sides, folder, rounds=2)
+        assert np.array_equal(model.weights, R._load(spark, folder, model.best, model.weights.shape)) and model.weights.any()
+    finally:
+        spark.conf.set(key, before)
+    assert run(sides, rounds=2).scores == model.scores
