@@ -6,8 +6,10 @@ it only. All other pieces stay in Spark, as a table pair -> pieces, and are aske
 driver foretells the next merges from its own counts and what it knows of the rest, one job looks
 up the pieces that hold those pairs, merges in them and sums what every merge changes, and the
 driver then takes the foretold merges for as long as each is the most frequent pair by exact
-counts. The first one always is. A round costs what the pieces it looks up cost; the whole table
-is read again only every EPOCH merges, to renew it, or when the listed pairs are used up.
+counts. The first one always is. One that comes out before others foretold ahead of it is taken all
+the same where it does not meet them in any piece, as then its changes are the same in both orders.
+A round costs what the pieces it looks up cost; the whole table is read again only every EPOCH
+merges, to renew it, or when the listed pairs are used up.
 
 A pair that is not among the LISTED ones is at most as frequent as the last of them (`floor`),
 and counts of old pairs only fall, so no merge is taken at or below the floor without a new list.
@@ -18,6 +20,7 @@ What comes back from a round is bounded by the vocabulary: a merge (a, b) change
 from __future__ import annotations
 
 import heapq
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator, Sequence
 
@@ -141,6 +144,31 @@ class Best:
         return None
 
 
+class Foretold:
+    """Merges with what each changes in the other pieces, applied in the foretold order."""
+
+    def __init__(self, merges: Sequence[Pair], changes: Sequence[dict[Pair, int]]):
+        self.left = list(zip(merges, changes))
+        self.symbols = {id(c): {s for p in c for s in p} for c in changes}
+
+    def take(self, pair: Pair) -> dict[Pair, int] | None:
+        """What the merge changes if it comes next; None if that is not known."""
+        at = next((i for i, (p, _) in enumerate(self.left) if p == pair), None)
+        if at is None or not all(self._apart(*earlier, *self.left[at]) for earlier in self.left[:at]):
+            return None
+        return self.left.pop(at)[1]
+
+    def _apart(self, before: Pair, its: dict[Pair, int], pair: Pair, changes: dict[Pair, int]) -> bool:
+        """Nowhere do the two share a symbol or stand side by side, and neither makes a symbol of
+        the other, so either may come first.
+
+        After the earlier one, a place of the later one beside it would have its symbol, and a
+        place they shared would be missing from the later one's count.
+        """
+        made = before[0] + before[1]
+        return pair not in its and made not in self.symbols[id(changes)] and made not in pair and pair[0] + pair[1] not in before
+
+
 class Rest:
     """The pieces that stay in Spark, as an inverted table pair -> pieces of the last renewal."""
 
@@ -171,11 +199,12 @@ class Rest:
             F.get(split, i).alias("a"), F.get(split, i + 1).alias("b")))
         posts = self.state.where(F.contains("symbols", F.lit(" "))).select("n", "symbols", F.explode(places).alias("p")).select(
             "n", "symbols", "p.a", "p.b").withColumn("bucket", bucket_of(F.col("a"), F.col("b")))
-        self.posts = scratch_path(self.spark, "bpe-posts")
+        path = scratch_path(self.spark, "bpe-posts")
         spread = self.spark.sparkContext.defaultParallelism
         (posts.repartition(spread, "bucket", F.pmod(F.xxhash64("symbols"), F.lit(4))).sortWithinPartitions("bucket", "a", "b")
-         .write.partitionBy("bucket").parquet(self.posts))
-        totals = self.spark.read.parquet(self.posts).groupBy("a", "b").agg(F.sum("n").alias("n"))
+         .write.partitionBy("bucket").parquet(path))
+        self.posts = self.spark.read.schema(posts.schema).parquet(path)  # files are listed once
+        totals = self.posts.groupBy("a", "b").agg(F.sum("n").alias("n"))
         known = [(a, b, n) for (a, b), n in head.items() if n > 0]
         if known:
             totals = totals.join(self.spark.createDataFrame(pd.DataFrame(known, columns=["a", "b", "h"])), ["a", "b"], "left")
@@ -200,10 +229,10 @@ class Rest:
 
     def changes(self, foretold: list[Pair]) -> list[dict[Pair, int]]:
         """What each of the foretold merges changes, in their order."""
-        borders = pd.DataFrame(sorted(self.borders(foretold)), columns=["a", "b"])
-        keys = self.spark.createDataFrame(borders)
-        buckets = sorted({r["k"] for r in keys.select(bucket_of(F.col("a"), F.col("b")).alias("k")).collect()})
-        held = self.spark.read.parquet(self.posts).where(F.col("bucket").isin(buckets))
+        borders = sorted(self.borders(foretold))
+        keys = self.spark.createDataFrame(borders, "a string, b string")
+        buckets = sorted({zlib.crc32(f"{a} {b}".encode()) % BUCKETS for a, b in borders})
+        held = self.posts if len(buckets) == BUCKETS else self.posts.where(F.col("bucket").isin(buckets))
         # Few bytes but much work per piece, so every core gets a share.
         spread = held.join(F.broadcast(keys), ["a", "b"], "left_semi").repartition(
             self.spark.sparkContext.defaultParallelism, "symbols")
@@ -239,7 +268,7 @@ class Rest:
 
 
 def bucket_of(a: Column, b: Column) -> Column:
-    return F.pmod(F.xxhash64(a, b), F.lit(BUCKETS)).cast("int")
+    return F.pmod(F.crc32(F.concat_ws(" ", a, b)), F.lit(BUCKETS)).cast("int")
 
 
 def foretell(head: Counted, rest: Rest, best: Best, n: int) -> list[Pair]:
@@ -311,10 +340,11 @@ def learn_merges(pieces: DataFrame, n_merges: int, head_pieces: int = HEAD, list
             best = Best(total, list(head.count.keys() | rest.count.keys()))
             continue
         foretold = foretell(head, rest, best, min(room, n_merges - len(merges), max(1, epoch - len(rest.merges))))
+        known = Foretold(foretold, rest.changes(foretold))
         taken = 0
-        for pair, changes in zip(foretold, rest.changes(foretold)):
-            found = best.top()
-            if found is None or found[0] != pair or found[1] <= rest.floor:
+        while known.left and (found := best.top()) and found[1] > rest.floor:
+            pair = found[0]
+            if (changes := known.take(pair)) is None:
                 break
             here, _ = head.merge(pair)
             rest.take(pair, changes)

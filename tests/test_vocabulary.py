@@ -63,6 +63,35 @@ def test_pieces_that_stay_in_spark_give_the_same_merges(spark, bounds):
     assert sum(rounds) == 36
 
 
+def test_merges_foretold_in_another_order_are_taken_where_they_do_not_meet():
+    def known():
+        return M.Foretold([("a", "b"), ("c", "d"), ("e", "f")], [
+            {("a", "b"): -3, ("ab", "e"): 3, ("b", "e"): -3}, {("c", "d"): -2}, {("e", "f"): -4, ("ab", "e"): -3, ("ab", "ef"): 3}])
+    left = known()
+    assert left.take(("e", "f")) is None and left.take(("x", "y")) is None  # it stands beside (a, b)
+    assert left.take(("c", "d")) == {("c", "d"): -2}
+    assert left.take(("a", "b")) and left.take(("e", "f")) and not left.left
+    assert M.Foretold([("ab", "ab"), ("a", "b")], [{}, {("a", "b"): -1}]).take(("a", "b")) is None
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_merges_do_not_depend_on_what_is_foretold(spark, monkeypatch, seed):
+    rng = random.Random(seed)
+    counts = Counter({"".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))): rng.randint(1, 6) for _ in range(120)})
+    foretell, shuffled = M.foretell, []
+
+    def mixed(*a):
+        first, *rest = foretell(*a)
+        rng.shuffle(rest)
+        shuffled.append([first, *rest])
+        return shuffled[-1]
+    monkeypatch.setattr(M, "foretell", mixed)
+    rounds = []
+    pieces = spark.createDataFrame(list(counts.items()), "piece string, n bigint")
+    assert M.learn_merges(pieces, 30, head_pieces=20, rounds=rounds) == one_by_one(counts, 30)
+    assert max(rounds) > 1
+
+
 def test_a_round_reads_only_pieces_that_may_hold_its_pairs(spark):
     counts = Counter({"abab": 9, "cdcd": 3, "efef": 1, "abcd": 2})
     rest = M.Rest(spark.createDataFrame([(n, " ".join(f"{b:02X}" for b in w.encode())) for w, n in counts.items()], "n bigint, symbols string"))
