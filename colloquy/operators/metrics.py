@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as V
 from ..functions import predicates as P
+from ..functions.once import let
 from .scan import running
 
 
@@ -108,15 +109,15 @@ def budget_report(df: DataFrame, group: Sequence[str], ms: str,
 
 def repeated_share(items: Column) -> Column:
     """Share of items that repeat an earlier one; 0 without items."""
-    n = F.size(items)
-    return F.when(n > 0, 1 - F.size(F.array_distinct(items)) / n).otherwise(F.lit(0.0))
+    share = let(items, lambda x: 1 - F.size(F.array_distinct(x)) / F.nullif(F.size(x), F.lit(0)))
+    return F.coalesce(share, F.lit(0.0))
 
 
 def ngrams(words: Column, n: int) -> Column:
-    last = F.size(words) - n
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))),
-                                         lambda i: F.array_join(F.slice(words, i + 1, F.lit(n)), " "))
-                  ).otherwise(F.array().cast("array<string>"))
+    """Every n words in a row, joined by a space; words are picked by place, none is copied to a list."""
+    starts = F.slice(words, F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(0)))
+    return F.coalesce(F.transform(starts, lambda w, i: F.concat_ws(
+        " ", w, *[F.get(words, i + k) for k in range(1, n)])), F.array().cast("array<string>"))
 
 
 def repetition(words: Column, text: Column) -> dict[str, Column]:
