@@ -64,6 +64,20 @@ def test_mixed_documents_are_whole(make):
     assert share > 0.2  # 34 of 300 documents, wanted 2 of 7, at most three times
 
 
+def test_texts_are_shuffled_once_on_their_way_to_the_mix(spark, make, capsys):
+    rows = [(i, f"text number {i}", "a" if i % 9 else "b") for i in range(60)]
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        mixing.mix_documents(make(rows)).explain()
+    finally:
+        spark.conf.set(key, before)
+    plan = capsys.readouterr().out
+    # One exchange of the rows with their texts and one of the sums they meet.
+    assert "REPARTITION" not in plan and plan.count("Exchange hashpartitioning(bucket") == 2
+
+
 def test_mix_of_odd_rows(odd, empty):
     got = mixing.mix_words(odd)
     assert got.count() == odd.count()
