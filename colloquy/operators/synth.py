@@ -13,7 +13,7 @@ from ..functions.hashing import frac, held_out, pick, pick_from
 from ..functions.once import let
 from ..functions.text import normalize_ws, strip
 from ..session import shared_dir
-from .joins import fixed_table
+from .joins import fixed_table, small_or_not
 from .scan import Digest
 from .splits import cap_per_group, every_nth_by_digest, first_of_copies
 from .templates import fill
@@ -136,12 +136,16 @@ def labelled_corpus(messages: DataFrame, caps: dict[str, int], least_val: int) -
     # Read several times below, and costly to make.
     shared_dir(rows.sparkSession)
     rows = rows.checkpoint()
-    once = first_of_copies(rows, F.md5(F.concat_ws("\n", "label", F.lower("text"))), "place")
+    # Copies and caps need no texts, so only keys are shuffled.
+    keys = rows.select("label", "held_out", "place", F.md5(F.concat_ws("\n", "label", F.lower("text"))).alias("_copy"))
+    once = first_of_copies(keys, F.col("_copy"), "place").drop("_copy")
     cap = F.lit(None).cast("bigint")
     for label, n in caps.items():
         both = F.when(F.col("held_out"), max(n // V.ROUTE_HOLDOUT, least_val)).otherwise(n)
         cap = F.when(F.col("label") == label, both).otherwise(cap)
-    return cap_per_group(once, [Digest("place")], ["label", "held_out"], cap).drop("rn")
+    kept = cap_per_group(once, [Digest("place")], ["label", "held_out"], cap).select("place").distinct().checkpoint()
+    # Rows that share a place are told apart by the cap once more, over the few rows that are left.
+    return cap_per_group(rows.join(small_or_not(kept), "place", "left_semi"), [Digest("place")], ["label", "held_out"], cap).drop("rn")
 
 
 def assert_both_sides(corpus: DataFrame, labels: Sequence[str]) -> None:

@@ -196,7 +196,8 @@ def class_messages(t) -> DataFrame:
         F.concat(F.lit("q"), F.col("doc_id").cast("string")).alias("id"), "text"),
         {"text": T.normalize_ws(F.col("text"))}, lambda r: P.question_length(r["text"]))
     asked = asked.withColumn("held_out", held_out(F.lower("text"), V.ROUTE_HOLDOUT))
-    keys = t.orders.select(F.col("o_orderkey").alias("id"))
+    # Few bytes but much work per key, so every core gets a share of a table in few splits.
+    keys = t.orders.select(F.col("o_orderkey").alias("id")).repartition(t.spark.sparkContext.defaultParallelism, "id")
     sums = Y.arithmetic(keys, "id").withColumn("id", F.concat(F.lit("a"), F.col("id").cast("string")))
     sources = [("chat", chat), ("reason", asked), ("reason", sums),
                ("codegen", request_rows(t).withColumnRenamed("doc_id", "id")),

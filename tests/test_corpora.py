@@ -1,5 +1,6 @@
 """Splits, sinks and synthesized messages."""
 
+import random
 import re
 
 import pytest
@@ -231,3 +232,19 @@ def test_topk_keeps_ties_and_nucleus_keeps_the_crossing_item(spark):
     p = spark.createDataFrame([("g", 0, 0.95), ("g", 1, 0.05), ("h", 0, 0.4), ("h", 1, 0.3), ("h", 2, 0.3)], "g string, i int, p double")
     kept = {(r["g"], r["i"]) for r in ranking.nucleus_filter(p, ["g"], "i", "p", 0.5).collect()}
     assert kept == {("g", 0), ("h", 0), ("h", 1)}
+
+
+def test_labelled_corpus_of_rows_that_share_places_and_texts(spark):
+    rng = random.Random(3)
+    rows = [("chat" if i % 3 else "code", f"{rng.randrange(40):032x}", i % 4 == 0, f"Text {rng.randrange(60)}") for i in range(200)]
+    df = spark.createDataFrame(rows, "label string, place string, held_out boolean, text string").repartition(5)
+    first = {}
+    for label, place, _, text in rows:
+        first[label, text.lower()] = min(place, first.get((label, text.lower()), place))
+    want = [r for r in rows if r[1] in set(first.values())]
+    whole = synth.labelled_corpus(df, {"chat": 1000, "code": 1000}, 1000).collect()
+    assert sorted((r["label"], r["place"], r["held_out"], r["text"]) for r in whole) == sorted(want)
+    some = synth.labelled_corpus(df, {"chat": 12, "code": 9}, 2).collect()
+    for label, held, n in (("chat", False, 12), ("chat", True, 2), ("code", False, 9), ("code", True, 2)):
+        places = sorted(p for k, p, h, _ in want if (k, h) == (label, held))[:n]
+        assert sorted(r["place"] for r in some if (r["label"], r["held_out"]) == (label, held)) == places
