@@ -61,7 +61,7 @@ def _(t):
     replay = replayed(t)
     rows = replay.stream.select("event_id", "user_id", "ts", F.concat_ws(" ", "event_type", "props").alias("line"))
     out = R.keyed(rows, "user_id", R.RoomHistory("user_id", ["ts", "event_id"], slice_ms=replay.slice_ms),
-                  "event_id bigint, user_id bigint, history string")
+                  "event_id bigint, user_id bigint, history string", replay.buckets)
     return R.on_time(R.drain(out, "history", replay))
 
 
@@ -70,7 +70,7 @@ def _(t):
     replay = replayed(t)
     rows = replay.stream.select("event_id", "user_id", "ts", "event_type", "value")
     out = R.keyed(rows, "user_id", R.LastSeen("user_id", ["ts", "event_id"], slice_ms=replay.slice_ms),
-                  "event_id bigint, user_id bigint, seen_image bigint, seen_value double")
+                  "event_id bigint, user_id bigint, seen_image bigint, seen_value double", replay.buckets)
     return R.on_time(R.drain(out, "seen", replay))
 
 
@@ -86,7 +86,7 @@ def suppression_input(rows):
 def _(t):
     replay = replayed(t)
     out = R.keyed(suppression_input(replay.stream), "user_id", R.RecentSuppression("user_id", ["ts", "event_id"], slice_ms=replay.slice_ms),
-                  "event_id bigint, user_id bigint, reply string, score double")
+                  "event_id bigint, user_id bigint, reply string, score double", replay.buckets)
     return R.on_time(R.drain(out, "suppressed", replay))
 
 

@@ -176,3 +176,53 @@ def test_gate_answers_all_when_set(spark):
     df = spark.createDataFrame([(True, True, True), (False, False, False), (False, True, False)],
                                "is_bot boolean, is_dm boolean, mentioned boolean")
     assert R.message_gate(df).count() == 1 and R.message_gate(df, respond_all=True).count() == 2
+
+
+def rooms_table(spark, folder, rows):
+    """Rows (event_id, room, day, line) as a table of one file."""
+    df = spark.createDataFrame(rows, "event_id bigint, user_id bigint, day double, line string")
+    df.select("event_id", "user_id", F.timestamp_millis((F.col("day") * 86_400_000).cast("bigint")).alias("ts"), "line").coalesce(
+        1).write.parquet(f"{folder}/events.parquet")
+
+
+def test_state_is_held_by_buckets_and_not_by_rooms(spark, tmp_path):
+    rooms_table(spark, tmp_path, [(i, i, i / 10_000, f"l{i}") for i in range(4000)])
+    stream = R.in_time(R.table_stream(spark, str(tmp_path), "events"), "ts", timedelta(days=10))
+    made = R.keyed(stream, "user_id", R.RoomHistory("user_id", ["ts", "event_id"]), HISTORY)
+    marks = scratch_path(spark, "buckets-marks")
+    with R.state_settings(spark, 1):
+        (made.writeStream.format("parquet").option("path", scratch_path(spark, "buckets")).option("checkpointLocation", marks)
+         .trigger(availableNow=True).start().awaitTermination())
+        held = spark.read.format("statestore").option("stateVarName", "sizes").load(marks).count()
+    assert 0 < held <= 1024  # all rows are of one slice; with one timer for each room 4,000 were held
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_rooms_of_a_bucket_are_kept_apart(spark, tmp_path, buckets):
+    names = [2**53 + 1, 2**53 + 2, 7, 8, None]
+    rows = [(i, names[i * i % 11 % 5], 10 + (i * 389 % 400) / 25, f"l{i}") for i in range(400)]
+    rooms_table(spark, tmp_path, rows)
+    replay = R.Replay(spark, str(tmp_path), "events", "ts", "user_id", slice_ms=R.SLICE_MS)
+    made = R.keyed(replay.stream, "user_id", R.RoomHistory("user_id", ["ts", "event_id"]), HISTORY, buckets)
+    got = {r["event_id"]: (r["user_id"], r["history"]) for r in R.on_time(R.drain(made, "apart", replay)).collect()}
+    histories = {}
+    for name in names:
+        histories |= by_loop([(i, day, line) for i, room, day, line in rows if room == name])
+    assert got == {i: (room, histories[i]) for i, room, _, _ in rows}
+
+
+def test_suppression_of_the_query_against_a_loop(spark, sf):
+    got = {r["event_id"]: r["reply"] for r in catalog.PLANS["stream_recent_suppression"](spark, sf).collect()}
+    recent, wanted = defaultdict(list), {}
+    for r in suppression_input(Tables(spark, sf).events).orderBy("ts", "event_id").collect():
+        options = [(s, x) for x, s in zip(r["texts"], r["scores"]) if x.lower() not in recent[r["user_id"]][-8:]]
+        wanted[r["event_id"]] = max(options)[1] if options else None
+        if options:
+            recent[r["user_id"]].append(wanted[r["event_id"]].lower())
+    assert got == wanted
+
+
+def test_buckets_follow_the_rows(spark, tmp_path):
+    rows = [(i, i % 5000, i / 20_000, "l") for i in range(3 * R.BUCKET_ROWS)]
+    rooms_table(spark, tmp_path, rows)
+    assert R.Replay(spark, str(tmp_path), "events", "ts", "user_id").buckets == 3
